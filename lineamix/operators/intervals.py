@@ -102,12 +102,14 @@ def clip_lengths(reads: DataFrame, primers: DataFrame) -> DataFrame:
     # A reverse read ends at `end`, so its last base is the position looked up.
     reverse = F.col("flag").bitwiseAND(REVERSE) != 0
     five_prime = F.when(reverse, F.col("end") - 1).otherwise(F.col("start"))
-    clip = F.when(
-        reverse, F.col("end") - F.greatest("_far_start", F.col("start"))
-    ).otherwise(F.least("_far_end", F.col("end")) - F.col("start"))
+    clip = (
+        F.when(F.col("_far_end").isNull(), 0)
+        .when(reverse, F.col("end") - F.greatest("_far_start", F.col("start")))
+        .otherwise(F.least("_far_end", F.col("end")) - F.col("start"))
+    )
     r = reads.withColumn("at", five_prime)
     return (
         r.join(reach, ["chrom", "at"], "left")
-        .withColumn("clip", F.greatest(F.coalesce(clip, F.lit(0)), F.lit(0)).cast("bigint"))
+        .withColumn("clip", clip.cast("bigint"))
         .select(*reads.columns, "clip")
     )

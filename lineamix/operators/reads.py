@@ -100,9 +100,7 @@ def quality_trim(reads: DataFrame, window: int = 4, min_mean: int = 20) -> DataF
     Reads without such a window, empty ones included, are dropped. Shorter reads count
     as one window.
     """
-    scored = reads.withColumn("_q", phred.scores(F.col("qual"))).withColumn(
-        "_w", F.least(F.size("_q"), F.lit(window))
-    )
+    width = F.least(F.size("_q"), F.lit(window))
 
     def window_sum(_: Column, i: Column) -> Column:
         # Elements past the end are NULL and count 0; such windows are not looked at.
@@ -111,21 +109,24 @@ def quality_trim(reads: DataFrame, window: int = 4, min_mean: int = 20) -> DataF
             total = total + F.coalesce(F.get("_q", i + k), F.lit(0))
         return total
 
-    starts = F.slice(
-        F.transform("_q", window_sum), F.lit(1), F.size("_q") - F.col("_w") + 1
-    )
-    passed = F.transform(starts, lambda s: s >= F.col("_w") * min_mean)
-    marked = scored.where(F.size("_q") > 0).withColumn("_ok", passed)
-    first = F.array_position("_ok", F.lit(True))
-    last = F.size("_ok") - F.array_position(F.reverse("_ok"), F.lit(True)) + 1
-    return (
-        marked.withColumn("_first", first.cast("int"))
-        .where(F.col("_first") > 0)
-        .withColumn("_len", (last - F.col("_first") + F.col("_w")).cast("int"))
-        .withColumn("seq", F.substr("seq", F.col("_first"), F.col("_len")))
-        .withColumn("qual", F.substr("qual", F.col("_first"), F.col("_len")))
-        .select(*reads.columns)
-    )
+    sums = F.slice(F.transform("_q", window_sum), F.lit(1), F.size("_q") - width + 1)
+    passed = F.transform(sums, lambda total: total >= width * min_mean)
+    scored = _computed(reads, phred.scores(F.col("qual")), "_q").where(F.size("_q") > 0)
+    marked = _computed(scored, passed, "_ok").where(F.array_contains("_ok", F.lit(True)))
+    first = F.array_position("_ok", F.lit(True)).cast("int")
+    last = (F.size("_ok") - F.array_position(F.reverse("_ok"), F.lit(True)) + 1).cast("int")
+    kept = last - first + width
+    cut = {"seq": F.substr("seq", first, kept), "qual": F.substr("qual", first, kept)}
+    return marked.select(*[cut[c].alias(c) if c in cut else c for c in reads.columns])
+
+
+def _computed(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """Add a column that is computed once per row.
+
+    Projections are merged into the lambdas and filters that use them, where an array of
+    a read's length would be rebuilt for each of its elements; a generator is not.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
 
 
 BASES = ("a", "c", "g", "t")

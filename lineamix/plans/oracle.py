@@ -141,11 +141,14 @@ VIEWS = {
   union all
   select 'abundance', sample, coverage, t.lineage, contains(p.lineage, t.lineage), p.lineage = t.lineage
   from v_top p join v_dominant t using (sample)""",
+    "v_matches": """
+  select distinct c.clade as pattern, m.pango
+  from (select distinct clade from v_calls) c
+  join v_clade_map m on regexp_matches(m.clade, c.clade, 'i')""",
     "v_clade_hits": """
-  select 'clade' as tool, c.sample, c.coverage, t.lineage as truth,
-    exists (select 1 from v_clade_map m where regexp_matches(m.clade, c.clade, 'i')
-            and m.pango = t.lineage) as hit
-  from v_calls c join v_dominant t on c.sample = t.sample""",
+  select 'clade' as tool, c.sample, c.coverage, t.lineage as truth, m.pango is not null as hit
+  from v_calls c join v_dominant t on c.sample = t.sample
+  left join v_matches m on m.pattern = c.clade and m.pango = t.lineage""",
     "v_all_hits": """
   select tool, sample, coverage, hit from v_hits
   union all select tool, sample, coverage, hit from v_clade_hits""",
@@ -170,12 +173,12 @@ VIEWS = {
           from v_folded group by 1, 2, 3)) where rn = 1""",
     "v_points": "select f.*, rmse from v_folded f join v_chosen using (sample, coverage, solution)",
     "v_mix_points": """
-  select sample, coverage, case when t.lineage is null then '~other' else t.lineage end as label,
-    coalesce(max(t.fraction), 0.0e0) as actual, sum(m.fraction) as predicted
-  from (select sample, coverage, target_id,
-          tpm / sum(tpm) over (partition by sample, coverage) as fraction from v_mix) m
-  left join (select sample, lineage, fraction from v_truth) t
-    using (sample) where false group by 1, 2, 3""",
+  select sample, coverage, label, max(actual) as actual, sum(predicted) as predicted
+  from (select m.sample, m.coverage, coalesce(t.lineage, '~other') as label,
+          coalesce(t.fraction, 0.0e0) as actual, m.fraction as predicted
+        from (select *, tpm / sum(tpm) over (partition by sample, coverage) as fraction from v_mix) m
+        left join v_truth t on t.sample = m.sample and t.lineage = m.target_id)
+  group by 1, 2, 3 having label <> '~other' or sum(predicted) > 0""",
     "v_tables": f"""
   select sample, lineage as prediction, {_class('lineage')} as who_name, fraction, 'truth' as tool
   from v_truth
@@ -213,15 +216,16 @@ VIEWS = {
   select a.sample, cast(row_number() over (partition by a.sample order by a.ord, b.ord) as int) as pair_index,
     a.lineage as lineage1, b.lineage as lineage2
   from v_nation a join v_nation b on a.sample = b.sample and a.ord < b.ord""",
+    "v_sizes": "select lineage, count(*) as n from v_sets group by 1",
+    "v_shared": """
+  select p.sample, p.pair_index, count(*) as shared
+  from v_couples p join v_sets x on x.lineage = p.lineage1
+  join v_sets y on y.lineage = p.lineage2 and y.variant = x.variant group by 1, 2""",
     "v_similar": """
-  select p.*,
-    (select count(*) from v_sets x join v_sets y on x.variant = y.variant
-     where x.lineage = p.lineage1 and y.lineage = p.lineage2) as shared,
-    (select count(*) from v_sets x where x.lineage = p.lineage1)
-    + (select count(*) from v_sets y where y.lineage = p.lineage2)
-    - 2 * (select count(*) from v_sets x join v_sets y on x.variant = y.variant
-           where x.lineage = p.lineage1 and y.lineage = p.lineage2) as difference
-  from v_couples p""",
+  select p.*, coalesce(s.shared, 0) as shared,
+    coalesce(a.n, 0) + coalesce(b.n, 0) - 2 * coalesce(s.shared, 0) as difference
+  from v_couples p left join v_shared s on s.sample = p.sample and s.pair_index = p.pair_index
+  left join v_sizes a on a.lineage = p.lineage1 left join v_sizes b on b.lineage = p.lineage2""",
     "v_share": """
   select lineage, l_suppkey, count(*) as n_calls, count(*) filter (gt = '1|1') as n_hom_alt,
     count(*) filter (gt = '1|1') / count(*) as share
@@ -282,13 +286,6 @@ VIEWS = {
   select distinct p_type as target_id,
     case when length(p_type) > 5 then substr(p_type, 1, 2) else p_type end as short from part""",
 }
-VIEWS["v_mix_points"] = """
-  select sample, coverage, label, max(actual) as actual, sum(predicted) as predicted
-  from (select m.sample, m.coverage, coalesce(t.lineage, '~other') as label,
-          coalesce(t.fraction, 0.0e0) as actual, m.fraction as predicted
-        from (select *, tpm / sum(tpm) over (partition by sample, coverage) as fraction from v_mix) m
-        left join v_truth t on t.sample = m.sample and t.lineage = m.target_id)
-  group by 1, 2, 3 having label <> '~other' or sum(predicted) > 0"""
 
 
 def _needed(text: str, found: list[str]) -> list[str]:
@@ -354,16 +351,17 @@ def _merged(tools: list[str]) -> str:
     )
 
 
-def _window_trim() -> str:
-    """Windows of four scores, by list functions; whole texts."""
-    return """
-  select sample, read_id, substr(seq, a, b - a + w) as seq, substr(qual, a, b - a + w) as qual from (
-    select *, list_position(ok, true) as a, len(ok) - list_position(list_reverse(ok), true) + 1 as b from (
-      select *, list_transform(range(1, len(q) - w + 2), lambda i: list_sum(q[i:i + w - 1]) >= 28 * w) as ok
-      from (select *, least(4, len(q)) as w from (
-        select *, list_transform(string_split(qual, ''), lambda c: ascii(c) - 33) as q
-        from v_fastq where seq <> ''))))
-  where a > 0"""
+_TRIMMED = """
+  select sample, read_id, substr(seq, a, z - a + w) as seq, substr(qual, a, z - a + w) as qual
+  from v_fastq join (
+    select sample, read_id, least(4, n) as w, min(i) as a, max(i) as z
+    from (select sample, read_id, i, count(*) over (partition by sample, read_id) as n,
+            sum(q) over (partition by sample, read_id order by i
+              rows between current row and 3 following) as total
+          from (select sample, read_id, unnest(range(1, length(qual) + 1)) as i,
+                  ascii(unnest(string_split(qual, ''))) - 33 as q from v_fastq where seq <> ''))
+    where i <= n - least(4, n) + 1 and total >= 28 * least(4, n) group by 1, 2, 3)
+  using (sample, read_id)"""
 
 
 _BODIES: dict[str, str] = {
@@ -474,7 +472,7 @@ _BODIES: dict[str, str] = {
     "quality_filter": """select sample, read_id, cast(length(seq) as int) as length from v_fastq
         where length(regexp_replace(qual, '[5-~]', '', 'g')) <= length(qual) * 0.4e0""",
     "quality_trim": f"""select sample, read_id, cast(length(seq) as int) as length, md5(seq) as seq_md5,
-        md5(qual) as qual_md5 from ({_window_trim()})""",
+        md5(qual) as qual_md5 from ({_TRIMMED})""",
     "contig_lengths": r"""select doc_id, length(regexp_replace(text, '\s', '', 'g')) as length from documents""",
     "metadata_lookup": f"""select sample, coalesce(cast(collection_date as varchar), 'NA') as collection_date,
         {_r9('measure')} from v_meta left join (select sample, max(fraction) as measure

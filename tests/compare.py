@@ -6,6 +6,7 @@ import glob
 import math
 import os
 import sys
+import threading
 import time
 
 import duckdb
@@ -49,7 +50,12 @@ KINDS = {
 def differences(frame, con, statement) -> list[str]:
     problems = []
     left_cols, left = normalised(frame.columns, [tuple(r) for r in frame.collect()])
-    cursor = con.execute(statement)
+    watch = threading.Timer(120, con.interrupt)
+    watch.start()
+    try:
+        cursor = con.execute(statement)
+    finally:
+        watch.cancel()
     names = [c[0] for c in cursor.description]
     types = {c[0]: str(c[1]) for c in cursor.description}
     right_cols, right = normalised(names, cursor.fetchall())
