@@ -42,13 +42,12 @@ def read_bins(reads: DataFrame) -> DataFrame:
 def region_bins(regions: DataFrame) -> DataFrame:
     """Regions with every bin they touch, on all levels."""
     start, last = F.col("g_start"), _last(F.col("g_start"), F.col("g_end"))
-    per_level = F.array(*[
-        F.transform(
-            F.sequence(F.shiftright(start, _shift(depth)), F.shiftright(last, _shift(depth))),
-            lambda b, depth=depth: F.struct(F.lit(depth).alias("_level"), b.alias("_bin")),
-        )
-        for depth in range(LEVELS)
-    ])
+
+    def entries(depth: int) -> Column:
+        touched = F.sequence(F.shiftright(start, _shift(depth)), F.shiftright(last, _shift(depth)))
+        return F.transform(touched, lambda b: F.struct(F.lit(depth).alias("_level"), b.alias("_bin")))
+
+    per_level = F.array(*[entries(depth) for depth in range(LEVELS)])
     top = F.array(F.struct(F.lit(LEVELS).alias("_level"), F.lit(0).cast("bigint").alias("_bin")))
     named = regions.select(
         "chrom",

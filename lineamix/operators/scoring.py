@@ -86,12 +86,17 @@ def spearman(
     """Rank correlation by group, NULL when one side is constant.
 
     Equal pairs are counted first, ranks come from the histogram of distinct values,
-    so neither a hot value nor one huge group is sorted in one task.
+    so neither a hot value nor one huge group is sorted in one task. Values are rounded
+    to 12 decimals: equal sums must tie whatever the order of summation.
     """
     keys = list(keys)
     points = pairs.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    # -0.0 and 0.0 are one value.
-    cells = points.select(*keys, (F.col(x) + 0.0).alias("x"), (F.col(y) + 0.0).alias("y"))
+
+    def value(name: str) -> F.Column:
+        # -0.0 and 0.0 are one value.
+        return F.round(name, 12) + 0.0
+
+    cells = points.select(*keys, value(x).alias("x"), value(y).alias("y"))
     cells = cells.groupBy(*keys, "x", "y").agg(F.count(F.lit(1)).alias("w"))
     ranked = cells.join(average_ranks(cells, keys, "x", "w"), [*keys, "x"]).join(
         average_ranks(cells, keys, "y", "w"), [*keys, "y"]
@@ -124,25 +129,24 @@ def require_parity(predicted: DataFrame, truth: DataFrame) -> None:
         raise ValueError("predictions and truth do not cover the same samples")
 
 
-def call_hits(
-    calls: DataFrame, truth: DataFrame, keys: Sequence[str], match: str = "substring"
-) -> DataFrame:
-    """Whether a sample's call names the true lineage.
+def call_hits(calls: DataFrame, truth: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Whether a sample's calls name the true lineage.
 
-    ``calls`` may hold several rows per sample; one hit is enough. ``exact`` compares
-    names, ``substring`` also accepts a call that contains the true name.
+    ``calls`` may hold several rows per sample; one hit is enough. ``hit_exact`` compares
+    names. ``hit`` does so for a ``listed`` call (a tool that lists its solutions); for a
+    single call it is true whenever the call contains the true name.
     """
-    if match not in ("exact", "substring"):
-        raise ValueError(f"unknown match {match!r}")
     wanted = truth.select("sample", F.col("lineage").alias("truth"))
-    hit = (
-        F.col("lineage").eqNullSafe(F.col("truth")) if match == "exact"
-        else F.col("lineage").contains(F.col("truth"))
-    )
+    exact = F.coalesce(F.col("lineage") == F.col("truth"), F.lit(False))
+    loose = F.coalesce(F.col("lineage").contains(F.col("truth")), F.lit(False))
     return (
         calls.join(wanted, "sample")
         .groupBy(*keys)
-        .agg(F.max("truth").alias("truth"), F.coalesce(F.max(hit), F.lit(False)).alias("hit"))
+        .agg(
+            F.max("truth").alias("truth"),
+            F.max(F.when(F.col("listed"), exact).otherwise(loose)).alias("hit"),
+            F.max(exact).alias("hit_exact"),
+        )
     )
 
 

@@ -197,7 +197,7 @@ def mse_points(s, d):
 
 @query
 def spearman(s, d):
-    """Rank correlation of quantity and discount over all line items, by return flag."""
+    """Rank correlation of quantity and price over all line items, by return flag."""
     pairs = views.table(s, d, "lineitem").select(
         "l_returnflag", F.col("l_quantity").alias("actual"), F.col("l_extendedprice").alias("predicted")
     )
@@ -214,11 +214,10 @@ def key_parity(s, d):
 
 @query
 def call_match(s, d):
-    parts = (views.truth(s, d), views.posterior(s, d), views.calls(s, d), views.mix_abundance(s, d))
-    keys = ["tool", "sample", "coverage"]
-    loose = studies.tool_hits(*parts).select(*keys, "truth", F.col("hit").alias("hit_substring"))
-    exact = studies.tool_hits(*parts, match="exact").select(*keys, F.col("hit").alias("hit_exact"))
-    return loose.join(exact, keys)
+    hits = studies.tool_hits(
+        views.truth(s, d), views.posterior(s, d), views.calls(s, d), views.mix_abundance(s, d)
+    )
+    return hits.withColumnRenamed("hit", "hit_substring")
 
 
 @query

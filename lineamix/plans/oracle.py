@@ -312,8 +312,8 @@ def _r9(expr: str, alias: str | None = None) -> str:
 
 def _spearman(source: str, key: str, x: str, y: str) -> str:
     def rank(v: str) -> str:
-        peers = f"count(*) over (partition by {key}, {v})"
-        return f"rank() over (partition by {key} order by {v}) + ({peers} - 1) / 2.0e0"
+        peers = f"count(*) over (partition by {key}, round({v}, 12))"
+        return f"rank() over (partition by {key} order by round({v}, 12)) + ({peers} - 1) / 2.0e0"
 
     return f"""(select {key}, corr(rx, ry) as spearman, count(*) as n_points
   from (select {key}, {rank(x)} as rx, {rank(y)} as ry from {source}) group by 1)"""

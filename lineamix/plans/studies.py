@@ -119,22 +119,26 @@ def simulation_input(
 
 
 def tool_hits(
-    truth: DataFrame, posterior: DataFrame, consensus: DataFrame, abundance: DataFrame,
-    match: str = "substring",
+    truth: DataFrame, posterior: DataFrame, consensus: DataFrame, abundance: DataFrame
 ) -> DataFrame:
     """Hits of the three tools that name lineages, by coverage and sample."""
-    dominant = fractions.dominant(truth, ["sample"])
-    listed = solutions.dominant_per_solution(solutions.best_solutions(posterior))
-    parts = {
-        "posterior": (listed, "exact"),
-        "consensus": (consensus, match),
-        "abundance": (fractions.top_target(abundance), match),
+    best = solutions.best_solutions(posterior)
+    named = {
+        "posterior": solutions.dominant_per_solution(best),
+        "consensus": consensus,
+        "abundance": fractions.top_target(abundance),
     }
-    hits = [
-        scoring.call_hits(rows, dominant, BY_COVERAGE, how).withColumn("tool", F.lit(tool))
-        for tool, (rows, how) in parts.items()
+    calls = [
+        rows.select(
+            F.lit(tool).alias("tool"), *BY_COVERAGE, "lineage",
+            F.lit(tool == "posterior").alias("listed"),
+        )
+        for tool, rows in named.items()
     ]
-    return reduce(DataFrame.unionByName, hits)
+    dominant = fractions.dominant(truth, ["sample"])
+    return scoring.call_hits(
+        reduce(DataFrame.unionByName, calls), dominant, ["tool", *BY_COVERAGE]
+    )
 
 
 def clade_tool_hits(truth: DataFrame, clade_calls: DataFrame, clade_map: DataFrame) -> DataFrame:
@@ -152,7 +156,7 @@ def abundant_validation(
     clade_calls: DataFrame, clade_map: DataFrame,
 ) -> DataFrame:
     """One row per coverage with call rate and accuracy of every tool."""
-    hits = tool_hits(truth, posterior, consensus, abundance).unionByName(
+    hits = tool_hits(truth, posterior, consensus, abundance).drop("hit_exact").unionByName(
         clade_tool_hits(truth, clade_calls, clade_map)
     )
     scores = scoring.accuracy(hits, ["tool", "coverage"], n_expected(truth))
