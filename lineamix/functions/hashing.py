@@ -10,7 +10,8 @@ HASH_SPACE = 1 << 52
 def hash52(seed: int, *cols: str | Column) -> Column:
     """52-bit integer from the md5 of ``seed|col|col…``: the same on every run and layout."""
     parts = [F.lit(str(seed))] + [(F.col(c) if isinstance(c, str) else c).cast("string") for c in cols]
-    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 13), 16, 10).cast("bigint")
+    number = F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 13), 16, 10).cast("bigint")
+    return F.coalesce(number, F.lit(0).cast("bigint"))
 
 
 def hash_unit(seed: int, *cols: str | Column) -> Column:

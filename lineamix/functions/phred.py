@@ -2,21 +2,114 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 OFFSET = 33
 
 
-def scores(qual: Column) -> Column:
-    """Array of quality scores."""
-    return F.transform(
-        F.filter(F.split(qual, ""), lambda c: c != ""), lambda c: F.ascii(c) - F.lit(OFFSET)
-    )
-
-
 def low_bases(qual: Column, minimum: int) -> Column:
     """Number of bases under ``minimum``, counted without building an array."""
     if minimum <= 0:
         return F.lit(0)
     top = OFFSET + minimum - 1
-    return F.length(qual) - F.length(F.regexp_replace(qual, rf"[\x{OFFSET:02x}-\x{top:02x}]", ""))
+    kept = F.regexp_replace(qual, rf"[\x{OFFSET:02x}-\x{top:02x}]+", "")
+    return F.length(qual) - F.length(kept)
+
+
+def flatten(texts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all texts in one array, and the length of each text."""
+    encoded = [t.encode("latin-1", "replace") for t in texts]
+    lengths = np.fromiter(map(len, encoded), dtype=np.int64, count=len(encoded))
+    return np.frombuffer(b"".join(encoded), dtype=np.uint8), lengths
+
+
+def window_bounds(window: int, min_mean: float):
+    """Pandas UDF: 1-based start and length of the part between the first and the last
+    window whose mean quality reaches ``min_mean``; NULL without one.
+
+    A batch is one flat array: built-in array lambdas cost a call per base.
+    """
+
+    @F.pandas_udf("struct<at: int, kept: int>")
+    def bounds(quals: pd.Series) -> pd.DataFrame:
+        out = pd.DataFrame({
+            "at": pd.array([pd.NA] * len(quals), dtype="Int32"),
+            "kept": pd.array([pd.NA] * len(quals), dtype="Int32"),
+        })
+        codes, lengths = flatten(quals.fillna(""))
+        if not len(codes):
+            return out
+        sums = np.concatenate([[0], np.cumsum(codes.astype(np.int64) - OFFSET)])
+        ends = np.cumsum(lengths)
+        owner = np.repeat(np.arange(len(lengths)), lengths)
+        at = np.arange(len(codes))
+        width = np.minimum(lengths, window)[owner]
+        stop = np.minimum(at + width, ends[owner])
+        passed = (at + width <= ends[owner]) & (sums[stop] - sums[at] >= width * min_mean)
+        hits, reads = at[passed], owner[passed]
+        if not len(hits):
+            return out
+        # Hits are in order, so the first and last of each read are at its borders.
+        edge = np.flatnonzero(np.diff(reads)) + 1
+        first = hits[np.concatenate([[0], edge])]
+        last = hits[np.concatenate([edge - 1, [len(hits) - 1]])]
+        who = owner[first]
+        start = ends[who] - lengths[who]
+        at_column = np.zeros(len(lengths), dtype=np.int32)
+        kept_column = np.zeros(len(lengths), dtype=np.int32)
+        at_column[who] = first - start + 1
+        kept_column[who] = last - first + np.minimum(lengths[who], window)
+        empty = at_column == 0
+        out["at"] = pd.arrays.IntegerArray(at_column, empty.copy())
+        out["kept"] = pd.arrays.IntegerArray(kept_column, empty.copy())
+        return out
+
+    # Otherwise a filter on the result is pushed below and the work is done twice.
+    return bounds.asNondeterministic()
+
+
+def position_sums(keys: list[str], bases: tuple[str, ...]):
+    """Function for mapInPandas: per batch and position, reads, score sums and base counts.
+
+    One row leaves per key and position of a batch instead of one per base.
+    """
+    codes_of = [(b, {ord(b.lower()), ord(b.upper())}) for b in bases]
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if batch.empty:
+                continue
+            groups = batch.groupby(keys, sort=False, dropna=False)
+            owner_key = groups.ngroup().to_numpy()
+            names = batch[keys].iloc[np.unique(owner_key, return_index=True)[1]]
+            flat = [flatten(batch[c].fillna("")) for c in ("seq", "qual")]
+            longest = np.maximum(flat[0][1], flat[1][1])
+            spans = np.zeros(len(names), dtype=np.int64)
+            np.maximum.at(spans, owner_key, longest)
+            base = np.concatenate([[0], np.cumsum(spans)])
+            size = int(base[-1])
+
+            def slots(lengths: np.ndarray) -> np.ndarray:
+                starts = np.cumsum(lengths) - lengths
+                inside = np.arange(lengths.sum()) - np.repeat(starts, lengths)
+                return np.repeat(base[owner_key], lengths) + inside
+
+            (seq, seq_len), (qual, qual_len) = flat
+            seq_slots, qual_slots = slots(seq_len), slots(qual_len)
+            group = np.repeat(np.arange(len(names)), spans)
+            out = names.iloc[group].reset_index(drop=True)
+            out["pos"] = (np.arange(size) - base[group] + 1).astype(np.int32)
+            out["reads"] = np.bincount(slots(longest), minlength=size)
+            out["scored"] = np.bincount(qual_slots, minlength=size)
+            scores = qual.astype(np.float64) - OFFSET
+            out["score_sum"] = np.bincount(qual_slots, weights=scores, minlength=size).astype(np.int64)
+            for name, codes in codes_of:
+                hit = np.isin(seq, list(codes))
+                out[f"n_{name}"] = np.bincount(seq_slots[hit], minlength=size)
+            yield out[out["reads"] > 0]
+
+    return sums

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lineamix.operators.ordering import top_k
+from lineamix.operators.ordering import known, top_k
 
 
 def totals(df: DataFrame, keys: Sequence[str], value: str, out: str = "total") -> DataFrame:
@@ -17,11 +17,13 @@ def shares(df: DataFrame, keys: Sequence[str], value: str, out: str = "fraction"
     """Share of ``value`` in its group's total; NULL where the total is 0.
 
     Totals are aggregated on the map side and joined back, so that a hot group is
-    never gathered the way a window over it would.
+    never gathered the way a window over it would. Keys are not NULL: saying so lets
+    both branches share one shuffle of ``df``.
     """
     keys = list(keys)
+    rows = known(df, keys)
     return (
-        df.join(totals(df, keys, value, "_total"), keys, "left")
+        rows.join(totals(rows, keys, value, "_total"), keys)
         .withColumn(out, F.try_divide(value, "_total"))
         .drop("_total")
     )
@@ -94,6 +96,7 @@ def top_with_other(
     The ``other`` row is there even when nothing remains.
     """
     keys = list(keys)
+    abundance = known(abundance, keys)
     top = top_k(
         abundance.select(*keys, "target_id", "tpm"), keys, [F.desc("tpm"), F.asc("target_id")], k
     )

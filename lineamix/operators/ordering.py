@@ -8,6 +8,7 @@ offsets come from a window over the buckets, and rows are only ordered inside th
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -30,17 +31,29 @@ def value_bucket(value: Column) -> Column:
     slot = F.floor((size / F.pow(F.lit(2.0), exponent) - 1.0) * MANTISSA_SLOTS)
     slot = F.least(F.greatest(slot, F.lit(-1)), F.lit(MANTISSA_SLOTS))
     code = (exponent + EXPONENT_SHIFT) * (MANTISSA_SLOTS + 2) + slot + 1
-    return F.when(value == 0, F.lit(0)).when(value > 0, code).otherwise(-code).cast("bigint")
+    signed = F.when(value == 0, F.lit(0)).when(value > 0, code).otherwise(-code).cast("bigint")
+    return F.coalesce(signed, F.lit(0).cast("bigint"))
 
 
 def text_bucket(text: Column, length: int = 3) -> Column:
     """Leading characters: grows with the text in binary order."""
-    return F.substring(text, 1, length)
+    return F.coalesce(F.substring(text, 1, length), F.lit(""))
 
 
 def hash_bucket(hash_col: Column, buckets: int) -> Column:
     """Equal slices of the hash range; grows with the hash."""
-    return F.floor(hash_col / F.lit(float(HASH_SPACE // buckets))).cast("int")
+    slice_no = F.floor(hash_col / F.lit(float(HASH_SPACE // buckets))).cast("int")
+    return F.coalesce(slice_no, F.lit(0))
+
+
+def known(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows whose keys are not NULL.
+
+    Joins add this filter to one of their sides, and it sinks to the scan. Where a plan
+    uses ``df`` twice, saying it first keeps both uses equal and they share one shuffle.
+    Buckets and values are made non-NULL for the same reason.
+    """
+    return df.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
 
 
 def running_total(
@@ -58,7 +71,7 @@ def running_total(
     for the total of the whole group.
     """
     keys = list(keys)
-    rows = df.withColumn("_bucket", bucket).withColumn("_value", value)
+    rows = known(df, keys).withColumn("_bucket", bucket).withColumn("_value", value)
     sums = rows.groupBy(*keys, "_bucket").agg(F.sum("_value").alias("_sum"))
     before = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
@@ -113,7 +126,7 @@ def hash_cutoffs(
     counted; just the bucket in which the quota falls is ordered.
     """
     keys = list(keys)
-    hashed = units.select(*keys, unit, quota, hash52(seed, *keys, unit).alias("_hash"))
+    hashed = known(units, keys).select(*keys, unit, quota, hash52(seed, *keys, unit).alias("_hash"))
     hashed = hashed.withColumn("_bucket", hash_bucket(F.col("_hash"), buckets))
     counts = hashed.groupBy(*keys, "_bucket").agg(
         F.count(F.lit(1)).alias("_n"), F.max(quota).alias("_quota")
@@ -130,7 +143,7 @@ def hash_cutoffs(
     )
     inside = W.partitionBy(*keys, "_bucket").orderBy("_hash", unit)
     return (
-        hashed.drop(quota)
+        hashed
         .join(crossing, [*keys, "_bucket"])
         .withColumn("_rn", F.row_number().over(inside))
         .where(F.col("_rn") == F.col("_rest"))

@@ -100,53 +100,31 @@ def quality_trim(reads: DataFrame, window: int = 4, min_mean: int = 20) -> DataF
     Reads without such a window, empty ones included, are dropped. Shorter reads count
     as one window.
     """
-    width = F.least(F.size("_q"), F.lit(window))
-
-    def window_sum(_: Column, i: Column) -> Column:
-        # Elements past the end are NULL and count 0; such windows are not looked at.
-        total = F.get("_q", i)
-        for k in range(1, window):
-            total = total + F.coalesce(F.get("_q", i + k), F.lit(0))
-        return total
-
-    sums = F.slice(F.transform("_q", window_sum), F.lit(1), F.size("_q") - width + 1)
-    passed = F.transform(sums, lambda total: total >= width * min_mean)
-    scored = _computed(reads, phred.scores(F.col("qual")), "_q").where(F.size("_q") > 0)
-    marked = _computed(scored, passed, "_ok").where(F.array_contains("_ok", F.lit(True)))
-    first = F.array_position("_ok", F.lit(True)).cast("int")
-    last = (F.size("_ok") - F.array_position(F.reverse("_ok"), F.lit(True)) + 1).cast("int")
-    kept = last - first + width
-    cut = {"seq": F.substr("seq", first, kept), "qual": F.substr("qual", first, kept)}
+    bounds = phred.window_bounds(window, min_mean)
+    marked = reads.withColumn("_part", bounds("qual")).where("_part.at is not null")
+    cut = {c: F.substr(c, F.col("_part.at"), F.col("_part.kept")) for c in ("seq", "qual")}
     return marked.select(*[cut[c].alias(c) if c in cut else c for c in reads.columns])
 
 
-def _computed(df: DataFrame, value: Column, name: str) -> DataFrame:
-    """Add a column that is computed once per row.
-
-    Projections are merged into the lambdas and filters that use them, where an array of
-    a read's length would be rebuilt for each of its elements; a generator is not.
-    """
-    return df.select("*", F.explode(F.array(value)).alias(name))
-
-
 BASES = ("a", "c", "g", "t")
 
 
 def read_qc(reads: DataFrame, keys: Sequence[str] = ("sample",)) -> DataFrame:
     """Mean quality, reads and base counts by position.
 
-    Rows per position are summed on the map side before the shuffle.
+    Each batch of reads is reduced to sums per position before the shuffle.
     """
-    bases = F.filter(F.split(F.lower("seq"), ""), lambda c: c != "")
-    cells = F.arrays_zip(bases.alias("base"), phred.scores(F.col("qual")).alias("score"))
-    per_base = reads.select(*keys, F.posexplode(cells).alias("_at", "_cell")).select(
-        *keys, (F.col("_at") + 1).alias("pos"), F.col("_cell")["base"].alias("base"),
-        F.col("_cell")["score"].alias("score"),
+    names = list(keys)
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in reads.select(*names).schema)
+    counts = ", ".join(f"n_{b} bigint" for b in BASES)
+    partial = reads.select(*names, "seq", "qual").mapInPandas(
+        phred.position_sums(names, BASES),
+        f"{fields}, pos int, reads bigint, scored bigint, score_sum bigint, {counts}",
     )
-    return per_base.groupBy(*keys, "pos").agg(
-        F.avg("score").alias("mean_quality"),
-        F.count(F.lit(1)).alias("n_reads"),
-        *[F.count(F.when(F.col("base") == b, 1)).alias(f"n_{b}") for b in BASES],
+    return partial.groupBy(*names, "pos").agg(
+        F.try_divide(F.sum("score_sum"), F.sum("scored")).alias("mean_quality"),
+        F.sum("reads").alias("n_reads"),
+        *[F.sum(f"n_{b}").alias(f"n_{b}") for b in BASES],
     )
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from lineamix.functions.names import fold_ascii
-from lineamix.operators.ordering import average_ranks
+from lineamix.operators.ordering import average_ranks, known
 
 FOLDED = "~other"
 
@@ -90,11 +90,11 @@ def spearman(
     to 12 decimals: equal sums must tie whatever the order of summation.
     """
     keys = list(keys)
-    points = pairs.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    points = known(pairs, [*keys, x, y])
 
     def value(name: str) -> F.Column:
         # -0.0 and 0.0 are one value.
-        return F.round(name, 12) + 0.0
+        return F.coalesce(F.rint(F.col(name) * 1e12) / 1e12 + 0.0, F.lit(0.0))
 
     cells = points.select(*keys, value(x).alias("x"), value(y).alias("y"))
     cells = cells.groupBy(*keys, "x", "y").agg(F.count(F.lit(1)).alias("w"))

@@ -25,6 +25,7 @@ MIX_READS = 20
 
 def query(func: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        views.forget_tables()
         return func(tune(spark), sf_dir)
 
     QUERIES[func.__name__] = run

@@ -40,8 +40,20 @@ LETTERS = "abcdefghijklmnopqrstuvwxyz"
 LETTER_QUALITY = "".join(chr(33 + ord(c) % 42) for c in LETTERS)
 
 
+_opened: dict[str, DataFrame] = {}
+
+
+def forget_tables() -> None:
+    """Called before each query, so that files are listed anew."""
+    _opened.clear()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """Each table's footer is read once per query, not once per use."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _opened:
+        _opened[path] = spark.read.parquet(path)
+    return _opened[path]
 
 
 def _text(name: str) -> Column:
@@ -74,12 +86,16 @@ def typed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items with part type and customer."""
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type")
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    return table(spark, sf_dir, "lineitem").join(parts, "l_partkey").join(orders, "l_orderkey")
+
+
+def _typed_totals(spark: SparkSession, sf_dir: str, by_coverage: bool, total: Column) -> DataFrame:
+    """Aggregate by customer(, line status) and part type; names are made afterwards."""
+    status = ["l_linestatus"] if by_coverage else []
+    coverage = [_line_coverage().alias("coverage")] if by_coverage else []
     return (
-        table(spark, sf_dir, "lineitem")
-        .join(parts, "l_partkey")
-        .join(orders, "l_orderkey")
-        .withColumn("sample", _text("o_custkey"))
-        .withColumn("coverage", _line_coverage())
+        typed_lines(spark, sf_dir).groupBy("o_custkey", *status, "p_type").agg(total.alias("total"))
+        .select(_text("o_custkey").alias("sample"), *coverage, "p_type", "total")
     )
 
 
@@ -107,9 +123,9 @@ def abundance(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return (
         table(spark, sf_dir, "lineitem")
-        .select("l_partkey", _text("l_suppkey").alias("sample"), _line_coverage().alias("coverage"), "l_quantity")
         .join(parts, "l_partkey")
-        .groupBy("sample", "coverage", "target_id").agg(F.sum("l_quantity").alias("tpm"))
+        .groupBy("l_suppkey", "l_linestatus", "target_id").agg(F.sum("l_quantity").alias("tpm"))
+        .select(_text("l_suppkey").alias("sample"), _line_coverage().alias("coverage"), "target_id", "tpm")
     )
 
 
@@ -119,10 +135,8 @@ def mix_keys(by_coverage: bool) -> list[str]:
 
 def mix_abundance(spark: SparkSession, sf_dir: str, by_coverage: bool = True) -> DataFrame:
     """Customer samples with part types as targets."""
-    return (
-        typed_lines(spark, sf_dir)
-        .groupBy(*mix_keys(by_coverage), F.col("p_type").alias("target_id"))
-        .agg(F.sum("l_quantity").alias("tpm"))
+    return _typed_totals(spark, sf_dir, by_coverage, F.sum("l_quantity")).withColumnsRenamed(
+        {"p_type": "target_id", "total": "tpm"}
     )
 
 
@@ -165,7 +179,7 @@ def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 def calls(spark: SparkSession, sf_dir: str, by_coverage: bool = True) -> DataFrame:
     """Most frequent part type of each customer, as called by consensus tools."""
     keys = mix_keys(by_coverage)
-    n = typed_lines(spark, sf_dir).groupBy(*keys, "p_type").agg(F.count(F.lit(1)).alias("n"))
+    n = _typed_totals(spark, sf_dir, by_coverage, F.count(F.lit(1))).withColumnRenamed("total", "n")
     top = n.groupBy(*keys).agg(
         F.max_by(F.struct("p_type", "n"), F.struct(F.col("n"), -type_code(F.col("p_type")))).alias("t")
     )
@@ -237,7 +251,7 @@ def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fastq(spark: SparkSession, sf_dir: str) -> DataFrame:
     """English documents as reads; qualities follow from the letters."""
-    seq = F.regexp_replace("text", "[^a-z]", "")
+    seq = F.regexp_replace("text", "[^a-z]+", "")
     return table(spark, sf_dir, "documents").where(F.col("lang") == "en").select(
         F.col("source").alias("sample"), _text("doc_id").alias("read_id"), F.lit(1).alias("mate"),
         seq.alias("seq"), F.translate(seq, LETTERS, LETTER_QUALITY).alias("qual"),
@@ -248,7 +262,7 @@ def mix_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two mates per line item, by customer and part type."""
     read_id = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     return typed_lines(spark, sf_dir).select(
-        "sample", F.col("p_type").alias("lineage"), read_id.alias("read_id"),
+        _text("o_custkey").alias("sample"), F.col("p_type").alias("lineage"), read_id.alias("read_id"),
         F.explode(F.array(F.lit(1), F.lit(2))).alias("mate"),
     )
 
