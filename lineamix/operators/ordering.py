@@ -118,7 +118,7 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int) -
 
 
 def hash_cutoffs(
-    units: DataFrame, keys: Sequence[str], unit: str, quota: str, seed: int, buckets: int = 1024
+    units: DataFrame, keys: Sequence[str], unit: str, quota: str, seed: int, buckets: int = 1 << 16
 ) -> DataFrame:
     """Hash and name of the last unit inside each stratum's quota.
 
@@ -160,13 +160,17 @@ def coordinate_sort(df: DataFrame, order: Sequence[str], partitions: int | None
     return ranged.sortWithinPartitions(*order)
 
 
-def sort_positions(df: DataFrame, order: Sequence[str], partitions: int = 64) -> DataFrame:
+def sort_positions(
+    df: DataFrame, order: Sequence[str], partitions: int | None = None
+) -> DataFrame:
     """Global sort position over any order, without one task seeing all rows.
 
     Equal rows become one row with ``copies``; ``first_position`` counts from 1. The
     range partitions are written to the checkpoint folder first, so that a lost
     executor cannot move a boundary between the two passes.
     """
+    if partitions is None:
+        partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rest = [c for c in df.columns if c not in order]
     keys = [*order, *rest]
     runs = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies"))
@@ -174,7 +178,7 @@ def sort_positions(df: DataFrame, order: Sequence[str], partitions: int = 64) ->
         runs.repartitionByRange(partitions, *keys).withColumn("_block", F.spark_partition_id())
     )
     sums = blocks.groupBy("_block").agg(F.sum("copies").alias("_sum"))
-    # At most `partitions` rows: the window over them is bounded by that constant.
+    # One row per partition, so this window stays small.
     before = W.orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     offsets = sums.select("_block", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
     inside = W.partitionBy("_block").orderBy(*keys).rowsBetween(W.unboundedPreceding, W.currentRow)

@@ -65,7 +65,7 @@ def read_quota(fraction: Column, n_reads: Column | int) -> Column:
 
 def sample_n_reads(
     reads: DataFrame, quotas: DataFrame, keys: Sequence[str], unit: str = "read_id",
-    quota: str = "num_reads", seed: int = 100, buckets: int = 1024,
+    quota: str = "num_reads", seed: int = 100, buckets: int = 1 << 16,
 ) -> DataFrame:
     """Exactly ``quota`` read ids per stratum (all, if there are fewer), in every mate.
 
