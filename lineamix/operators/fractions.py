@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lineamix.operators.ordering import known, top_k
+from lineamix.operators.ordering import attach, known, top_k
 
 
 def totals(df: DataFrame, keys: Sequence[str], value: str, out: str = "total") -> DataFrame:
@@ -23,7 +23,7 @@ def shares(df: DataFrame, keys: Sequence[str], value: str, out: str = "fraction"
     keys = list(keys)
     rows = known(df, keys)
     return (
-        rows.join(totals(rows, keys, value, "_total"), keys)
+        attach(rows, totals(rows, keys, value, "_total"), keys)
         .withColumn(out, F.try_divide(value, "_total"))
         .drop("_total")
     )
@@ -45,7 +45,7 @@ def clade_frequencies(
     per_date = totals(per_clade, ["date"], "sequences", "total_sequences").where(
         (F.col("total_sequences") != 0) & (F.col("total_sequences") >= min_total)
     )
-    kept = per_clade.join(per_date, "date").where(
+    kept = attach(per_clade, per_date, ["date"]).where(
         F.col("sequences") / F.col("total_sequences") >= min_fraction
     )
     return shares(kept, ["date"], "sequences").select(
@@ -107,7 +107,7 @@ def top_with_other(
     groups = totals(abundance, keys, "tpm", "_total").join(bounds, keys, "left")
     marker = F.struct((-F.col("tpm")).alias("rank_tpm"), F.col("target_id"))
     labelled = (
-        abundance.join(groups, keys)
+        attach(abundance, groups, keys)
         .withColumn("_other", marker > F.col("_last"))
         .select(
             *keys,

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lineamix.operators.ordering import attach
+
 BASE_WIDTH = 1 << 8
 LEVEL_STEP = 3
 # The top level has bins of 2^41 positions, more than any contig.
@@ -108,7 +110,7 @@ def clip_lengths(reads: DataFrame, primers: DataFrame) -> DataFrame:
     )
     r = reads.withColumn("at", five_prime)
     return (
-        r.join(reach, ["chrom", "at"], "left")
+        attach(r, reach, ["chrom", "at"], "left")
         .withColumn("clip", clip.cast("bigint"))
         .select(*reads.columns, "clip")
     )

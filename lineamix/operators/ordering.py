@@ -56,6 +56,21 @@ def known(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
 
 
+def attach(df: DataFrame, per_key: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join a table aggregated by ``keys`` to rows of which one key may hold a third.
+
+    Such a table is already partitioned by its keys, and adaptive execution only splits a
+    hot partition when both sides come fresh from a shuffle. The extra join column makes
+    the small side shuffle once more; that is its whole cost.
+    """
+    tag = F.hash(*keys)
+    return (
+        df.withColumn("_tag", tag)
+        .join(per_key.withColumn("_tag", tag), [*keys, "_tag"], how)
+        .drop("_tag")
+    )
+
+
 def running_total(
     df: DataFrame,
     keys: Sequence[str],

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lineamix.functions import phred
+from lineamix.operators.ordering import attach
 
 UNMAPPED, SECONDARY, SUPPLEMENTARY = 0x4, 0x100, 0x800
 FIRST_MATE, SECOND_MATE = 0x40, 0x80
@@ -56,7 +57,7 @@ def mate_pairs(alignments: DataFrame, keys: Sequence[str] = ("sample", "qname"))
         "mate", mate_number(F.col("flag"))
     )
     names = kept.groupBy(*keys).agg((F.min("mate") == F.max("mate")).alias("singleton"))
-    return kept.join(names, list(keys))
+    return attach(kept, names, keys)
 
 
 CLIPPED, TRIMMED, RAW_MIX = "clipped", "trimmed", "raw_mix"

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from lineamix.functions.names import fold_ascii
-from lineamix.operators.ordering import average_ranks, known
+from lineamix.operators.ordering import attach, average_ranks, known
 
 FOLDED = "~other"
 
@@ -140,7 +140,7 @@ def call_hits(calls: DataFrame, truth: DataFrame, keys: Sequence[str]) -> DataFr
     exact = F.coalesce(F.col("lineage") == F.col("truth"), F.lit(False))
     loose = F.coalesce(F.col("lineage").contains(F.col("truth")), F.lit(False))
     return (
-        calls.join(wanted, "sample")
+        attach(calls, wanted, ["sample"])
         .groupBy(*keys)
         .agg(
             F.max("truth").alias("truth"),
@@ -201,12 +201,12 @@ def clade_hits(
 ) -> DataFrame:
     """Whether the true lineage belongs to a clade that the called clade matches."""
     wanted = truth.select("sample", F.col("lineage").alias("truth"))
-    asked = calls.join(wanted, "sample").withColumnRenamed("clade", "pattern")
+    asked = attach(calls, wanted, ["sample"]).withColumnRenamed("clade", "pattern")
     matches = matched_lineages(calls.select(F.col("clade").alias("pattern")), clade_map).select(
         "pattern", F.col("pango").alias("truth"), F.lit(True).alias("_hit")
     )
     return (
-        asked.join(matches, ["pattern", "truth"], "left")
+        attach(asked, matches, ["pattern", "truth"], "left")
         .groupBy(*keys)
         .agg(F.max("truth").alias("truth"), F.coalesce(F.max("_hit"), F.lit(False)).alias("hit"))
     )

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from lineamix.functions.names import ClassRule
 from lineamix.operators.fractions import shares
-from lineamix.operators.ordering import top_k
+from lineamix.operators.ordering import attach, top_k
 from lineamix.operators.reads import FIRST_MATE, SECOND_MATE, UNMAPPED
 from lineamix.operators.intervals import REVERSE
 
@@ -148,7 +148,7 @@ def posterior(spark: SparkSession, sf_dir: str, by_coverage: bool = True) -> Dat
         F.col("o_orderkey").alias("solution"), "o_totalprice",
     )
     best = orders.groupBy(*keys).agg(F.max("o_totalprice").alias("_top"))
-    scored = orders.join(best, keys).withColumn("odds", F.round(F.col("o_totalprice") / F.col("_top"), 1))
+    scored = attach(orders, best, keys).withColumn("odds", F.round(F.col("o_totalprice") / F.col("_top"), 1))
     parts = table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("lineage")
     )
