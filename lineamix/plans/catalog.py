@@ -529,7 +529,7 @@ def study_abundant_validation(s, d):
     calls = views.calls(s, d)
     merged = studies.abundant_validation(
         views.truth(s, d), views.posterior(s, d), calls, views.mix_abundance(s, d), calls,
-        views.clade_map(s, d),
+        views.clade_map(s, d), tools=["consensus", "abundance", "clade", "posterior"],
     )
     return merged.select(
         "coverage", "n_samples",

@@ -493,7 +493,7 @@ _BODIES: dict[str, str] = {
     "study_simulation_input": f"""select sample, date, lineage, {_r9('fraction')}, coverage,
         cast(trunc(fraction * n) as int) as num_reads
         from v_composed, (values ('100x', 20000), ('1000x', 200000)) d(coverage, n)""",
-    "study_abundant_validation": _merged(["posterior", "consensus", "abundance", "clade"]),
+    "study_abundant_validation": _merged(["consensus", "abundance", "clade", "posterior"]),
     "study_scatter_posterior": f"""select coverage, {_r9('mse')}, n_points, {_r9('spearman')}
         from (select coverage, avg((actual - predicted) * (actual - predicted)) as mse from v_points group by 1)
         join {_spearman('v_points', 'coverage', 'actual', 'predicted')} using (coverage)""",

@@ -154,13 +154,17 @@ def n_expected(truth: DataFrame) -> DataFrame:
 def abundant_validation(
     truth: DataFrame, posterior: DataFrame, consensus: DataFrame, abundance: DataFrame,
     clade_calls: DataFrame, clade_map: DataFrame,
+    tools: Sequence[str] = ("posterior", "consensus", "abundance", "clade"),
 ) -> DataFrame:
-    """One row per coverage with call rate and accuracy of every tool."""
+    """One row per coverage with call rate and accuracy of every tool.
+
+    The first tool leads: the others appear where they scored as many samples.
+    """
     hits = tool_hits(truth, posterior, consensus, abundance).drop("hit_exact").unionByName(
         clade_tool_hits(truth, clade_calls, clade_map)
     )
     scores = scoring.accuracy(hits, ["tool", "coverage"], n_expected(truth))
-    return scoring.merge_tools(scores, ["posterior", "consensus", "abundance", "clade"])
+    return scoring.merge_tools(scores, tools)
 
 
 def posterior_pairs(posterior: DataFrame, truth: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from pyspark.sql import types as T
 
+# Column names of the tools' files.
 ABUNDANCE_FILE = "target_id string, tpm double"
 CONSENSUS_FILE = "lineage string, scorpio_call string"
 CLADE_FILE = "clade string, Nextclade_pango string, clade_who string"

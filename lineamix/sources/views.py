@@ -51,9 +51,10 @@ def forget_tables() -> None:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Each table's footer is read once per query, not once per use."""
     path = f"{sf_dir}/{name}.parquet"
-    if path not in _opened:
-        _opened[path] = spark.read.parquet(path)
-    return _opened[path]
+    opened = _opened.get(path)
+    if opened is None or opened.sparkSession is not spark:
+        opened = _opened[path] = spark.read.parquet(path)
+    return opened
 
 
 def _text(name: str) -> Column:
