@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from lineamix.functions.names import ClassRule
 from lineamix.operators.fractions import shares
-from lineamix.operators.ordering import attach, top_k
+from lineamix.operators.ordering import attach, known, top_k
 from lineamix.operators.reads import FIRST_MATE, SECOND_MATE, UNMAPPED
 from lineamix.operators.intervals import REVERSE
 
@@ -94,10 +94,12 @@ def _typed_totals(spark: SparkSession, sf_dir: str, by_coverage: bool, total: Co
     """Aggregate by customer(, line status) and part type; names are made afterwards."""
     status = ["l_linestatus"] if by_coverage else []
     coverage = [_line_coverage().alias("coverage")] if by_coverage else []
-    return (
+    named = (
         typed_lines(spark, sf_dir).groupBy("o_custkey", *status, "p_type").agg(total.alias("total"))
         .select(_text("o_custkey").alias("sample"), *coverage, "p_type", "total")
     )
+    # Said here, all uses of this table have the same filter and share its shuffle.
+    return known(named, ["sample", *(["coverage"] if by_coverage else [])])
 
 
 def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
