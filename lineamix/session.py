@@ -40,19 +40,23 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
     return tune(spark)
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in the shared folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder every executor can read: ``spark.checkpoint.dir`` of the session.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only a local master may
-    fall back to a temporary folder, since there it is visible to every task.
+    Only a local master, where each task sees the driver's disk, gets a folder of its own.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder every executor can read")
+        folder = tempfile.mkdtemp(prefix="lineamix-shared-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a reliable checkpoint in the shared folder."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder every executor can read")
-            folder = tempfile.mkdtemp(prefix="lineamix-checkpoint-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
