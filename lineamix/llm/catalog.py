@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from lineamix.llm.exact_dedup import EXACT_DEDUP_SQL, exact_dedup
+from lineamix.llm.url_filter import URL_FILTER_SQL, url_filter
 
 QUERIES = {
+    "op3_url_filter": url_filter,
     "op6_exact_dedup": exact_dedup,
 }
 
 ORACLE = {
+    "op3_url_filter": URL_FILTER_SQL,
     "op6_exact_dedup": EXACT_DEDUP_SQL,
 }
