@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from lineamix.llm.exact_dedup import EXACT_DEDUP_SQL, exact_dedup
+from lineamix.llm.packing import packing
+from lineamix.llm.token_files import token_files
 from lineamix.llm.url_filter import URL_FILTER_SQL, url_filter
 
 QUERIES = {
+    "op2_token_files": token_files,
     "op3_url_filter": url_filter,
+    "op5_packing": packing,
     "op6_exact_dedup": exact_dedup,
 }
 
