@@ -92,15 +92,16 @@ def deduplicate(docs: DataFrame, index: DigestIndex | None = None, id_col: str =
     batches, documents whose text it has already are dropped. Texts move once, dealt by digest and
     id together, so the rows of a group that a third of all documents belong to are spread.
     """
-    seen = written(digests(docs, id_col, text_col), "digests")
-    known = index is not None
-    fresh = seen.join(index.rows(), "digest", "left_anti") if known else seen
-    if not known:
+    spark, fresh = docs.sparkSession, digests(docs, id_col, text_col)
+    if index is not None:
+        fresh = fresh.join(index.rows().select("digest"), "digest", "left_anti")
+    fresh = written(fresh, "digests")  # before the index grows
+    if index is None:
         index = build_index(fresh)
-        keepers = index.spark.read.schema(index.rows().schema).parquet(index.path)
+        keepers = spark.read.schema(index.rows().schema).parquet(index.path)
     else:
+        index.append(fresh)
         keepers = fresh.groupBy("digest").agg(F.max("doc_id").alias("keep_id"))
-        index.append(written(fresh, "fresh"))
     keepers = keepers.select(
         F.col("digest").alias("__digest"), F.coalesce("keep_id", F.lit(LEAST_ID)).alias("__key")
     )
