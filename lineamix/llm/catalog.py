@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lineamix.llm.exact_dedup import EXACT_DEDUP_SQL, exact_dedup
 from lineamix.llm.packing import packing
+from lineamix.llm.quality import quality_classifier
 from lineamix.llm.token_files import token_files
 from lineamix.llm.url_filter import URL_FILTER_SQL, url_filter
 
@@ -12,6 +13,7 @@ QUERIES = {
     "op3_url_filter": url_filter,
     "op5_packing": packing,
     "op6_exact_dedup": exact_dedup,
+    "op8_quality": quality_classifier,
 }
 
 ORACLE = {
