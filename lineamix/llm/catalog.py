@@ -6,6 +6,7 @@ from lineamix.llm.exact_dedup import EXACT_DEDUP_SQL, exact_dedup
 from lineamix.llm.packing import packing
 from lineamix.llm.quality import quality_classifier
 from lineamix.llm.token_files import token_files
+from lineamix.llm.toxicity import toxicity
 from lineamix.llm.url_filter import URL_FILTER_SQL, url_filter
 
 QUERIES = {
@@ -13,6 +14,7 @@ QUERIES = {
     "op3_url_filter": url_filter,
     "op5_packing": packing,
     "op6_exact_dedup": exact_dedup,
+    "op7_toxicity": toxicity,
     "op8_quality": quality_classifier,
 }
 
