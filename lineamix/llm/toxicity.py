@@ -15,15 +15,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lineamix.llm.common import table
+from lineamix.llm.common import table, written
 from lineamix.llm.quality import remainder, sample
 from lineamix.llm.words import parts, words_of
 
 #: Labelled rows to learn from at most, and terms that a lexicon has at most.
 SAMPLE_ROWS, LEXICON_TERMS = 20_000, 2_000
-#: A term is in so many toxic sample documents at least, and so large a share of its documents is toxic.
-LEAST_DOCS, LEAST_SHARE = 5, 0.9
-STEM_LENGTHS = (4, 5, 6)
+#: A term is in so many toxic sample documents at least (and in this share of them), and so large a
+#: share of the documents that have it is toxic.
+LEAST_DOCS, LEAST_PART, LEAST_SHARE = 5, 0.004, 0.9
+#: Beginnings of words become terms if so many different toxic words have them.
+STEM_LENGTHS, STEM_WORDS, STEM_SHARE = (4, 5, 6, 7, 8), 3, 0.97
+#: Misspellings are looked for of terms that this share of the toxic sample documents has.
+CORE_PART = 0.1
 #: Words on each side of a hit that are its context.
 WINDOW = 8
 THRESHOLD = 0.7
@@ -32,7 +36,7 @@ _STRIP = QUOTES + ".,;:!?()[]{}<>*_#|%&$@~-…"
 _OPENING, _CLOSING = tuple("\"“„‘«‹`'"), tuple("\"”’»›`'")
 #: Signs that stand for letters in disguised words.
 _DISGUISE = str.maketrans("013457@$", "oieastas")
-END, STEM = "", "*"
+END = ""
 
 
 def edits(term_length: int) -> int:
@@ -41,63 +45,85 @@ def edits(term_length: int) -> int:
 
 
 class LevenshteinAutomaton:
-    """Accepts strings within ``most`` edits of ``word``. A state is the row of edit distances."""
+    """Accepts strings within ``most`` edits of ``word``.
+
+    A state holds, for each number of edits up to ``most``, a bit set of how many letters of the
+    word may have been matched so far with that many edits.
+    """
 
     def __init__(self, word: str, most: int):
-        self.word, self.most = word, most
+        self.most, self.last, self.bits = most, len(word), (2 << len(word)) - 1
+        self.letters: dict[str, int] = {}
+        for i, letter in enumerate(word):
+            self.letters[letter] = self.letters.get(letter, 0) | 2 << i
 
     def start(self) -> tuple[int, ...]:
-        return tuple(range(len(self.word) + 1))
+        return tuple(((2 << d) - 1) & self.bits for d in range(self.most + 1))
 
     def step(self, state: tuple[int, ...], letter: str) -> tuple[int, ...]:
-        row = [state[0] + 1]
-        for i, own in enumerate(self.word):
-            row.append(min(row[i] + 1, state[i + 1] + 1, state[i] + (own != letter)))
-        return tuple(row)
-
-    def distance(self, state: tuple[int, ...]) -> int:
-        return state[-1]
+        fits = self.letters.get(letter, 0)
+        fewer, after = state[0], (state[0] << 1) & fits
+        out = [after]
+        for same in state[1:]:
+            # Match, or one more edit: letter inserted, replaced, or letter of the word left out.
+            after = (((same << 1) & fits) | fewer | (fewer << 1) | (after << 1)) & self.bits
+            out.append(after)
+            fewer = same
+        return tuple(out)
 
-    def alive(self, state: tuple[int, ...]) -> bool:
-        return min(state) <= self.most
+    def distance(self, state: tuple[int, ...]) -> int | None:
+        return next((d for d, places in enumerate(state) if places >> self.last & 1), None)
 
 
 @dataclass
 class Lexicon:
-    """Terms with weights; ``stems`` are word beginnings."""
+    """Terms with weights; ``stems`` are word beginnings. Misspellings are looked for of ``core`` terms."""
 
     words: dict[str, float]
     stems: dict[str, float]
+    core: tuple[str, ...] = ()
     trie: dict = field(default_factory=dict)
-    heads: set = field(default_factory=set)
-    tails: set = field(default_factory=set)
+    heads: dict = field(default_factory=dict)
+    middles: dict = field(default_factory=dict)
+    tails: dict = field(default_factory=dict)
 
     def __post_init__(self):
-        for term in self.words:
+        for term in self.core:
             node = self.trie
             for letter in term:
                 node = node.setdefault(letter, {})
             node[END] = term
             if k := edits(len(term)):
-                # Of k + 1 slices of a term, one is untouched by k edits.
+                # Of k + 1 slices of a term, k edits leave one untouched: at the beginning, at the
+                # end, or between them and moved by k places at most.
                 size = len(term) // (k + 1)
-                for i in range(k + 1):
-                    (self.heads if i == 0 else self.tails).add(term[i * size:(i + 1) * size if i < k else None])
+                lengths = set(range(len(term) - k, len(term) + k + 1))
+                self.heads.setdefault(term[:size], set()).update(lengths)
+                self.tails.setdefault(term[k * size:], set()).update(lengths)
+                if k > 1:
+                    self.middles.setdefault((term[size:2 * size], size), set()).update(lengths)
         self.head_sizes = sorted({len(s) for s in self.heads})
         self.tail_sizes = sorted({len(s) for s in self.tails})
+        self.lengths = {n for x in (self.heads, self.tails) for y in x.values() for n in y}
 
     def _may_be_near(self, word: str) -> bool:
-        if any(word[:n] in self.heads for n in self.head_sizes):
-            return True
-        return any(word[i:i + n] in self.tails for n in self.tail_sizes for i in range(1, len(word) - n + 1))
+        n = len(word)
+        if n not in self.lengths:
+            return False
+        return (
+            any(n in self.heads.get(word[:k], ()) for k in self.head_sizes)
+            or any(n in self.tails.get(word[-k:], ()) for k in self.tail_sizes)
+            or any(n in lengths and word.find(part, max(at - 2, 0), at + len(part) + 2) >= 0
+                   for (part, at), lengths in self.middles.items())
+        )
 
     def near(self, word: str) -> tuple[str, int] | None:
         """The nearest term and its distance, of equals the first by name; exact terms are distance 0."""
         if word in self.words:
             return word, 0
-        if len(word) < 4 or not self._may_be_near(word):
+        if not self._may_be_near(word):
             return None
-        most = edits(len(word) + 1)
+        most = edits(len(word) + 2)
         automaton = LevenshteinAutomaton(word, most)
         best, stack = None, [(self.trie, automaton.start())]
         while stack:
@@ -105,9 +131,9 @@ class Lexicon:
             for letter, child in node.items():
                 if letter == END:
                     d = automaton.distance(state)
-                    if d <= min(most, edits(len(child))) and (best is None or (d, child) < best):
+                    if d is not None and d <= edits(len(child)) and (best is None or (d, child) < best):
                         best = (d, child)
-                elif automaton.alive(after := automaton.step(state, letter)):
+                elif (after := automaton.step(state, letter))[-1]:
                     stack.append((child, after))
         return best and (best[1], best[0])
 
@@ -200,43 +226,47 @@ class ToxicityModel:
         return 1.0 / (1.0 + np.exp(-(x @ self.weights[:-1] + self.weights[-1])))
 
 
-def terms_of(texts: pa.Array) -> Iterator[list[str]]:
-    """The different words and word beginnings (with ``*``) of each text."""
+def different_words(texts: pa.Array) -> Iterator[list[str]]:
+    """The different words of 4 to 24 letters of each text, lower-cased and without signs around them."""
     for text in texts.to_pylist():
         words = {w.strip(_STRIP) for w in (text or "").lower().split()}
-        words.discard("")
-        stems = {w[:n] + STEM for w in words for n in STEM_LENGTHS if len(w) >= n}
-        yield sorted({w for w in words if 4 <= len(w) <= 24} | stems)
+        yield sorted(w for w in words if 4 <= len(w) <= 24)
 
 
 def learn_lexicon(rows: DataFrame, most: int = LEXICON_TERMS) -> Lexicon:
-    """Lexicon of sample rows (text, label): at most ``most`` terms, those in most toxic rows.
+    """Lexicon of sample rows (text, label): at most ``most`` words and as many beginnings.
 
-    Words and longer stems that an accepted stem covers are left out. Rows of one label give an
-    empty lexicon.
+    Equal texts count once, so that what copies share is no evidence. Of terms that qualify those
+    in most toxic rows are taken; words and longer beginnings that an accepted beginning covers
+    are left out. Rows of one label give an empty lexicon.
     """
     @F.arrow_udf("array<string>")
     def split(texts: pa.Array) -> pa.Array:
-        return pa.array(list(terms_of(texts)), pa.list_(pa.string()))
-
-    counted = rows.select(F.explode(split("text")).alias("term"), "label").groupBy("term").agg(
-        F.sum("label").alias("toxic"), F.count(F.lit(1)).alias("docs")
-    )
-    share = F.col("toxic") / (F.col("docs") + 0.5)
-    best = counted.where((F.col("toxic") >= LEAST_DOCS) & (share >= LEAST_SHARE))
-    found = best.orderBy(F.desc("toxic"), "term").limit(4 * most).collect()
-    stems: dict[str, float] = {}
-    words: dict[str, float] = {}
-    for n in STEM_LENGTHS:
-        for r in found:
-            stem = r.term[:-1]
-            if r.term.endswith(STEM) and len(stem) == n and r.toxic >= 2 * LEAST_DOCS and not any(stem[:m] in stems for m in STEM_LENGTHS):
-                stems[stem] = _weight(r)
-    for r in found:
-        if not r.term.endswith(STEM) and len(words) < most:
-            words[r.term] = _weight(r)
-    ranked = sorted(stems, key=lambda s: (-stems[s], s))[:most]
-    return Lexicon(words, {s: stems[s] for s in ranked})
+        return pa.array(list(different_words(texts)), pa.list_(pa.string()))
+
+    rows = rows.groupBy("text").agg(F.max("label").alias("label"))
+    labelled = rows.agg(F.sum("label"), F.count("label")).first()
+    least = max(LEAST_DOCS, LEAST_PART * (labelled[0] or 0))
+    counted = written(
+        rows.select(F.explode(split("text")).alias("term"), "label").groupBy("term").agg(
+            F.sum("label").alias("toxic"), F.count(F.lit(1)).alias("docs")
+        ), "terms")
+    beginnings = F.transform(F.array(*map(F.lit, STEM_LENGTHS)), lambda n: F.when(n <= F.length("term"), F.substring("term", F.lit(1), n)))
+    stems = counted.select(F.explode(beginnings).alias("stem"), "toxic", "docs").where("stem IS NOT NULL").groupBy("stem").agg(
+        F.sum("toxic").alias("toxic"), F.sum("docs").alias("docs"), F.count_if(F.col("toxic") > 0).alias("words")
+    ).where(f"words >= {STEM_WORDS}").withColumnRenamed("stem", "term")
+
+    def best(terms: DataFrame, share: float) -> list:
+        fit = terms.where((F.col("toxic") >= least) & (F.col("toxic") / (F.col("docs") + 0.2) >= share))
+        return fit.orderBy(F.desc("toxic"), "term").limit(most).collect()
+
+    found: dict[str, float] = {}
+    for r in sorted(best(stems, STEM_SHARE), key=lambda r: (len(r.term), r.term)):
+        if not any(r.term[:n] in found for n in STEM_LENGTHS):
+            found[r.term] = _weight(r)
+    words = [r for r in best(counted, LEAST_SHARE) if not any(r.term[:n] in found for n in STEM_LENGTHS)]
+    core = tuple(r.term for r in words if r.toxic >= CORE_PART * labelled[0])
+    return Lexicon({r.term: _weight(r) for r in words}, found, core)
 
 
 def _weight(row) -> float:
