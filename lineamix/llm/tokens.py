@@ -40,7 +40,7 @@ _SPACE = _LETTER_OF[0x20]
 class Encoder:
     """Encodes Arrow string arrays; remembers up to ``cache_words`` words, then starts afresh."""
 
-    def __init__(self, definition: str, cache_words: int = 2_000_000):
+    def __init__(self, definition: str, cache_words: int = 700_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
@@ -158,7 +158,7 @@ def encoder(definition: str) -> Encoder:
     return Encoder(definition)
 
 
-def slices(batch: pa.RecordBatch, text: int, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: int, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with at most so many bytes of text; one longer text stands alone."""
     lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
     total, begin = 0, 0
