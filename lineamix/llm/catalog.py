@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lineamix.llm.exact_dedup import EXACT_DEDUP_SQL, exact_dedup
+from lineamix.llm.near_dedup import NEAR_DEDUP_SQL, near_dedup
 from lineamix.llm.packing import packing
 from lineamix.llm.quality import quality_classifier
 from lineamix.llm.token_files import token_files
@@ -16,9 +17,11 @@ QUERIES = {
     "op6_exact_dedup": exact_dedup,
     "op7_toxicity": toxicity,
     "op8_quality": quality_classifier,
+    "op10_near_dedup": near_dedup,
 }
 
 ORACLE = {
     "op3_url_filter": URL_FILTER_SQL,
     "op6_exact_dedup": EXACT_DEDUP_SQL,
+    "op10_near_dedup": NEAR_DEDUP_SQL,
 }
