@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lineamix.llm.decontamination import decontamination
 from lineamix.llm.exact_dedup import EXACT_DEDUP_SQL, exact_dedup
 from lineamix.llm.near_dedup import NEAR_DEDUP_SQL, near_dedup
 from lineamix.llm.packing import packing
@@ -11,6 +12,7 @@ from lineamix.llm.toxicity import toxicity
 from lineamix.llm.url_filter import URL_FILTER_SQL, url_filter
 
 QUERIES = {
+    "op1_decontamination": decontamination,
     "op2_token_files": token_files,
     "op3_url_filter": url_filter,
     "op5_packing": packing,

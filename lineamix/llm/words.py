@@ -52,19 +52,22 @@ def words_of(texts: pa.Array, lower: bool = True) -> Words:
     begins[1:] &= ~inside[:-1] | edge[1:-1]
     closes[:-1] &= ~inside[1:] | edge[1:-1]
     starts, ends = np.flatnonzero(begins), np.flatnonzero(closes) + 1
-    letters = data[inside]
-    if lower:
-        letters = _LOWER[letters]
+    hashes = hash_spans(data, starts, ends, lower)
+    return Words(data, at, starts, ends, np.searchsorted(starts, at), hashes)
+
+
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
+    """64-bit hashes of ``data[starts[i]:ends[i]]``; no span is empty."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
     lengths = ends - starts
     origin = np.cumsum(lengths) - lengths
-    if len(starts):
-        place = np.arange(len(letters), dtype=np.int32) - np.repeat(origin.astype(np.int32), lengths)
-        power = np.full(int(lengths.max()), _BASE, np.uint64)
-        power = np.multiply.accumulate(power)
-        hashes = mix(np.add.reduceat(_BYTE[letters] * power[place], origin) + lengths.astype(np.uint64))
-    else:
-        hashes = np.zeros(0, np.uint64)
-    return Words(data, at, starts, ends, np.searchsorted(starts, at), hashes)
+    place = np.arange(int(lengths.sum()), dtype=np.int32) - np.repeat(origin.astype(np.int32), lengths)
+    letters = data[np.repeat(starts.astype(np.int32), lengths) + place]
+    if lower:
+        letters = _LOWER[letters]
+    power = np.multiply.accumulate(np.full(int(lengths.max()), _BASE, np.uint64))
+    return mix(np.add.reduceat(_BYTE[letters] * power[place], origin) + lengths.astype(np.uint64))
 
 
 def by_text(values: np.ndarray, at: np.ndarray) -> np.ndarray:
