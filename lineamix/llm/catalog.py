@@ -7,23 +7,28 @@ from lineamix.llm.exact_dedup import EXACT_DEDUP_SQL, exact_dedup
 from lineamix.llm.near_dedup import NEAR_DEDUP_SQL, near_dedup
 from lineamix.llm.packing import packing
 from lineamix.llm.quality import quality_classifier
+from lineamix.llm.token_counts import token_counts
 from lineamix.llm.token_files import token_files
 from lineamix.llm.toxicity import toxicity
 from lineamix.llm.url_filter import URL_FILTER_SQL, url_filter
+from lineamix.llm.warc_audit import WARC_AUDIT_SQL, warc_audit
 
 QUERIES = {
     "op1_decontamination": decontamination,
     "op2_token_files": token_files,
     "op3_url_filter": url_filter,
+    "op4_token_counts": token_counts,
     "op5_packing": packing,
     "op6_exact_dedup": exact_dedup,
     "op7_toxicity": toxicity,
     "op8_quality": quality_classifier,
+    "op9_warc_audit": warc_audit,
     "op10_near_dedup": near_dedup,
 }
 
 ORACLE = {
     "op3_url_filter": URL_FILTER_SQL,
     "op6_exact_dedup": EXACT_DEDUP_SQL,
+    "op9_warc_audit": WARC_AUDIT_SQL,
     "op10_near_dedup": NEAR_DEDUP_SQL,
 }
