@@ -39,7 +39,7 @@ NUMBER_WORDS = (
 )
 LITERAL, NUMBER, NAME = 0, 1, 2
 _MARK = mix(np.arange(1, 4, dtype=np.uint64))
-_ODD = np.random.Generator(np.random.PCG64(11)).integers(0, 1 << 63, 2 * WINDOW, np.uint64) * np.uint64(2) + np.uint64(1)
+_ODD = np.random.Generator(np.random.PCG64(11)).integers(0, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 
 WINDOWS = "id bigint, text_hash bigint, window bigint, position bigint, windows bigint, slots array<bigint>"
 _WINDOW_TYPE = pa.schema([
@@ -105,11 +105,13 @@ class Template:
         self.token = np.where(self.kind == LITERAL, self.value, _MARK[self.kind])
         self.at = np.searchsorted(keep, w.text_at)
 
-    def windows(self, width: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(hash, first token, tokens) of every window; a text with fewer tokens is one window.
+    def windows(self, width: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(template hash, hash with values, first token, tokens) of every window.
 
-        A window with fewer than ``LITERALS`` literal words, or with all of a short text, is hashed
-        with its values: its template alone says little.
+        A text with fewer tokens is one window. A window with fewer than ``LITERALS`` literal words,
+        or with all of a short text, has no template of its own: that alone says little. The two
+        hashes are equal where a window has no placeholder, so that words which capitals make a
+        name in one text and not in the other still match.
         """
         sizes = np.diff(self.at)
         counts = np.where(sizes >= width, sizes - width + 1, np.minimum(sizes, 1))
@@ -122,16 +124,18 @@ class Template:
             inside = k < length
             at = np.where(inside, begin + k, 0)
             plain = plain + np.where(inside, self.token[at] * _ODD[k], np.uint64(0)) if len(self.token) else plain
-            valued = valued + np.where(inside, self.value[at] * _ODD[width + k], np.uint64(0)) if len(self.token) else valued
+            valued = valued + np.where(inside, self.value[at] * _ODD[k], np.uint64(0)) if len(self.token) else valued
             literal += inside & (self.kind[at] == LITERAL) if len(self.token) else 0
         weak = (literal < LITERALS) | (length < width)
-        return mix(np.where(weak, valued, plain) + length.astype(np.uint64)), begin, length
+        size = length.astype(np.uint64)
+        return mix(np.where(weak, valued, plain) + size), mix(valued + size), begin, length
 
 
 def template_windows(rows: DataFrame, passing: bytes | None = None, width: int = WINDOW) -> DataFrame:
     """``WINDOWS`` of rows (id, text_hash, text): hash, position and slot values of each window.
 
-    ``windows`` is the number that the text has. With a bitmap in ``passing`` only windows whose
+    A window with placeholders comes out as template, with its slots, and with its values filled
+    in, without. ``windows`` is the number of windows that the text has. With a bitmap in ``passing`` only windows whose
     bit is set come out. NULL and empty texts have none.
     """
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,16 +148,20 @@ def template_windows(rows: DataFrame, passing: bytes | None = None, width: int =
 
     def _rows(batch: pa.RecordBatch, texts: pa.Array, bits: np.ndarray | None) -> pa.RecordBatch:
         t = Template(texts)
-        window, begin, length = t.windows(width)
+        window, valued, begin, length = t.windows(width)
         owner = np.searchsorted(t.at, begin, "right") - 1
         total = np.bincount(owner, minlength=len(texts))
+        other = np.flatnonzero(valued != window)
+        filled = np.arange(len(window) + len(other)) >= len(window)
+        window, (begin, length, owner) = np.concatenate([window, valued[other]]), (
+            np.concatenate([x, x[other]]) for x in (begin, length, owner))
         if bits is not None:
             bit = _bit(window)
             kept = np.flatnonzero(bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
-            window, begin, length, owner = window[kept], begin[kept], length[kept], owner[kept]
+            window, begin, length, owner, filled = (x[kept] for x in (window, begin, length, owner, filled))
         slots = [
-            [int(t.value[i].view(np.int64)) for i in range(b, b + n) if t.kind[i] != LITERAL]
-            for b, n in zip(begin.tolist(), length.tolist())
+            [] if f else [int(t.value[i].view(np.int64)) for i in range(b, b + n) if t.kind[i] != LITERAL]
+            for b, n, f in zip(begin.tolist(), length.tolist(), filled.tolist())
         ]
         return pa.RecordBatch.from_arrays([
             batch.column(0).take(pa.array(owner)), batch.column(1).take(pa.array(owner)), pa.array(window.view(np.int64)),
