@@ -18,20 +18,26 @@ from lineamix.session import durable
 # Slots per power of two in value_bucket: under 0.1 % of the value range each.
 MANTISSA_SLOTS = 1024
 EXPONENT_SHIFT = 1100
+OUTERMOST = 1 << 40
 
 
 def value_bucket(value: Column) -> Column:
     """Bucket number that never decreases as the double grows.
 
     It is made of the binary exponent and the leading part of the mantissa, so it
-    follows any spread of values and needs no sampled bounds.
+    follows any spread of values and needs no sampled bounds. Infinity has the outermost
+    buckets, and NaN, which sorts last, the one after them.
     """
-    size = F.abs(value)
+    infinite = F.abs(value) == float("inf")
+    size = F.when(infinite | F.isnan(value), F.lit(1.0)).otherwise(F.abs(value))
     exponent = F.floor(F.log2(size))
     slot = F.floor((size / F.pow(F.lit(2.0), exponent) - 1.0) * MANTISSA_SLOTS)
     slot = F.least(F.greatest(slot, F.lit(-1)), F.lit(MANTISSA_SLOTS))
     code = (exponent + EXPONENT_SHIFT) * (MANTISSA_SLOTS + 2) + slot + 1
-    signed = F.when(value == 0, F.lit(0)).when(value > 0, code).otherwise(-code).cast("bigint")
+    code = F.when(infinite, F.lit(OUTERMOST)).otherwise(code)
+    signed = (
+        F.when(F.isnan(value), F.lit(OUTERMOST + 1)).when(value == 0, F.lit(0)).when(value > 0, code).otherwise(-code)
+    ).cast("bigint")
     return F.coalesce(signed, F.lit(0).cast("bigint"))
 
 

@@ -80,23 +80,28 @@ def mse_label(value: str = "mse") -> F.Column:
     return F.format_number(value, 4)
 
 
+def significant(name: str, digits: int = 12) -> F.Column:
+    """A double rounded to so many significant digits; 0, NaN and infinity stay, -0.0 becomes 0.0."""
+    value = F.col(name).cast("double")
+    scale = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(value))))
+    rounded = F.round(value / scale, digits - 1) * scale
+    finite = (value != 0) & ~F.isnan(value) & (F.abs(value) < float("inf")) & (F.abs(value) > 1e-290)
+    return F.coalesce(F.when(finite, rounded).otherwise(value + 0.0), F.lit(0.0))
+
+
 def spearman(
     pairs: DataFrame, keys: Sequence[str], x: str = "actual", y: str = "predicted"
 ) -> DataFrame:
     """Rank correlation by group, NULL when one side is constant.
 
     Equal pairs are counted first, ranks come from the histogram of distinct values,
-    so neither a hot value nor one huge group is sorted in one task. Values are rounded
-    to 12 decimals: equal sums must tie whatever the order of summation.
+    so neither a hot value nor one huge group is sorted in one task. Values are rounded to
+    12 significant digits, however small they are: equal sums must tie whatever the order
+    of summation.
     """
     keys = list(keys)
     points = known(pairs, [*keys, x, y])
-
-    def value(name: str) -> F.Column:
-        # -0.0 and 0.0 are one value.
-        return F.coalesce(F.rint(F.col(name) * 1e12) / 1e12 + 0.0, F.lit(0.0))
-
-    cells = points.select(*keys, value(x).alias("x"), value(y).alias("y"))
+    cells = points.select(*keys, significant(x).alias("x"), significant(y).alias("y"))
     cells = cells.groupBy(*keys, "x", "y").agg(F.count(F.lit(1)).alias("w"))
     ranked = cells.join(average_ranks(cells, keys, "x", "w"), [*keys, "x"]).join(
         average_ranks(cells, keys, "y", "w"), [*keys, "y"]
@@ -112,20 +117,21 @@ def spearman(
     return sums.select(*keys, rho.alias("spearman"), "n_points")
 
 
-def one_sided_samples(predicted: DataFrame, truth: DataFrame) -> DataFrame:
-    """Samples that only one side knows."""
-    left = predicted.select("sample").distinct().withColumn("in_predictions", F.lit(True))
-    right = truth.select("sample").distinct().withColumn("in_truth", F.lit(True))
+def one_sided_samples(predicted: DataFrame, truth: DataFrame, keys: Sequence[str] = ("sample",)) -> DataFrame:
+    """Samples that only one side knows; ``keys`` may tell samples apart by coverage too."""
+    keys = list(keys)
+    left = predicted.select(*keys).distinct().withColumn("in_predictions", F.lit(True))
+    right = truth.select(*keys).distinct().withColumn("in_truth", F.lit(True))
     return (
-        left.join(right, "sample", "full")
+        left.join(right, keys, "full")
         .na.fill({"in_predictions": False, "in_truth": False})
         .where(~(F.col("in_predictions") & F.col("in_truth")))
     )
 
 
-def require_parity(predicted: DataFrame, truth: DataFrame) -> None:
+def require_parity(predicted: DataFrame, truth: DataFrame, keys: Sequence[str] = ("sample",)) -> None:
     """Raise unless both sides have the same samples."""
-    if not one_sided_samples(predicted, truth).isEmpty():
+    if not one_sided_samples(predicted, truth, keys).isEmpty():
         raise ValueError("predictions and truth do not cover the same samples")
 
 
@@ -228,20 +234,18 @@ def accuracy(hits: DataFrame, keys: Sequence[str], expected: DataFrame) -> DataF
 
 
 def merge_tools(scores: DataFrame, tools: Sequence[str]) -> DataFrame:
-    """One row per coverage: the first tool's row, and the others where ``n_samples`` agrees."""
+    """One row per coverage with every tool's own ``n_samples``, call rate and accuracy.
+
+    Cells are NULL only for a tool without any scored sample at that coverage.
+    """
     cell = F.struct("n_samples", "call_rate", "accuracy")
-    per_tool = scores.groupBy("coverage").agg(
+    per_tool = scores.where(F.col("tool").isin(*tools)).groupBy("coverage").agg(
         *[F.max(F.when(F.col("tool") == t, cell)).alias(f"_{t}") for t in tools]
     )
-    lead = F.col(f"_{tools[0]}.n_samples")
-    columns = []
-    for t in tools:
-        same = F.col(f"_{t}.n_samples") == lead
-        columns += [
-            F.when(same, F.col(f"_{t}.{measure}")).alias(f"{t}_{measure}")
-            for measure in ("call_rate", "accuracy")
-        ]
-    return per_tool.where(lead.isNotNull()).select("coverage", lead.alias("n_samples"), *columns)
+    columns = [
+        F.col(f"_{t}.{measure}").alias(f"{t}_{measure}") for t in tools for measure in ("n_samples", "call_rate", "accuracy")
+    ]
+    return per_tool.select("coverage", *columns)
 
 
 def mse_by_tool(

@@ -18,6 +18,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 WATCHED = ("LARGE", "PROMO")
+# Pair numbers of a sample of four lineages.
+PAIRS = tuple(range(1, 7))
 STRAINS = ("strain0", "strain1", "strain2", "strain3", "strain4", "strain9")
 DEPTHS = {"100x": 20_000, "1000x": 200_000}
 MIX_READS = 20
@@ -209,8 +211,9 @@ def spearman(s, d):
 
 @query
 def key_parity(s, d):
-    low = views.posterior(s, d).where(F.col("coverage") == views.LOW)
-    return scoring.one_sided_samples(low, views.truth(s, d))
+    coverages = F.explode(F.array(F.lit(views.LOW), F.lit(views.HIGH))).alias("coverage")
+    truth = views.truth(s, d).select("sample", coverages)
+    return scoring.one_sided_samples(views.posterior(s, d), truth, ["sample", "coverage"])
 
 
 @query
@@ -249,11 +252,12 @@ def merge_tools(s, d):
         views.truth(s, d), views.posterior(s, d), views.calls(s, d), views.mix_abundance(s, d)
     )
     scores = scoring.accuracy(hits, ["tool", "coverage"], studies.n_expected(views.truth(s, d)))
-    merged = scoring.merge_tools(scores, ["consensus", "abundance", "posterior"])
-    return merged.select(
-        "coverage", "n_samples",
-        *[r9(c) for c in merged.columns if c.endswith(("_call_rate", "_accuracy"))],
-    )
+    merged = scoring.merge_tools(scores, ["posterior", "consensus", "abundance"])
+    return _rounded_scores(merged)
+
+
+def _rounded_scores(merged):
+    return merged.select(*[r9(c) if c.endswith(("_call_rate", "_accuracy")) else c for c in merged.columns])
 
 
 # --- classes and stacking ---------------------------------------------------------
@@ -327,16 +331,16 @@ def hom_alt_share(s, d):
 
 @query
 def variant_sets(s, d):
-    return variants.variant_sets(views.genotypes(s, d), views.nation_lineages(s, d))
+    return variants.variant_sets(views.genotypes(s, d), views.supplier_lineages(s, d))
 
 
 @query
 def lineage_pairs(s, d):
-    return variants.lineage_pairs(views.nation_lineages(s, d))
+    return variants.lineage_pairs(views.supplier_lineages(s, d))
 
 
 def _similarity(s, d):
-    compositions = views.nation_lineages(s, d)
+    compositions = views.supplier_lineages(s, d)
     sets = variants.variant_sets(views.genotypes(s, d), compositions)
     return variants.lineage_similarity(variants.lineage_pairs(compositions), sets)
 
@@ -348,7 +352,7 @@ def lineage_similarity(s, d):
 
 @query
 def similarity_wide(s, d):
-    return variants.similarity_wide(_similarity(s, d))
+    return variants.similarity_wide(_similarity(s, d), PAIRS)
 
 
 # --- sampling ---------------------------------------------------------------------
@@ -422,9 +426,9 @@ def mate_pairs(s, d):
 
 @query
 def coordinate_sort(s, d):
+    alignments = views.reads(s, d).withColumn("unplaced", F.col("chrom").isNull())
     placed = ordering.sort_positions(
-        views.reads(s, d).where("chrom is not null"),
-        ["chrom", "start", "end", "sample", "qname", "flag"],
+        alignments, ["unplaced", "chrom", "start", "end", "sample", "qname", "flag"]
     )
     return placed.select("chrom", "start", "end", "sample", "qname", "flag", "copies", "first_position")
 
@@ -528,13 +532,9 @@ def study_simulation_input(s, d):
 def study_abundant_validation(s, d):
     calls = views.calls(s, d)
     merged = studies.abundant_validation(
-        views.truth(s, d), views.posterior(s, d), calls, views.mix_abundance(s, d), calls,
-        views.clade_map(s, d), tools=["consensus", "abundance", "clade", "posterior"],
-    )
-    return merged.select(
-        "coverage", "n_samples",
-        *[r9(c) for c in merged.columns if c.endswith(("_call_rate", "_accuracy"))],
+        views.truth(s, d), views.posterior(s, d), calls, views.mix_abundance(s, d), calls, views.clade_map(s, d)
     )
+    return _rounded_scores(merged)
 
 
 @query
@@ -567,7 +567,7 @@ def study_coinfection(s, d):
 
 @query
 def study_similarity(s, d):
-    return studies.similarity(views.genotypes(s, d), views.nation_lineages(s, d))
+    return studies.similarity(views.genotypes(s, d), views.supplier_lineages(s, d), PAIRS)
 
 
 @query
@@ -586,10 +586,7 @@ def study_monitoring(s, d):
 
 @query
 def study_hap_abundance(s, d):
-    shares = ordering.top_k(
-        views.haplotypes(s, d), ["sample"], [F.desc("frequency"), F.asc("hap_id")], 5
-    )
-    truth = shares.groupBy(
+    truth = views.haplotypes(s, d).groupBy(
         "sample", F.concat(F.lit("strain"), F.col("hap_id") % 5).alias("lineage")
     ).agg(F.sum("frequency").alias("fraction"))
     pairs = studies.haplotype_pairs(views.haplotypes(s, d), views.alignments(s, d), truth, STRAINS)

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 
-from lineamix.sources.views import LETTER_QUALITY, LETTERS
+from lineamix.sources.views import LETTER_QUALITY, LETTERS, OTHER_LETTER, OTHER_QUALITY
 
 _CODE = "cast(ascii({0}) * 65536 + ascii(substr({0}, 2, 1)) * 256 + ascii(substr({0}, 3, 1)) as int)"
 
@@ -206,9 +206,8 @@ VIEWS = {
     case max(l_returnflag) when 'R' then '1|1' when 'N' then '0|1' else '.|.' end as gt
   from lineitem group by l_suppkey, l_partkey""",
     "v_nation": """
-  select sample, ord, lineage from (select cast(s_nationkey as varchar) as sample, s_suppkey as ord,
-    cast(s_suppkey as varchar) as lineage,
-    row_number() over (partition by s_nationkey order by s_suppkey) as rn from supplier) where rn <= 3""",
+  select cast(s_suppkey // 4 as varchar) as sample, s_suppkey as ord,
+    cast(s_suppkey as varchar) as lineage from supplier""",
     "v_sets": """
   select distinct lineage, 'ref_' || pos || '_A_G' as variant from v_genotype
   where gt = '1|1' and lineage in (select lineage from v_nation)""",
@@ -236,11 +235,12 @@ VIEWS = {
       + case when l_linestatus = 'F' then 16 else 0 end
       + case when l_discount = 0 then 4 else 0 end as int) as flag,
     case when l_discount <> 0 then 'chr1' end as chrom,
-    case when l_discount <> 0 then l_partkey end as "start",
-    case when l_discount <> 0 then l_partkey + cast(l_quantity as bigint) end as "end"
+    case when l_discount <> 0 then l_partkey * 60 end as "start",
+    case when l_discount <> 0 then l_partkey * 60 + cast(l_quantity as bigint) end as "end"
   from lineitem""",
     "v_regions": """
-  select distinct p_partkey as g_start, p_partkey + p_size as g_end from part where p_size > 48""",
+  select distinct g_start, g_start + p_size as g_end from (select p_size,
+    p_partkey * 60 + case when p_partkey % 3 = 0 then -5 else 25 end as g_start from part)""",
     "v_clipped": """
   select flag, "start", "end", any_value(sample) as sample, cast(max(case
     when g_start is null then 0
@@ -252,8 +252,8 @@ VIEWS = {
   group by id, flag, "start", "end" """,
     "v_fastq": f"""
   select source as sample, cast(doc_id as varchar) as read_id, seq,
-    translate(seq, '{LETTERS}', '{LETTER_QUALITY}') as qual
-  from (select *, regexp_replace(text, '[^a-z]', '', 'g') as seq from documents where lang = 'en')""",
+    translate(regexp_replace(seq, '[^a-z]', '{OTHER_LETTER}', 'g'), '{LETTERS}{OTHER_LETTER}', '{LETTER_QUALITY}{OTHER_QUALITY}') as qual
+  from (select *, regexp_replace(text, '[ \\t\\n\\r]', '', 'g') as seq from documents)""",
     "v_haps": """
   select cast(o_custkey as varchar) as sample, o_orderkey as hap_id,
     o_totalprice / sum(o_totalprice) over (partition by o_custkey) as frequency from orders""",
@@ -320,9 +320,9 @@ def _spearman(source: str, key: str, x: str, y: str) -> str:
 
 
 _WIDE = ", ".join(
-    [f"max(case when pair_index = {i} then lineage1 || ' vs ' || lineage2 end) as Lineage_Pair_{i}" for i in (1, 2, 3)]
-    + [f"max(case when pair_index = {i} then difference end) as Diff_{i}" for i in (1, 2, 3)]
-    + [f"max(case when pair_index = {i} then shared end) as Shared_{i}" for i in (1, 2, 3)]
+    [f"max(case when pair_index = {i} then lineage1 || ' vs ' || lineage2 end) as Lineage_Pair_{i}" for i in range(1, 7)]
+    + [f"max(case when pair_index = {i} then difference end) as Diff_{i}" for i in range(1, 7)]
+    + [f"max(case when pair_index = {i} then shared end) as Shared_{i}" for i in range(1, 7)]
 )
 _WATCHED = "(select unnest(['LARGE', 'PROMO']) as lineage)"
 
@@ -336,19 +336,12 @@ def _max_abundance(view: str, keys: str) -> str:
 
 
 def _merged(tools: list[str]) -> str:
-    lead = tools[0]
     columns = ", ".join(
-        f"{_r9(f'{t}.call_rate', f'{t}_call_rate')}, {_r9(f'{t}.accuracy', f'{t}_accuracy')}" for t in tools
-    )
-    joins = " ".join(
-        f"left join (select * from v_scores where tool = '{t}') {t} "
-        f"on {t}.coverage = {lead}.coverage and {t}.n_samples = {lead}.n_samples"
-        for t in tools[1:]
-    )
-    return (
-        f"select {lead}.coverage, {lead}.n_samples, {columns} "
-        f"from (select * from v_scores where tool = '{lead}') {lead} {joins}"
+        f"{t}.n_samples as {t}_n_samples, {_r9(f'{t}.call_rate', f'{t}_call_rate')}, {_r9(f'{t}.accuracy', f'{t}_accuracy')}" for t in tools
     )
+    joins = " ".join(f"left join (select * from v_scores where tool = '{t}') {t} on {t}.coverage = c.coverage" for t in tools)
+    listed = ", ".join(f"'{t}'" for t in tools)
+    return f"select c.coverage, {columns} from (select distinct coverage from v_scores where tool in ({listed})) c {joins}"
 
 
 _TRIMMED = """
@@ -403,9 +396,10 @@ _BODIES: dict[str, str] = {
         count(*) as n_points from v_points group by 1""",
     "spearman": f"""select l_returnflag, {_r9('spearman')}, n_points
         from {_spearman('lineitem', 'l_returnflag', 'l_quantity', 'l_extendedprice')}""",
-    "key_parity": """select sample, p.sample is not null as in_predictions, t.sample is not null as in_truth
-        from (select distinct sample from v_posterior where coverage = '100x') p
-        full join (select distinct sample from v_truth) t using (sample)
+    "key_parity": """select sample, coverage, p.sample is not null as in_predictions, t.sample is not null as in_truth
+        from (select distinct sample, coverage from v_posterior) p
+        full join (select distinct sample, coverage from v_truth, (values ('100x'), ('1000x')) c(coverage)) t
+          using (sample, coverage)
         where p.sample is null or t.sample is null""",
     "call_match": """select tool, sample, coverage, truth, hit as hit_substring, exact as hit_exact from v_hits""",
     "clade_match": "select sample, coverage, truth, hit from v_clade_hits",
@@ -413,7 +407,7 @@ _BODIES: dict[str, str] = {
         from v_scores where tool <> 'clade'""",
     "clade_accuracy": f"""select tool, coverage, n_samples, {_r9('call_rate')}, {_r9('accuracy')}
         from v_scores where tool = 'clade'""",
-    "merge_tools": _merged(["consensus", "abundance", "posterior"]),
+    "merge_tools": _merged(["posterior", "consensus", "abundance"]),
     "classify_lineage": f"""select p_type as lineage, {_class('p_type')} as who_name, count(*) as n
         from part group by 1""",
     "recode_calls": f"select sample, coverage, scorpio_call, {_RECODE} as who_name from v_calls",
@@ -456,16 +450,15 @@ _BODIES: dict[str, str] = {
         count(*) as n from v_reads join (select sample, qname, count(distinct flag & 64) = 1 as singleton
           from v_reads group by 1, 2) using (sample, qname) group by 1, 2, 3, 4""",
     "coordinate_sort": """select chrom, "start", "end", sample, qname, flag, copies,
-        cast(sum(copies) over (order by chrom, "start", "end", sample, qname, flag
+        cast(sum(copies) over (order by chrom nulls last, "start", "end", sample, qname, flag
           rows between unbounded preceding and current row) - copies + 1 as bigint) as first_position
-        from (select chrom, "start", "end", sample, qname, flag, count(*) as copies from v_reads
-          where chrom is not null group by all)""",
+        from (select chrom, "start", "end", sample, qname, flag, count(*) as copies from v_reads group by all)""",
     "primary_alignments": "select hap_id, lineage, line_no from v_aln where (flag & 2308) = 0",
     "hap_abundance": f"select sample, lineage, {_r9('fraction')} from v_hap_found",
     "read_qc": f"""select sample, pos, {_r9('avg(ascii(q) - 33)', 'mean_quality')}, count(*) as n_reads,
-        count(*) filter (b = 'a') as n_a, count(*) filter (b = 'c') as n_c,
-        count(*) filter (b = 'g') as n_g, count(*) filter (b = 't') as n_t
-        from (select sample, unnest(string_split(seq, '')) as b, unnest(string_split(qual, '')) as q,
+        count(*) filter (lower(b) = 'a') as n_a, count(*) filter (lower(b) = 'c') as n_c,
+        count(*) filter (lower(b) = 'g') as n_g, count(*) filter (lower(b) = 't') as n_t
+        from (select sample, unnest(string_split(regexp_replace(seq, '[^a-zA-Z]', '_', 'g'), '')) as b, unnest(string_split(qual, '')) as q,
                 cast(unnest(range(1, length(seq) + 1)) as int) as pos from v_fastq where seq <> '') group by 1, 2""",
     "read_summary": """select sample, count(*) as n_reads, cast(sum(length(seq)) as bigint) as n_bases,
         min(length(seq)) as min_length, max(length(seq)) as max_length from v_fastq group by 1""",
@@ -493,7 +486,7 @@ _BODIES: dict[str, str] = {
     "study_simulation_input": f"""select sample, date, lineage, {_r9('fraction')}, coverage,
         cast(trunc(fraction * n) as int) as num_reads
         from v_composed, (values ('100x', 20000), ('1000x', 200000)) d(coverage, n)""",
-    "study_abundant_validation": _merged(["consensus", "abundance", "clade", "posterior"]),
+    "study_abundant_validation": _merged(["posterior", "consensus", "abundance", "clade"]),
     "study_scatter_posterior": f"""select coverage, {_r9('mse')}, n_points, {_r9('spearman')}
         from (select coverage, avg((actual - predicted) * (actual - predicted)) as mse from v_points group by 1)
         join {_spearman('v_points', 'coverage', 'actual', 'predicted')} using (coverage)""",
@@ -532,8 +525,7 @@ _BODIES: dict[str, str] = {
           (select unnest(['strain0', 'strain1', 'strain2', 'strain3', 'strain4', 'strain9']) as lineage))
         left join v_hap_found f using (sample, lineage)
         left join (select sample, 'strain' || (hap_id % 5) as lineage, sum(frequency) as fraction
-          from (select *, row_number() over (partition by sample order by frequency desc, hap_id) as rn from v_haps)
-          where rn <= 5 group by 1, 2) t using (sample, lineage)""",
+          from v_haps group by 1, 2) t using (sample, lineage)""",
     "study_read_mix": "select sample, mate, count(*) as n from v_sampled group by 1, 2",
     "study_clipped_reads": """select r.sample, r.flag,
         case when r.flag & 16 = 0 then r."start" + clip else r."start" end as "start",

@@ -154,12 +154,16 @@ def n_expected(truth: DataFrame) -> DataFrame:
 def abundant_validation(
     truth: DataFrame, posterior: DataFrame, consensus: DataFrame, abundance: DataFrame,
     clade_calls: DataFrame, clade_map: DataFrame,
-    tools: Sequence[str] = ("posterior", "consensus", "abundance", "clade"),
+    tools: Sequence[str] = ("posterior", "consensus", "abundance", "clade"), strict: bool = False,
 ) -> DataFrame:
-    """One row per coverage with call rate and accuracy of every tool.
+    """One row per coverage with scored samples, call rate and accuracy of every tool.
 
-    The first tool leads: the others appear where they scored as many samples.
+    A sample without a best solution counts as not called, which shows in the call rate.
+    ``strict`` raises instead when a tool and the truth do not cover the same samples.
     """
+    if strict:
+        for predicted in (posterior, consensus, abundance, clade_calls):
+            scoring.require_parity(predicted, truth)
     hits = tool_hits(truth, posterior, consensus, abundance).drop("hit_exact").unionByName(
         clade_tool_hits(truth, clade_calls, clade_map)
     )
@@ -208,10 +212,11 @@ def rename_targets(df: DataFrame, names: DataFrame) -> DataFrame:
     ).drop("short")
 
 
-def similarity(genotypes: DataFrame, compositions: DataFrame) -> DataFrame:
+def similarity(genotypes: DataFrame, compositions: DataFrame, columns: Sequence[int] = (1, 2, 3)) -> DataFrame:
+    """Wide table of all pairs; ``columns`` must list every pair number that occurs."""
     pairs = variants.lineage_pairs(compositions)
     sets = variants.variant_sets(genotypes, compositions)
-    return variants.similarity_wide(variants.lineage_similarity(pairs, sets))
+    return variants.similarity_wide(variants.lineage_similarity(pairs, sets), columns)
 
 
 def genotype_filter(genotypes: DataFrame, min_share: float = 0.3) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -20,16 +22,51 @@ def read_table(
 ) -> DataFrame:
     """Typed columns plus the origin of each row (``file``, ``split_start``, ``row_id``).
 
-    With a header, columns are found by name and others are ignored; all files of one
-    call share one header. Values that do not parse become NULL.
+    With a header, each file's columns are found by the names in its own first line, in any
+    order, and others are ignored; a file that lacks a column has NULL there. Values that
+    do not parse become NULL. Files with one header are read together.
     """
     fields = T._parse_datatype_string(schema).fields
-    reader = spark.read.option("sep", sep)
-    if header:
-        raw = reader.option("header", True).csv(as_list(paths))
-    else:
-        raw = reader.schema(", ".join(f"`{f.name}` string" for f in fields)).csv(as_list(paths))
-    columns = [F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in fields]
+    if not header:
+        return _typed(spark, as_list(paths), [f.name for f in fields], fields, sep, False)
+    groups = _by_header(spark, as_list(paths))
+    if not groups:
+        return _typed(spark, as_list(paths), [f.name for f in fields], fields, sep, True)
+    parts = [
+        _typed(spark, files, _names(line, sep), fields, sep, True) for line, files in groups
+    ]
+    # Rows keep the order inside their file; ids of different headers are not comparable.
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _by_header(spark: SparkSession, paths: list[str]) -> list[tuple[str, list[str]]]:
+    """First lines with the files that begin with them: file names come to the driver, not rows."""
+    lines = spark.read.text(paths).select(
+        "value", *[F.col(source).alias(name) for name, source in _ORIGIN.items()],
+        F.monotonically_increasing_id().alias("row_id"),
+    )
+    first = lines.where("split_start = 0").groupBy("file").agg(
+        F.min_by("value", "row_id").alias("header")
+    )
+    found = first.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files"))
+    return [(r.header, list(r.files)) for r in found.orderBy("header").collect()]
+
+
+def _names(line: str, sep: str) -> list[str]:
+    """Column names of a header line, split as the reader would; later repeats are renamed."""
+    names = next(csv.reader([line], delimiter=sep), [])
+    return [n if names.index(n) == i else f"{n}#{i}" for i, n in enumerate(names)]
+
+
+def _typed(
+    spark: SparkSession, files: list[str], names: list[str], fields: list[T.StructField], sep: str, header: bool
+) -> DataFrame:
+    layout = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    raw = spark.read.option("sep", sep).option("header", header).schema(layout).csv(files)
+    columns = [
+        (F.col(f"`{f.name}`").try_cast(f.dataType) if f.name in names else F.lit(None).cast(f.dataType)).alias(f.name)
+        for f in fields
+    ]
     origin = [F.col(source).alias(name) for name, source in _ORIGIN.items()]
     return raw.select(*columns, *origin, F.monotonically_increasing_id().alias("row_id"))
 

@@ -38,6 +38,10 @@ COVERAGES = (LOW, HIGH)
 # Quality character of each letter: 33 + code point modulo 42.
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 LETTER_QUALITY = "".join(chr(33 + ord(c) % 42) for c in LETTERS)
+OTHER_LETTER, OTHER_QUALITY = "_", "5"
+# Positions between the places of two parts, and suppliers of a sample.
+PART_SPACING = 60
+LINEAGES_PER_SAMPLE = 4
 
 
 _opened: dict[str, DataFrame] = {}
@@ -218,13 +222,12 @@ def genotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def nation_lineages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Samples are nations, each with its first three suppliers as lineages."""
-    suppliers = table(spark, sf_dir, "supplier").select(
-        _text("s_nationkey").alias("sample"), F.col("s_suppkey").alias("ord"),
+def supplier_lineages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All suppliers as lineages; four with consecutive numbers are a sample."""
+    return table(spark, sf_dir, "supplier").select(
+        F.floor(F.col("s_suppkey") / LINEAGES_PER_SAMPLE).cast("string").alias("sample"), F.col("s_suppkey").alias("ord"),
         _text("s_suppkey").alias("lineage"),
     )
-    return top_k(suppliers, ["sample"], [F.asc("ord")], 3)
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,7 +238,7 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
         + F.when(F.col("l_discount") == 0, UNMAPPED).otherwise(0)
     )
     mapped = F.col("l_discount") != 0
-    start = F.col("l_partkey")
+    start = F.col("l_partkey") * PART_SPACING
     return table(spark, sf_dir, "lineitem").select(
         _text("l_suppkey").alias("sample"), _text("l_orderkey").alias("qname"),
         flag.cast("int").alias("flag"), F.when(mapped, "chr1").alias("chrom"),
@@ -245,19 +248,23 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Large parts as intervals."""
-    return table(spark, sf_dir, "part").where("p_size > 48").select(
-        F.lit("chr1").alias("chrom"), F.col("p_partkey").alias("start"),
-        (F.col("p_partkey") + F.col("p_size")).alias("end"),
+    """All parts as intervals, each behind the place where the part's line items begin."""
+    start = F.col("p_partkey") * PART_SPACING + F.when(F.col("p_partkey") % 3 == 0, -5).otherwise(25)
+    return table(spark, sf_dir, "part").select(
+        F.lit("chr1").alias("chrom"), start.alias("start"), (start + F.col("p_size")).alias("end"),
     )
 
 
 def fastq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """English documents as reads; qualities follow from the letters."""
-    seq = F.regexp_replace("text", "[^a-z]+", "")
-    return table(spark, sf_dir, "documents").where(F.col("lang") == "en").select(
+    """All documents without white space as reads; qualities follow from the letters.
+
+    Characters other than a-z have one quality of their own.
+    """
+    seq = F.regexp_replace("text", r"[ \t\n\r]+", "")
+    plain = F.regexp_replace(seq, "[^a-z]", OTHER_LETTER)
+    return table(spark, sf_dir, "documents").select(
         F.col("source").alias("sample"), _text("doc_id").alias("read_id"), F.lit(1).alias("mate"),
-        seq.alias("seq"), F.translate(seq, LETTERS, LETTER_QUALITY).alias("qual"),
+        seq.alias("seq"), F.translate(plain, LETTERS + OTHER_LETTER, LETTER_QUALITY + OTHER_QUALITY).alias("qual"),
     )
 
 

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from lineamix.operators import sampling, variants
@@ -106,5 +107,9 @@ def test_similarity_wide(spark, rows):
         ("s1", "C vs A", "C vs B", "A vs B", 7, 8, 3, 3, 2, 1),
         ("s2", "A vs unknown", None, None, 3, None, None, 0, None, None),
     ]
+    four = spark.createDataFrame([("s", i, n) for i, n in enumerate("ABCD")], "sample string, ord int, lineage string")
+    assert len(studies.similarity(genotypes(spark), four, range(1, 7)).first()) == 1 + 3 * 6
+    with pytest.raises(Exception, match="no column for pair"):
+        studies.similarity(genotypes(spark), four).collect()
     cells = variants.similarity_cells(studies.similarity(genotypes(spark), compositions)).where("sample = 's1'").first()
     assert (cells.Diff_2.value, cells.Shared_2.pair) == (8, "C vs B")

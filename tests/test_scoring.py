@@ -145,8 +145,27 @@ def test_accuracy_and_merge(spark, rows):
     expected = spark.createDataFrame([(2,)], "n_expected bigint")
     scores = scoring.accuracy(hits, ["tool", "coverage"], expected)
     assert rows(scores) == [("a", "100x", 2, 1.0, 50.0), ("b", "100x", 1, 0.5, 100.0)]
-    # b scored another number of samples, so the left join finds nothing.
-    assert rows(scoring.merge_tools(scores, ["a", "b"])) == [("100x", 2, 1.0, 50.0, None, None)]
+    # b scored another number of samples, and says so.
+    assert rows(scoring.merge_tools(scores, ["a", "b"])) == [("100x", 2, 1.0, 50.0, 1, 0.5, 100.0)]
+
+
+def test_spearman_of_tiny_values(spark):
+    points = spark.createDataFrame(
+        [("k", i * 1e-14, float(i)) for i in range(1, 40)] + [("n", 0.1 + 0.2, 1.0), ("n", 0.3, 1.0), ("n", -0.0, 2.0), ("n", 0.0, 3.0)],
+        "key string, actual double, predicted double",
+    )
+    found = {r.key: r.spearman for r in scoring.spearman(points, ["key"]).collect()}
+    assert abs(found["k"] - 1.0) < 1e-12
+    # 0.1 + 0.2 ties with 0.3, and the zeros tie: ranks 3.5 3.5 1.5 1.5 against 1.5 1.5 3 4.
+    assert abs(found["n"] + 0.9428090415820634) < 1e-9
+
+
+def test_strict_validation_needs_the_same_samples(spark):
+    a = spark.createDataFrame([("1", "100x"), ("2", "100x")], "sample string, coverage string")
+    b = spark.createDataFrame([("1", "100x"), ("2", "1000x")], "sample string, coverage string")
+    scoring.require_parity(a, b)
+    with pytest.raises(ValueError):
+        scoring.require_parity(a, b, ["sample", "coverage"])
 
 
 def test_mse_by_tool(spark, rows):

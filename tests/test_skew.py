@@ -4,7 +4,9 @@ import contextlib
 
 import pytest
 
-from lineamix.operators import fractions, intervals, sampling, scoring
+from pyspark.sql import functions as F
+
+from lineamix.operators import fractions, intervals, ordering, sampling, scoring
 
 SETTINGS = {
     "spark.sql.autoBroadcastJoinThreshold": "-1",
@@ -108,3 +110,10 @@ def test_top_with_other_of_the_hot_sample(spark):
     total = sum(1 + i % 7 for i in range(0, 30_000, 3))
     assert len(got) == 6
     assert {r.prediction: r.fraction for r in got}["other"] == pytest.approx((total - 35) / total)
+
+
+def test_buckets_of_infinity_and_nan(spark):
+    values = [float("-inf"), -1e300, -1.0, 0.0, 1e-300, 1.0, 1e300, float("inf"), float("nan")]
+    frame = spark.createDataFrame([(v,) for v in values], "v double")
+    found = [r[0] for r in frame.select(ordering.value_bucket(F.col("v"))).collect()]
+    assert found == sorted(found) and len(set(found)) == len(found)

@@ -188,3 +188,13 @@ def test_names(spark):
 def test_unknown_layout(spark):
     with pytest.raises(KeyError):
         lines.path_dims(spark.createDataFrame([("x",)], "file string"), "nowhere")
+
+
+def test_columns_by_the_header_of_each_file(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("target_id,tpm,length\nx,1.5,700\n")
+    (tmp_path / "b.csv").write_text("target_id,length,tpm\ny,900,2.5\n")
+    (tmp_path / "c.csv").write_text("length,target_id\n5,z\n")
+    (tmp_path / "d.csv").write_text('"target_id","tpm","length"\n')
+    got = tables.read_table(spark, str(tmp_path), "target_id string, tpm double")
+    assert sorted((r.target_id, r.tpm) for r in got.collect()) == [("x", 1.5), ("y", 2.5), ("z", None)]
+    assert sorted(r.target_id for r in tables.first_rows(got).collect()) == ["x", "y", "z"]
