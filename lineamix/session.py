@@ -59,9 +59,12 @@ def _local_folder(application: str) -> str:
     return tempfile.mkdtemp(prefix=f"lineamix-{application}-")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in the shared folder."""
+def durable(df: DataFrame, eager: bool = True) -> DataFrame:
+    """Cut the lineage by a reliable checkpoint in the shared folder.
+
+    Without ``eager`` the first action writes it; its partitions are fixed at once.
+    """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    return df.checkpoint(eager=eager)

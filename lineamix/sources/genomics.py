@@ -36,7 +36,8 @@ def read_haplotypes(spark: SparkSession, paths: Paths) -> DataFrame:
 def read_fastq(spark: SparkSession, paths: Paths) -> DataFrame:
     """Reads with sample and mate from ``<sample>_<1|2>.fastq[.gz]``.
 
-    Records are four lines each, whatever the lines hold.
+    Records are four lines each, whatever the lines hold. A record cut off at the end of a
+    file is an error; blank lines there are not.
     """
     lines = numbered_lines(spark, paths).withColumn("_record", F.floor(F.col("line_no") / 4))
 
@@ -47,7 +48,9 @@ def read_fastq(spark: SparkSession, paths: Paths) -> DataFrame:
         line(0).alias("_name"), line(1).alias("seq"), line(3).alias("qual")
     )
     name = F.regexp_extract("_name", r"^@(\S+)", 1)
-    return mate_dims(records.where("qual is not null")).select(
+    cut_off = F.raise_error(F.concat(F.lit("record cut off at the end of "), F.col("file"))).cast("string")
+    records = records.where("qual is not null or coalesce(_name, '') <> ''").withColumn("qual", F.coalesce("qual", cut_off))
+    return mate_dims(records).select(
         "sample", F.regexp_replace(name, r"/[12]$", "").alias("read_id"), "mate", "seq", "qual"
     )
 
@@ -116,8 +119,17 @@ def vcf_meta(spark: SparkSession, paths: Paths) -> DataFrame:
 
 
 def read_bed(spark: SparkSession, paths: Paths) -> DataFrame:
-    """Intervals with 3 to 7 columns; the missing ones are NULL."""
-    return (
-        spark.read.schema(BED_SCHEMA).option("sep", "\t").csv(as_list(paths))
-        .where(F.col("start").isNotNull())
-    )
+    """Intervals with 3 to 7 columns; the missing ones are NULL.
+
+    Comments and ``track`` and ``browser`` lines are left out; another line without two
+    whole numbers as bounds is an error.
+    """
+    text = BED_SCHEMA.replace("bigint", "string")
+    raw = spark.read.schema(text).option("sep", "\t").csv(as_list(paths))
+    raw = raw.where(~F.col("chrom").rlike(r"^(#|track\b|browser\b)"))
+    malformed = F.raise_error(F.concat(F.lit("no bounds in BED line of "), F.col("chrom"))).cast("bigint")
+
+    def bound(name: str) -> Column:
+        return F.coalesce(F.col(name).try_cast("bigint"), malformed).alias(name)
+
+    return raw.select(*[bound(c) if c in ("start", "end") else F.col(c) for c in raw.columns])

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+from lineamix.session import durable
+
 Paths = str | Sequence[str]
 
 
@@ -17,14 +19,15 @@ def numbered_lines(spark: SparkSession, paths: Paths) -> DataFrame:
     """Columns ``file``, ``line_no`` (from 0) and ``value``, for files of any size.
 
     Rows of one split get consecutive ids, so only the number of lines per split has to
-    be known: lines are neither sorted nor moved.
+    be known: lines are neither sorted nor moved. Ids and counts come from one checkpoint,
+    so that they agree whatever cores join or leave between the two passes.
     """
-    raw = spark.read.text(as_list(paths)).select(
+    raw = durable(spark.read.text(as_list(paths)).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("_split"),
         F.monotonically_increasing_id().alias("_id"),
         "value",
-    )
+    ), eager=False)
     splits = raw.groupBy("file", "_split").agg(
         F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_lines")
     )

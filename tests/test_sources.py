@@ -198,3 +198,28 @@ def test_columns_by_the_header_of_each_file(spark, tmp_path):
     got = tables.read_table(spark, str(tmp_path), "target_id string, tpm double")
     assert sorted((r.target_id, r.tpm) for r in got.collect()) == [("x", 1.5), ("y", 2.5), ("z", None)]
     assert sorted(r.target_id for r in tables.first_rows(got).collect()) == ["x", "y", "z"]
+
+
+def test_cut_off_and_malformed_records_are_errors(spark, tmp_path):
+    (tmp_path / "s_1.fastq").write_text("@a\nAC\n+\nII\n\n")
+    assert genomics.read_fastq(spark, str(tmp_path / "s_1.fastq")).count() == 1
+    (tmp_path / "t_1.fastq").write_text("@a\nAC\n+\nII\n@b\nAC\n")
+    with pytest.raises(Exception, match="cut off"):
+        genomics.read_fastq(spark, str(tmp_path / "t_1.fastq")).collect()
+    (tmp_path / "ok.bed").write_text("#c\ntrack name=x\nchr1\t1\t5\n")
+    assert [(r.start, r.end) for r in genomics.read_bed(spark, str(tmp_path / "ok.bed")).collect()] == [(1, 5)]
+    (tmp_path / "no.bed").write_text("chr1\t1\t5\nchr1\tx\t9\n")
+    with pytest.raises(Exception, match="no bounds"):
+        genomics.read_bed(spark, str(tmp_path / "no.bed")).collect()
+
+
+def test_line_numbers_do_not_depend_on_later_splits(spark, tmp_path):
+    (tmp_path / "n.txt").write_text("".join(f"line {i}\n" for i in range(5000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")
+    try:
+        numbered = lines.numbered_lines(spark, str(tmp_path / "n.txt"))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "900")
+        assert numbered.where("value <> concat('line ', line_no)").count() == 0 and numbered.count() == 5000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
