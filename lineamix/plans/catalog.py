@@ -555,6 +555,12 @@ def study_labmix(s, d):
     return scored.select("coverage", r9("spearman"), "n_points")
 
 
+@query
+def study_labmix_posterior(s, d):
+    scored = studies.lab_mix_posterior(views.posterior(s, d), renamed_truth(s, d), renamed_types(s, d))
+    return scored.select("coverage", r9("spearman"), "n_points")
+
+
 @query
 def study_coinfection(s, d):
     """Class fractions of every tool beside the truth, per sample."""

@@ -499,6 +499,14 @@ _BODIES: dict[str, str] = {
               from v_mix join v_names using (target_id)) m
         left join (select sample, short, fraction from v_truth join v_names on lineage = target_id) t
           on t.sample = m.sample and t.short = m.short)''', 'coverage', 'actual', 'predicted')}""",
+    "study_labmix_posterior": f"""select coverage, {_r9('spearman')}, n_points from {_spearman('''(
+        select c.coverage, t.fraction as actual, coalesce(p.fraction, 0.0e0) as predicted
+        from (select sample, coverage, min(solution) as solution from v_posterior where odds = 1.0e0 group by 1, 2) c
+        join (select sample, short, sum(fraction) as fraction from v_truth join v_names on lineage = target_id group by 1, 2) t
+          on t.sample = c.sample
+        left join (select sample, coverage, solution, short, sum(fraction) as fraction
+          from v_posterior join v_names on lineage = target_id and length(target_id) > 5 group by all) p
+          on p.sample = c.sample and p.coverage = c.coverage and p.solution = c.solution and p.short = t.short)''', 'coverage', 'actual', 'predicted')}""",
     "study_coinfection": f"""select tool, cast(list_position(
           ['truth', 'posterior', 'abundance', 'consensus', 'clade'], tool) as int) as tool_order, prediction,
         count(*) as n_samples, {_r9('avg(fraction)', 'mean_fraction')},

@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lineamix.functions.names import VARIANT_CLASSES, ClassRule, classify, list_order, recode
+from lineamix.functions.names import LAB_STRAINS, LAB_TRUTH, VARIANT_CLASSES, ClassRule, classify, list_order, recode
 from lineamix.operators import (
     fractions, intervals, ordering, reads, sampling, scoring, solutions, variants,
 )
@@ -206,6 +206,33 @@ def lab_mix(
     return scoring.spearman(pairs, keys)
 
 
+def lab_mix_posterior(
+    posterior: DataFrame, truth: DataFrame, names: DataFrame, keys: Sequence[str] = ("coverage",)
+) -> DataFrame:
+    """Rank correlation of the first best solution, over the strains of the truth.
+
+    ``names`` holds ``target_id`` and ``short``: other targets are left out, and a strain
+    that the solution does not have counts as 0.
+    """
+    chosen = solutions.first_solution(solutions.best_solutions(posterior))
+    renamed = chosen.join(names.select(F.col("target_id").alias("lineage"), "short"), "lineage")
+    predicted = renamed.groupBy(*BY_COVERAGE, F.col("short").alias("lineage")).agg(
+        F.sum("fraction").alias("predicted")
+    )
+    asked = chosen.select(*BY_COVERAGE).distinct().join(
+        truth.select("sample", "lineage", F.col("fraction").alias("actual")), "sample"
+    )
+    pairs = asked.join(predicted, [*BY_COVERAGE, "lineage"], "left").na.fill(0.0, ["predicted"])
+    return scoring.spearman(pairs, keys)
+
+
+def lab_tables(spark: SparkSession, sample: str) -> tuple[DataFrame, DataFrame]:
+    """Names and truth of the published five-strain mix, for ``lab_mix`` and ``lab_mix_posterior``."""
+    names_of = spark.createDataFrame(list(LAB_STRAINS.items()), "target_id string, short string")
+    truth = [(sample, short, share) for short, share in LAB_TRUTH.items()]
+    return names_of, spark.createDataFrame(truth, "sample string, lineage string, fraction double")
+
+
 def rename_targets(df: DataFrame, names: DataFrame) -> DataFrame:
     return df.join(names.select("target_id", "short"), "target_id", "left").withColumn(
         "target_id", F.coalesce("short", "target_id")

@@ -198,3 +198,15 @@ def test_stack_and_bars(spark, rows):
     )
     bars = studies.stacked_fractions(studies.stack(df))
     assert rows(bars, "prediction", "fraction", "bar_start", "bar_end") == [("A", 0.75, 0.0, 0.75), ("B", 0.75, 0.75, 1.0)]
+
+
+def test_lab_mix_posterior(spark):
+    names_of, truth = studies.lab_tables(spark, "mix")
+    rows = [(1, 1.0, "M38429.1", 0.4), (1, 1.0, "U39362.2", 0.3), (1, 1.0, "AF324493.2", 0.2), (1, 1.0, "other", 0.1),
+            (2, 1.0, "K03455.1", 1.0), (0, 0.9, "K03455.1", 1.0)]
+    posterior = spark.createDataFrame(
+        [("mix", "100x", *r) for r in rows], "sample string, coverage string, solution bigint, odds double, lineage string, fraction double"
+    )
+    found = studies.lab_mix_posterior(posterior, truth, names_of).first()
+    # Truth ranks 896 3, HXB2 1, JRCSF 5, NL43 4, YU2 2 against 4, 1.5, 5, 3, 1.5.
+    assert found.n_points == 5 and abs(found.spearman - 0.8720815992723809) < 1e-9
