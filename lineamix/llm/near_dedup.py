@@ -1,11 +1,12 @@
 """MinHash near-dedup with HyperMinHash registers.
 
 Equal shingle sets are one class, and classes are compared. Bands of compressed registers put
-classes into buckets. Each bucket first compares its members with its smallest one, a number of
-pairs that grows with the bucket; the links found join classes to components. Buckets that still
-hold several components are compared in blocks of bounded size, where only pairs of different
-components whose estimated similarity is high enough come out. Every pair is confirmed on the
-full sets of both texts before it counts.
+classes into buckets. Each bucket first compares its members with its smallest and its largest
+one, a number of pairs that grows with the bucket; the links found join classes to components.
+Buckets that still hold several components are compared in blocks of bounded size, which give out
+only pairs that join different components. Pairs are tried only if the similarity estimated from
+their registers, corrected for chance collisions, may be high enough, and every pair is confirmed
+on the full sets of both texts before it counts.
 """
 
 from __future__ import annotations
@@ -23,7 +24,9 @@ from lineamix.llm.components import components
 WIDTH = 5
 REGISTERS = 192
 #: Members of a bucket on one side of a block.
-BLOCK = 128
+BLOCK = 1024
+#: Shingles that a set brings to a block: sets up to this size are compared whole there.
+SMALLEST = 1024
 SET_KEYS = ["f1", "f2", "n"]
 
 SIGNATURES = "doc_id bigint, n bigint, f1 bigint, f2 bigint, registers binary"
@@ -109,18 +112,36 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, similarity: tuple
     return both.mapInArrow(confirm, "a bigint, b bigint")
 
 
-def _blocks(members: DataFrame, similarity: float, bands: int, width: int) -> DataFrame:
-    """Pairs of members of one bucket that no earlier band holds too and that are likely links.
+def _whole_sets(texts: DataFrame, width: int) -> DataFrame:
+    """(rep, members): the set of each text as sorted 64-bit numbers, or its ``SMALLEST`` smallest ones."""
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = sh.shingle_sets(batch.column(1), width)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([s[:SMALLEST].astype("<u8").tobytes() for s in sets], pa.binary())], names=["rep", "members"]
+            )
+
+    return texts.select("doc_id", "text").mapInArrow(build, "rep bigint, members binary")
+
 
-    ``members`` has (key, hub, size, rep, component, n, registers). A bucket is cut into slices by
-    hash of the member; a block is two slices or one, so a task holds two slices at a time.
+def _blocks(members: DataFrame, similarity: tuple[int, int], bands: int, width: int) -> DataFrame:
+    """Pairs of members of one bucket that join different components, at most one fewer than members
+    in a block where sets are whole.
+
+    ``members`` has (key, hub, last, size, rep, component, n, registers, members). A bucket is cut
+    into slices by hash of the member; a block is two slices or one, so a task holds two slices at
+    a time. In a block, registers rule out most pairs; then sets of up to ``SMALLEST`` shingles are
+    compared whole, and a link inside what the block has joined already adds nothing and is left
+    out. Of larger sets the smallest shingles are compared, and all pairs they leave come out.
+    A pair that several bands hold is looked at in the first of them only.
     """
+    least, bound = similarity
     slices = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rep"), slices).cast("int")
     placed = members.withColumn("slice", own).withColumn("other", F.explode(F.sequence(F.lit(0), slices - 1)))
     placed = placed.select(
         "key", F.least("slice", "other").alias("low"), F.greatest("slice", "other").alias("high"), "slice",
-        "hub", "rep", "component", "n", "registers",
+        "hub", "last", "rep", "component", "n", "registers", "members",
     )
     order = ["key", "low", "high"]
 
@@ -131,43 +152,70 @@ def _blocks(members: DataFrame, similarity: float, bands: int, width: int) -> Da
             held = rows if held is None else pa.concat_tables([held, rows])
             marks = _starts(held)
             if len(marks) > 1:
-                yield from pairs(held.slice(0, marks[-1]), marks[:-1])
+                yield pairs(held.slice(0, marks[-1]), marks[:-1])
                 held = held.slice(marks[-1])
         if held is not None and held.num_rows:
-            yield from pairs(held, _starts(held))
+            yield pairs(held, _starts(held))
 
-    def pairs(rows: pa.Table, marks: np.ndarray) -> Iterator[pa.RecordBatch]:
-        rows = rows.combine_chunks()
-        column = {c: rows[c].to_numpy() for c in ("key", "low", "high", "slice", "hub", "rep", "component", "n")}
-        reg = _matrix(pa.concat_arrays(rows["registers"].chunks))
+    def pairs(rows: pa.Table, marks: np.ndarray) -> pa.RecordBatch:
+        column = {c: rows[c].to_numpy() for c in ("key", "low", "high", "slice", "hub", "last", "rep", "component", "n")}
+        reg = _matrix(rows["registers"])
+        sets = [np.frombuffer(m, "<u8") for m in rows["members"].to_pylist()]
         keys = sh.band_keys(reg, bands, width)
-        found = []
-        for at, end in zip(marks, [*marks[1:], rows.num_rows]):
+        tested = (column["rep"] == column["hub"]) | (column["rep"] == column["last"])
+        found: list[tuple[int, int]] = []
+        for at, end in zip(marks.tolist(), [*marks[1:].tolist(), rows.num_rows]):
             i, j = np.triu_indices(end - at, 1)
             i, j = i + at, j + at
-            keep = column["component"][i] != column["component"][j]
-            keep &= (column["rep"][i] != column["hub"][i]) & (column["rep"][j] != column["hub"][j])
+            keep = (column["component"][i] != column["component"][j]) & ~tested[i] & ~tested[j]
             if column["low"][at] != column["high"][at]:
                 keep &= column["slice"][i] != column["slice"][j]
             i, j = i[keep], j[keep]
+            joined: dict[int, int] = {}
             for k in range(0, len(i), 1 << 14):
-                found.append(_first_meeting(reg, keys, column, i[k:k + (1 << 14)], j[k:k + (1 << 14)]))
-        found = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], schema=_PAIR_TYPE)
-
-    def _first_meeting(reg, keys, column, i, j) -> np.ndarray:
+                for x, y in _first_meeting(reg, keys, column, i[k:k + (1 << 14)], j[k:k + (1 << 14)]):
+                    p, q = _root(joined, column["component"][x]), _root(joined, column["component"][y])
+                    if p == q:
+                        continue
+                    m, n = column["n"][x], column["n"][y]
+                    if max(m, n) <= SMALLEST:
+                        common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                        if bound * common < least * (m + n - common):
+                            continue
+                        joined[max(p, q)] = min(p, q)
+                    elif not _may_link(sets[x], sets[y], least / bound):
+                        continue
+                    found.append((min(column["rep"][x], column["rep"][y]), max(column["rep"][x], column["rep"][y])))
+        out = np.array(found, np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], schema=_PAIR_TYPE)
+
+    def _first_meeting(reg, keys, column, i, j) -> list[tuple[int, int]]:
         likely = sh.estimate(reg[i], reg[j], column["n"][i], column["n"][j]) >= sh.lower_bound(
-            similarity, column["n"][i], column["n"][j], reg.shape[1])
+            least / bound, column["n"][i], column["n"][j], reg.shape[1])
         i, j = i[likely], j[likely]
-        same = keys[i] == keys[j]
-        first = keys[i, same.argmax(1)] == column["key"][i] if len(i) else np.zeros(0, bool)
-        a, b = column["rep"][i[first]], column["rep"][j[first]]
-        return np.column_stack([np.minimum(a, b), np.maximum(a, b)])
+        if not len(i):
+            return []
+        first = keys[i, (keys[i] == keys[j]).argmax(1)] == column["key"][i]
+        return list(zip(i[first].tolist(), j[first].tolist()))
 
     dealt = placed.repartition(*order).sortWithinPartitions(*order)
     return dealt.mapInArrow(compare, "a bigint, b bigint")
 
 
+def _root(joined: dict[int, int], node: int) -> int:
+    while (up := joined.get(node)) is not None:
+        node = up
+    return node
+
+
+def _may_link(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """False if the smallest shingles of the union rule out the similarity (five deviations)."""
+    size = min(len(a), len(b), SMALLEST)
+    union = np.union1d(a, b)[:size]
+    share = len(np.intersect1d(np.intersect1d(union, a, True), b, True)) / max(size, 1)
+    return share >= similarity - 5 * np.sqrt(similarity * (1 - similarity) / max(size, 1))
+
+
 def _starts(rows: pa.Table) -> np.ndarray:
     """Where a new (key, low, high) begins in sorted rows."""
     if not rows.num_rows:
@@ -199,24 +247,27 @@ def near_duplicates(
         usable.groupBy(*SET_KEYS).agg(F.min("doc_id").alias("rep"), F.first("registers").alias("registers")), "classes"
     )
     keyed = written(_bands(classes, bands, band_width), "bands")
-    buckets = keyed.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    buckets = keyed.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last"), F.count(F.lit(1)).alias("size")).where("size > 1")
     members = written(keyed.join(buckets, "key"), "members")
 
-    first = written(_likely(
-        members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), classes, similarity
-    ), "pairs")
+    spokes = members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).union(
+        members.where("rep <> last AND hub <> rep").select("rep", "last")
+    )
+    first = written(_likely(spokes.distinct(), classes, similarity), "pairs")
     needed = members.select(F.col("rep").alias("doc_id")).distinct()
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     texts = written(texts.join(needed, "doc_id").dropDuplicates(["doc_id"]), "texts")
     links = written(_confirmed(first, texts, width, (percent, 100)), "links")
 
     joined = written(components(links), "components")
-    # A bucket of two has no other pair than the one with its smallest member.
-    labelled = members.where("size > 2").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
-    labelled = labelled.withColumn("component", F.coalesce("component", "rep"))
+    # Up to three members have no other pairs than those with the smallest and the largest one.
+    labelled = members.where("size > 3").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
+    labelled = written(labelled.withColumn("component", F.coalesce("component", "rep")), "labelled")
     split = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    open_members = labelled.join(split, "key").join(classes.select("rep", "n", "registers"), "rep")
-    more = written(_blocks(open_members, similarity, bands, band_width).distinct(), "pairs")
+    open_members = written(labelled.join(split, "key"), "open")
+    sets = _whole_sets(texts.join(open_members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), width)
+    details = written(classes.select("rep", "n", "registers").join(sets, "rep"), "sets")
+    more = written(_blocks(open_members.join(details, "rep"), (percent, 100), bands, band_width).distinct(), "pairs")
     links = links.union(written(_confirmed(more, texts, width, (percent, 100)), "links"))
 
     final = written(components(links), "components")
