@@ -18,7 +18,7 @@ HEADLINE = (
     "lineage_similarity", "sample_n_reads", "interval_anti", "primer_clip", "mate_pairs",
     "coordinate_sort", "hap_abundance", "read_qc", "quality_filter", "quality_trim",
     "study_simulation_input", "study_abundant_validation", "study_scatter_posterior",
-    "study_scatter_abundance", "study_labmix", "study_coinfection", "study_similarity",
+    "study_scatter_abundance", "study_labmix", "study_labmix_posterior", "study_coinfection", "study_similarity",
     "study_genotype_filter", "study_monitoring", "study_hap_abundance", "study_read_mix",
 )
 

@@ -52,10 +52,11 @@ def fold_unmatched(
 def solution_errors(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Root mean squared error of each candidate solution.
 
-    Rounded to 12 decimals: equal errors must tie whatever the order of summation.
+    Rounded to 12 significant digits: equal errors must tie whatever the order of summation.
     """
     error = F.sqrt(F.avg(F.pow(F.col("actual") - F.col("predicted"), 2)))
-    return pairs.groupBy(*keys, "solution").agg(F.round(error, 12).alias("rmse"))
+    errors = pairs.groupBy(*keys, "solution").agg(error.alias("rmse"))
+    return errors.withColumn("rmse", F.when(F.col("rmse").isNotNull(), significant("rmse")))
 
 
 def best_rmse(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
