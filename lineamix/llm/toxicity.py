@@ -26,8 +26,6 @@ SAMPLE_ROWS, LEXICON_TERMS = 20_000, 2_000
 LEAST_DOCS, LEAST_PART, LEAST_SHARE = 5, 0.004, 0.9
 #: Beginnings of words become terms if so many different toxic words have them.
 STEM_LENGTHS, STEM_WORDS, STEM_SHARE = (4, 5, 6, 7, 8), 3, 0.97
-#: Misspellings are looked for of terms that this share of the toxic sample documents has.
-CORE_PART = 0.1
 #: Words on each side of a hit that are its context.
 WINDOW = 8
 THRESHOLD = 0.7
@@ -77,7 +75,7 @@ class LevenshteinAutomaton:
 
 @dataclass
 class Lexicon:
-    """Terms with weights; ``stems`` are word beginnings. Misspellings are looked for of ``core`` terms."""
+    """Terms with weights; ``stems`` are word beginnings. Misspellings are looked for of ``core``: every word long enough."""
 
     words: dict[str, float]
     stems: dict[str, float]
@@ -265,7 +263,7 @@ def learn_lexicon(rows: DataFrame, most: int = LEXICON_TERMS) -> Lexicon:
         if not any(r.term[:n] in found for n in STEM_LENGTHS):
             found[r.term] = _weight(r)
     words = [r for r in best(counted, LEAST_SHARE) if not any(r.term[:n] in found for n in STEM_LENGTHS)]
-    core = tuple(r.term for r in words if r.toxic >= CORE_PART * labelled[0])
+    core = tuple(r.term for r in words if edits(len(r.term)))
     return Lexicon({r.term: _weight(r) for r in words}, found, core)
 
 

@@ -105,3 +105,24 @@ def test_context():
     texts = ['he said "you idiot go" and left', "you idiot and moron", "you idoit idiott", "", None, "idiot " * 9000]
     x = toxicity.hit_features(pa.array(texts), lexicon, {})
     assert x[0][2] > 0 == x[0][0] and x[1][3] > 0 and x[2][1] > 0 and not x[3].any() and not x[4].any() and np.isfinite(x).all()
+
+
+def test_misspellings_of_rare_terms_are_found(spark, docs):
+    pick = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    plain, terms = (["".join(pick.choice(letters) for _ in range(7)) for _ in range(n)] for n in (300, 40))
+    made, marks = [], []
+    for i in range(1200):
+        toxic = i % 3 == 0
+        words = [pick.choice(plain) for _ in range(30)]
+        for j in range(3 * toxic):
+            term = pick.choice(terms)
+            words[7 * j + 3] = term if j else term[:3] + "q" + term[4:]
+        made.append((i, " ".join(words)))
+        marks.append((i, int(toxic)))
+    labels = spark.createDataFrame(marks, "doc_id bigint, toxic int")
+    model = toxicity.train(docs(made), labels, F.lit(True))
+    assert len(model.lexicon.core) == len([w for w in model.lexicon.words if edits(len(w))]) >= 30
+    words = [w[:5] + "q" + w[6:] for w in list(model.lexicon.words)[:4]]
+    bad, good = toxicity.hit_features(pa.array([" ".join(plain[:20] + words), " ".join(plain[:24])]), model.lexicon, {})
+    assert model.scores(np.array([bad]))[0] > toxicity.THRESHOLD > model.scores(np.array([good]))[0]
