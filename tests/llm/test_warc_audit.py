@@ -45,3 +45,30 @@ def test_archive_round_trip(spark, rows):
     first = sorted(glob.glob(path + "/*.txt"))[0]
     with open(first, "rb") as file:
         assert file.read().startswith(b"WARC/1.1\r\n")
+
+
+def test_lost_repeated_and_truncated_records_are_located(spark):
+    urls = [f"http://h/{i:04}" for i in range(400)]
+    pages = spark.createDataFrame([(u, f"<p>page {u}</p>" * 3) for u in urls], "url string, html string")
+    archive = pages.select(warc_record(F.col("url"), F.col("html")).alias("record"), "url")
+
+    def replica_of(kept):
+        path = new_folder(spark, "warc")
+        write_warc(kept, path)
+        back = read_warc(spark, path)
+        return back.select(F.col("url").alias("key"), warc_record(F.col("url"), F.col("payload")).alias("record"))
+
+    shape = dict(segment=64, fanout=4, levels=3)
+    sound = tree(replica_of(archive), **shape)
+    lost, twice, cut, longer = urls[0], urls[101], urls[202], urls[303]
+    text = F.when(F.col("url") == cut, F.expr("left(record, length(record) - 9)")).when(F.col("url") == longer, F.concat("record", F.lit("more"))).otherwise(F.col("record"))
+    more = spark.createDataFrame([("http://h/0150x", "new")], "url string, html string").select(warc_record(F.col("url"), F.col("html")).alias("record"), "url")
+    other = archive.where(F.col("url") != lost).unionByName(archive.where(F.col("url") == twice)).unionByName(more).withColumn("record", text)
+    expected = sorted([(lost, "missing"), (twice, "extra"), (cut, "changed"), (longer, "changed"), ("http://h/0150x", "extra")])
+    theirs = tree(replica_of(other), **shape, like=sound)
+    assert sorted((r.key, r.status) for r in audit(sound, theirs, 4).collect()) == expected
+    same_leaves = sound[1].join(theirs[1], ["segment", "node", "length", "digest"]).count()
+    assert same_leaves >= sound[1].count() - 5  # all else is not read
+    assert sorted((r.key, r.status) for r in audit(sound, tree(replica_of(other), **shape), 4).collect()) == expected
+    nothing = tree(replica_of(archive.where("false")), **shape)
+    assert audit(nothing, tree(replica_of(archive), **shape, like=nothing), 4).where("status = 'extra'").count() == 400
