@@ -2,8 +2,8 @@
 
 Words become template tokens: a number with its unit, or a run of names, is one typed placeholder,
 and other words stand for themselves. Windows of template tokens meet the benchmark's windows in a
-hash join. Matches of one document and item along one diagonal are then one passage, which counts
-if it covers enough of the item and the values in its slots replace those of the item one for one.
+hash join. Matches of one document and item along neighbouring diagonals are then one passage, which
+counts if it covers enough of the item and the values in its slots replace those of the item one for one.
 """
 
 from __future__ import annotations
@@ -18,8 +18,10 @@ from lineamix.llm.common import table, written
 from lineamix.llm.words import hash_spans, mix, parts, words_of
 
 WINDOW = 5
-#: Share of an item's windows that a passage must have.
-COVERAGE = 0.8
+#: Share of an item's words that a passage must cover, or so many of them in one run.
+COVERAGE, LONG_RUN = 0.8, 20
+#: Words by which neighbouring windows of a passage may move against each other.
+DRIFT = 4
 #: A window with fewer literal words than this matches by its values too.
 LITERALS = 3
 #: Bits of the filter that documents' windows pass before the join: its size whatever the benchmark.
@@ -41,10 +43,10 @@ LITERAL, NUMBER, NAME = 0, 1, 2
 _MARK = mix(np.arange(1, 4, dtype=np.uint64))
 _ODD = np.random.Generator(np.random.PCG64(11)).integers(0, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 
-WINDOWS = "id bigint, text_hash bigint, window bigint, position bigint, windows bigint, slots array<bigint>"
+WINDOWS = "id bigint, text_hash bigint, window bigint, position bigint, after bigint, words bigint, sure boolean, slots array<bigint>"
 _WINDOW_TYPE = pa.schema([
-    ("id", pa.int64()), ("text_hash", pa.int64()), ("window", pa.int64()), ("position", pa.int64()), ("windows", pa.int64()),
-    ("slots", pa.list_(pa.int64())),
+    ("id", pa.int64()), ("text_hash", pa.int64()), ("window", pa.int64()), ("position", pa.int64()), ("after", pa.int64()),
+    ("words", pa.int64()), ("sure", pa.bool_()), ("slots", pa.list_(pa.int64())),
 ])
 
 
@@ -69,10 +71,11 @@ def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
 
 
 class Template:
-    """Template tokens of some texts: ``kind``, ``token`` (hash that windows use), ``value``, ``at``."""
+    """Words of some texts and what they may be; ``readings`` have the template tokens."""
 
     def __init__(self, texts: pa.Array):
         w = words_of(texts)
+        self.text_at = w.text_at
         starts, ends = w.starts.copy(), w.ends.copy()
         for _ in range(3):
             starts += (ends - starts > 1) & _BEFORE[w.data[starts]] if len(starts) else 0
@@ -89,10 +92,23 @@ class Template:
             after[1:] = _STOP[w.data[w.ends[:-1] - 1]] | (breaks[w.starts[1:]] != breaks[w.ends[:-1] - 1])
             after[opening] = True
         accented = (first == 0xC3) & (second >= 0x80) & (second <= 0x9E)
-        name = (accented | (_CAPITAL[first] & ~_CAPITAL[second] & (ends - starts > 1))) & ~after & ~number
+        capital = (accented | (_CAPITAL[first] & ~_CAPITAL[second] & (ends - starts > 1))) & ~number
         unit = np.zeros(n, bool)
         unit[1:] = number[:-1] & _among(value[1:], _hashes(UNITS)) & ~number[1:]
         unit[opening] = False
+        none = np.zeros(n, bool)
+        #: Names inside sentences, and no names: of the second only windows with a name are of use.
+        self.readings = [
+            Reading(w.text_at, opening, value, number, unit, name, odd)
+            for name, odd in ((capital & ~after, None), (none, capital & ~after))
+        ]
+
+
+class Reading:
+    """Template tokens: ``kind``, ``token`` (hash that windows use), ``value``, ``at``, and where each begins and ends in words."""
+
+    def __init__(self, text_at, opening, value, number, unit, name, odd):
+        n = len(value)
         kind = np.where(number | unit, NUMBER, np.where(name, NAME, LITERAL))
         # A placeholder that goes on is no token of its own: units, further names, "two hundred".
         goes_on = np.zeros(n, bool)
@@ -103,7 +119,9 @@ class Template:
         self.value = np.add.reduceat(value * (position * np.uint64(2) + np.uint64(1)), keep) if n else value
         self.kind = kind[keep]
         self.token = np.where(self.kind == LITERAL, self.value, _MARK[self.kind])
-        self.at = np.searchsorted(keep, w.text_at)
+        self.at = np.searchsorted(keep, text_at)
+        self.first, self.after = keep, np.append(keep, n)[1:]
+        self.odd = None if odd is None else np.concatenate([[0], np.cumsum(odd)])
 
     def windows(self, width: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(template hash, hash with values, first token, tokens) of every window.
@@ -132,40 +150,49 @@ class Template:
 
 
 def template_windows(rows: DataFrame, passing: bytes | None = None, width: int = WINDOW) -> DataFrame:
-    """``WINDOWS`` of rows (id, text_hash, text): hash, position and slot values of each window.
+    """``WINDOWS`` of rows (id, text_hash, text): hash, first word, word after, and slot values of each window.
 
     A window with placeholders comes out as template, with its slots, and with its values filled
-    in, without. ``windows`` is the number of windows that the text has. With a bitmap in ``passing`` only windows whose
-    bit is set come out. NULL and empty texts have none.
+    in, without. ``words`` is the number of words that the text has; windows that take a capital at
+    the beginning of a sentence for a name, or no capital for one, are not ``sure``. With a bitmap
+    in ``passing`` only windows whose bit is set come out. NULL and empty texts have none.
     """
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = None if passing is None else np.frombuffer(passing, np.uint8)
         for batch in batches:
             begin = 0
             for part in parts(batch.column(2)):
-                yield _rows(batch.slice(begin, len(part)), part, bits)
+                yield from _rows(batch.slice(begin, len(part)), part, bits)
                 begin += len(part)
 
-    def _rows(batch: pa.RecordBatch, texts: pa.Array, bits: np.ndarray | None) -> pa.RecordBatch:
+    def _rows(batch: pa.RecordBatch, texts: pa.Array, bits: np.ndarray | None) -> list[pa.RecordBatch]:
         t = Template(texts)
+        return pa.Table.from_batches([_windows(batch, t, r, k == 0, bits) for k, r in enumerate(t.readings)]).combine_chunks().to_batches()
+
+    def _windows(batch: pa.RecordBatch, whole: Template, t: Reading, sure: bool, bits: np.ndarray | None) -> pa.RecordBatch:
         window, valued, begin, length = t.windows(width)
-        owner = np.searchsorted(t.at, begin, "right") - 1
-        total = np.bincount(owner, minlength=len(texts))
+        if t.odd is not None:
+            use = np.flatnonzero(t.odd[t.after[begin + length - 1]] > t.odd[t.first[begin]]) if len(begin) else begin
+            window, valued, begin, length = (x[use] for x in (window, valued, begin, length))
         other = np.flatnonzero(valued != window)
         filled = np.arange(len(window) + len(other)) >= len(window)
-        window, (begin, length, owner) = np.concatenate([window, valued[other]]), (
-            np.concatenate([x, x[other]]) for x in (begin, length, owner))
+        window, (begin, length) = np.concatenate([window, valued[other]]), (np.concatenate([x, x[other]]) for x in (begin, length))
         if bits is not None:
             bit = _bit(window)
             kept = np.flatnonzero(bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
-            window, begin, length, owner, filled = (x[kept] for x in (window, begin, length, owner, filled))
+            window, begin, length, filled = (x[kept] for x in (window, begin, length, filled))
+        owner = np.searchsorted(t.at, begin, "right") - 1
         slots = [
             [] if f else [int(t.value[i].view(np.int64)) for i in range(b, b + n) if t.kind[i] != LITERAL]
             for b, n, f in zip(begin.tolist(), length.tolist(), filled.tolist())
         ]
+        origin = whole.text_at[:-1][owner]
+        first = t.first[begin] if len(begin) else begin
+        after = t.after[begin + length - 1] if len(begin) else begin
         return pa.RecordBatch.from_arrays([
             batch.column(0).take(pa.array(owner)), batch.column(1).take(pa.array(owner)), pa.array(window.view(np.int64)),
-            pa.array(begin - t.at[:-1][owner]), pa.array(total[owner]), pa.array(slots, pa.list_(pa.int64())),
+            pa.array(first - origin, pa.int64()), pa.array(after - origin, pa.int64()), pa.array(np.diff(whole.text_at)[owner], pa.int64()),
+            pa.array(np.full(len(begin), sure)), pa.array(slots, pa.list_(pa.int64())),
         ], schema=_WINDOW_TYPE)
 
     return rows.select("id", "text_hash", "text").mapInArrow(scan, WINDOWS)
@@ -191,9 +218,11 @@ def contaminated(
 ) -> DataFrame:
     """(doc_id, text_hash, item_id, windows, matched, changed_slots): passages of items in documents.
 
-    A passage lies along one diagonal: its windows keep their distances from the item's. It counts
-    if it has ``coverage`` of the item's windows or more, and if equal slot values of the item
-    stand for equal values in the document and different ones for different ones.
+    A passage is a chain of windows that stand in the item's order and move against it by ``DRIFT``
+    words at most from one to the next. It counts if it covers ``coverage`` of the item's words or
+    ``LONG_RUN`` of them in a row, and if equal slot values of the item stand for equal values in
+    the document and different ones for different ones. ``windows`` is the number of the item's
+    words and ``matched`` how many of them are covered.
     ``changed_slots`` is the number of item values that were replaced, 0 for a verbatim copy. Of
     several passages of one item in one document the fullest is given. An item with fewer tokens
     than a window only matches a document that is nothing else; items without words match none.
@@ -202,24 +231,80 @@ def contaminated(
     wanted = written(template_windows(items, width=width), "windows")
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
     found = template_windows(rows, window_bitmap(wanted), width)
-    wanted = wanted.select("window", F.col("id").alias("item_id"), F.col("position").alias("item_position"), "windows", F.col("slots").alias("item_slots"))
-    met = found.select("window", F.col("id").alias("doc_id"), "text_hash", "position", "slots", F.col("windows").alias("own")).join(wanted, "window")
+    wanted = wanted.select("window", F.col("id").alias("item_id"), F.col("position").alias("q"), F.col("after").alias("q_after"),
+                           F.col("words").alias("windows"), F.col("sure").alias("item_sure"), F.col("slots").alias("item_slots"))
+    met = found.select("window", F.col("id").alias("doc_id"), "text_hash", F.col("position").alias("p"), "sure", "slots").join(wanted, "window")
     # Short texts are one window of all their tokens; they only match texts as short.
-    met = met.withColumn("diagonal", F.col("position") - F.col("item_position"))
-    passage = ["doc_id", "text_hash", "item_id", "diagonal"]
-    values = F.flatten(F.collect_list(F.arrays_zip("item_slots", "slots")))
-    grouped = met.groupBy(*passage).agg(
-        F.first("windows").alias("windows"), F.count_distinct("item_position").alias("matched"), F.array_distinct(values).alias("pairs")
-    ).where(F.col("matched") >= F.lit(coverage) * F.col("windows"))
-    pairs = F.size("pairs")
-    consistent = (F.size(F.array_distinct("pairs.item_slots")) == pairs) & (F.size(F.array_distinct("pairs.slots")) == pairs)
-    changed = F.size(F.filter("pairs", lambda p: p["item_slots"] != p["slots"]))
-    return (
-        grouped.where(consistent).withColumn("changed_slots", changed)
-        .groupBy("doc_id", "text_hash", "item_id")
-        .agg(F.max(F.struct("matched", (-F.col("changed_slots")).alias("same"), "windows")).alias("best"))
-        .select("doc_id", "text_hash", "item_id", "best.windows", "best.matched", (-F.col("best.same")).alias("changed_slots"))
+    match = F.struct("p", "q", "q_after", (F.col("sure") & F.col("item_sure")).alias("sure"), "item_slots", "slots")
+    grouped = met.groupBy("doc_id", "text_hash", "item_id").agg(
+        F.first("windows").alias("windows"), F.collect_set(F.struct("q", "q_after")).alias("spans"), F.collect_list(match).alias("matches")
     )
+    most = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, x: n + x["q_after"] - x["q"])
+    enough = F.least(F.lit(coverage) * F.col("windows"), F.lit(LONG_RUN))
+
+    @F.udf("matched int, changed_slots int")
+    def best(matches, words):
+        return best_passage(matches, words, coverage, width)
+
+    return grouped.where(most >= enough).select("doc_id", "text_hash", "item_id", "windows", best("matches", "windows").alias("best")).where(
+        "best IS NOT NULL"
+    ).select("doc_id", "text_hash", "item_id", "windows", F.col("best.matched").cast("bigint").alias("matched"), "best.changed_slots")
+
+
+def best_passage(matches: list, words: int, coverage: float = COVERAGE, width: int = WINDOW) -> tuple[int, int] | None:
+    """(covered words, changed slots) of the fullest passage that counts, of equals the least changed."""
+    reach = 2 * width + DRIFT + int((1 - coverage) * words)
+    places: dict[int, list] = {}
+    for m in matches:
+        places.setdefault(m[0], []).append(m)
+    chains: list[list] = []
+    ended: list[list] = []
+    for p in sorted(places):
+        ended += [c for c in chains if p - c[-1][0] > reach]
+        chains = [c for c in chains if p - c[-1][0] <= reach]
+        # The nearest diagonals first; a chain has one place of the item for each of the document.
+        fits = sorted(
+            (abs((p - m[1]) - (c[-1][0] - c[-1][1])), k, i) for i, m in enumerate(places[p]) for k, c in enumerate(chains)
+            if abs((p - m[1]) - (c[-1][0] - c[-1][1])) <= DRIFT and m[1] >= c[-1][1])
+        taken: dict[int, int] = {}
+        joined = set()
+        for _, k, i in fits:
+            m = places[p][i]
+            if i not in joined and taken.setdefault(k, m[1]) == m[1]:
+                chains[k].append(m)
+                joined.add(i)
+        opened: dict[int, list] = {}
+        for i, m in enumerate(places[p]):
+            if i not in joined:
+                opened.setdefault(m[1], []).append(m)
+        chains += opened.values()
+    found = [x for c in ended + chains if (x := _judged(c, words, coverage))]
+    return max(found, key=lambda x: (x[0], -x[1]), default=None)
+
+
+def _judged(chain: list, words: int, coverage: float) -> tuple[int, int] | None:
+    longest = reached = 0
+    begin = -1
+    for q, after in sorted({(m[1], m[2]) for m in chain}):
+        begin, reached = (q, max(after, reached)) if begin < 0 or q > reached else (begin, max(after, reached))
+        longest = max(longest, reached - begin)
+    have = bytearray(words)
+    for m in chain:
+        have[m[1]:m[2]] = b"\1" * (m[2] - m[1])
+    covered = sum(have)
+    if covered < coverage * words and longest < LONG_RUN:
+        return None
+    # Sentence beginnings may be names or not, so that their values decide nothing.
+    pairs = {x for m in chain if m[3] for x in zip(m[4], m[5])}
+    if not len({a for a, _ in pairs}) == len({b for _, b in pairs}) == len(pairs):
+        return None
+    # Nor do they count as changed where another reading has the same words in the same place.
+    same = bytearray(words)
+    for m in chain:
+        if m[4] == m[5]:
+            same[m[1]:m[2]] = b"\1" * (m[2] - m[1])
+    told = [m for m in chain if m[3] or not all(same[m[1]:m[2]])]
+    return covered, len({a for m in told for a, b in zip(m[4], m[5]) if a != b})
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

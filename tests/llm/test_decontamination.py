@@ -43,3 +43,18 @@ def test_null_id_is_judged_by_its_own_text(spark, docs):
     benchmark = spark.createDataFrame([(1, ITEM)], "item_id bigint, text string")
     left = decontaminate(docs([(None, ITEM), (None, FILLER), (2, None)]), benchmark)
     assert sorted(r.text or "" for r in left.collect()) == ["", FILLER]
+
+
+LONG = ("On the first day of spring the old keeper of the harbour opened the wooden gate and counted all boats that had come from New York "
+        "and San Jose during the winter while his daughter wrote down their names")
+
+
+def test_edited_recased_and_partial_passages(spark, docs):
+    words = LONG.split()
+    short = "Which of the four rivers that cross this country carries the most water every single year"
+    edits = {
+        1: words[:19] + ["certainly"] + words[19:], 2: [{9: "captain", 30: "hard"}.get(i, w) for i, w in enumerate(words)], 3: LONG.lower().split(),
+        4: words[: len(words) * 3 // 4], 5: short.replace("country", "region").split(), 6: words[:12] + FILLER.split() + words[28:],
+    }
+    got = found(spark, docs, [(k, f"{FILLER} {' '.join(w)} {FILLER}") for k, w in edits.items()], [(1, LONG), (2, short)])
+    assert got.keys() == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 2)}
