@@ -97,10 +97,11 @@ class Template:
         unit[1:] = number[:-1] & _among(value[1:], _hashes(UNITS)) & ~number[1:]
         unit[opening] = False
         none = np.zeros(n, bool)
-        #: Names inside sentences, and no names: of the second only windows with a name are of use.
+        #: Names inside sentences, names anywhere, and no names: what else a capital may mean. Of the
+        #: last two only windows with a word that they read otherwise are of use.
         self.readings = [
             Reading(w.text_at, opening, value, number, unit, name, odd)
-            for name, odd in ((capital & ~after, None), (none, capital & ~after))
+            for name, odd in ((capital & ~after, None), (capital, capital & after), (none, capital & ~after))
         ]
 
 

@@ -58,3 +58,11 @@ def test_edited_recased_and_partial_passages(spark, docs):
     }
     got = found(spark, docs, [(k, f"{FILLER} {' '.join(w)} {FILLER}") for k, w in edits.items()], [(1, LONG), (2, short)])
     assert got.keys() == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 2)}
+
+
+def test_other_names_at_sentence_beginnings_and_many_slots(spark, docs):
+    sold = "Natalia sold clips to 48 friends in the spring. Natalia then sold half as many in the summer. Natalia keeps the money in a box under her old bed."
+    dense = "Anna has 3 apples, Bob has 5 pears, Carl has 7 plums and Dora has 9 figs."
+    other = dense.replace("Anna", "Emil").replace("Bob", "Fritz").replace("Carl", "Gina").replace("Dora", "Hans").translate(str.maketrans("3579", "4682"))
+    got = found(spark, docs, [(1, f"{FILLER} {sold.replace('Natalia', 'Mary')}"), (2, f"{FILLER} {other} {FILLER}"), (3, FILLER)], [(1, sold), (2, dense)])
+    assert got.keys() == {(1, 1), (2, 2)} and got[1, 1] >= 1 and got[2, 2] >= 6
