@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lineamix.llm.decontamination import decontamination
 from lineamix.llm.exact_dedup import EXACT_DEDUP_SQL, exact_dedup
+from lineamix.llm.manifest import DATASET_MANIFEST_SQL, dataset_manifest
 from lineamix.llm.near_dedup import NEAR_DEDUP_SQL, near_dedup
 from lineamix.llm.packing import packing
 from lineamix.llm.quality import quality_classifier
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_quality": quality_classifier,
     "op9_warc_audit": warc_audit,
     "op10_near_dedup": near_dedup,
+    "op13_dataset_manifest": dataset_manifest,
 }
 
 ORACLE = {
@@ -31,4 +33,5 @@ ORACLE = {
     "op6_exact_dedup": EXACT_DEDUP_SQL,
     "op9_warc_audit": WARC_AUDIT_SQL,
     "op10_near_dedup": NEAR_DEDUP_SQL,
+    "op13_dataset_manifest": DATASET_MANIFEST_SQL,
 }

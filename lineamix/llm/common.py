@@ -31,6 +31,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def broadcast_bounded(small: DataFrame, most_rows: int = 100_000) -> DataFrame:
+    """Hint a broadcast of a written table if it has at most so many rows, which are counted here.
+
+    Beyond that Spark chooses the join by the sizes it measures.
+    """
+    return F.broadcast(small) if small.count() <= most_rows else small
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else. Pure ASCII takes the fast path, where ``lower`` is the same."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(
