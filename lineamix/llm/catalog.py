@@ -9,6 +9,7 @@ from lineamix.llm.near_dedup import NEAR_DEDUP_SQL, near_dedup
 from lineamix.llm.packing import packing
 from lineamix.llm.quality import quality_classifier
 from lineamix.llm.secret_scan import secret_scan
+from lineamix.llm.token_alignment import token_alignment
 from lineamix.llm.token_counts import token_counts
 from lineamix.llm.token_files import token_files
 from lineamix.llm.toxicity import toxicity
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_quality": quality_classifier,
     "op9_warc_audit": warc_audit,
     "op10_near_dedup": near_dedup,
+    "op11_token_alignment": token_alignment,
     "op12_secret_scan": secret_scan,
     "op13_dataset_manifest": dataset_manifest,
 }

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 #: White space as the tokenizers' patterns see it, without the space.
 _WHITE = r"\t\n\v\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 #: A space next to other white space: there a cut before the space is not safe.
-_UNSAFE = f"[{_WHITE} ] | [{_WHITE}]"
+UNSAFE = f"[{_WHITE} ] | [{_WHITE}]"
 #: Letters up to U+00FF (after a space) are one pre-token, and a closing sign after them is another.
 _LATIN = re.compile(r"[ A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 _CLOSING = frozenset(".,;:!?")
@@ -34,6 +34,7 @@ def _byte_letters() -> list[str]:
 
 
 _LETTER_OF = _byte_letters()
+BYTE_OF = {letter: byte for byte, letter in enumerate(_LETTER_OF)}
 _SPACE = _LETTER_OF[0x20]
 
 
@@ -67,7 +68,7 @@ class Encoder:
             return (*self._whole(texts), np.zeros(0, np.int64))
         if self.dropping:
             return self._by_words(pc.replace_substring(texts, "\n", "\n "), "")
-        unsafe = pc.match_substring_regex(texts, _UNSAFE).to_numpy(zero_copy_only=False)
+        unsafe = pc.match_substring_regex(texts, UNSAFE).to_numpy(zero_copy_only=False)
         if not unsafe.any():
             return self._by_words(texts, " ")
         easy = self._by_words(texts.filter(pa.array(~unsafe)), " ")
