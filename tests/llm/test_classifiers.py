@@ -84,27 +84,41 @@ def test_automaton_against_edit_distance():
         assert automaton.distance(state) == (d if d <= 2 else None)
 
 
+def same(*terms):
+    return Lexicon({t: (2.0, 2.0, 2.0) for t in terms})
+
+
+def spoil(word, times, pick):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    for _ in range(times):
+        i = pick.randrange(len(word) + 1)
+        word = pick.choice((word[:i] + pick.choice(letters) + word[i:], word[:i] + word[i + 1:], word[:i] + pick.choice(letters) + word[i + 1:]))
+    return word
+
+
 def test_lexicon_finds_every_near_word():
     pick = random.Random(6)
-    terms = ["scum", "idiot", "morons", "pathetic", "disgusting"]
-    lexicon = Lexicon(dict.fromkeys(terms, 2.0), {"lowei": 1.0}, tuple(terms))
-    letters = "abcdefghijklmnopqrstuvwxyz"
-    for _ in range(4000):
-        word = pick.choice(terms)
-        for _ in range(pick.randint(0, 3)):
-            i = pick.randrange(len(word) + 1)
-            word = pick.choice((word[:i] + pick.choice(letters) + word[i:], word[:i] + word[i + 1:], word[:i] + pick.choice(letters) + word[i + 1:]))
+    terms = ["scum", "idiot", "morons", "pathetic", "disgusting", "é" * 9 + "ab"]
+    lexicon = same(*terms)
+    words = sorted({spoil(pick.choice(terms), pick.randint(0, 3), pick) for _ in range(4000)})
+    hits = lexicon.hits(words)
+    for i, word in enumerate(words):
         best = min(((distance(word, t), t) for t in terms if distance(word, t) <= edits(len(t))), default=None)
-        found = lexicon.near(word)
-        assert found == (best and (best[1], best[0])), word
-    assert lexicon.hit('"Idi0t!"') == (2.0, True) and lexicon.hit("loweischaft") == (1.0, False) and lexicon.hit("1234") is None
+        assert hits.get(i) == (best and (best[1], best[0])), word
+    odd = ["idi0t", "m0r0ms", "loweischaft", "l0weix", "1234", "", "lowe", "harm"]
+    lexicon = Lexicon({"idiot": (2.0, 1.0, 1.0), "morons": (2.0, 1.0, 1.0), "lowei*": (1.0,) * 3, "harmless": (1.0,) * 3}, frozenset({"harmles"}))
+    assert lexicon.hits(odd) == {0: ("idiot", 0), 1: ("morons", 1), 2: ("lowei*", 0), 3: ("lowei*", 0)}
+    assert lexicon.hits(["harmles", "harmlss"]) == {1: ("harmless", 1)}
+    assert Lexicon({}).hits(odd) == {}
 
 
 def test_context():
-    lexicon = Lexicon({"idiot": 2.0, "moron": 2.0}, {}, ("idiot", "moron"))
-    texts = ['he said "you idiot go" and left', "you idiot and moron", "you idoit idiott", "", None, "idiot " * 9000]
-    x = toxicity.hit_features(pa.array(texts), lexicon, {})
-    assert x[0][2] > 0 == x[0][0] and x[1][3] > 0 and x[2][1] > 0 and not x[3].any() and not x[4].any() and np.isfinite(x).all()
+    texts = ['he said "you idiot go" and left', "you idiot and moron", "you idoit idiott", "", None, "idiot " * 9000, "so “idiot” said"]
+    x = toxicity.hit_features(pa.array(texts), same("idiot", "moron"))
+    assert x[0][2] > 0 == x[0][0] and x[1][3] > 0 and x[2][0] > 0 and not x[3].any() and not x[4].any() and np.isfinite(x).all() and x[6][2] > 0
+    hits = list(toxicity.word_hits(pa.array(texts), same("idiot", "moron")))
+    assert hits[1] == [("idiot", 0, "idiot"), ("moron", 0, "moron")] and sorted(h[1] for h in hits[2]) == [1] and hits[4] == []
+    assert toxicity.hit_features(pa.array([], pa.string()), same("idiot")).shape == (0, toxicity.FEATURES)
 
 
 def test_misspellings_of_rare_terms_are_found(spark, docs):
@@ -122,7 +136,36 @@ def test_misspellings_of_rare_terms_are_found(spark, docs):
         marks.append((i, int(toxic)))
     labels = spark.createDataFrame(marks, "doc_id bigint, toxic int")
     model = toxicity.train(docs(made), labels, F.lit(True))
-    assert len(model.lexicon.core) == len([w for w in model.lexicon.words if edits(len(w))]) >= 30
-    words = [w[:5] + "q" + w[6:] for w in list(model.lexicon.words)[:4]]
-    bad, good = toxicity.hit_features(pa.array([" ".join(plain[:20] + words), " ".join(plain[:24])]), model.lexicon, {})
+    assert len(set(terms) & set(model.lexicon.terms)) >= 30
+    words = [w[:5] + "q" + w[6:] for w in terms if w in model.lexicon.terms][:4]
+    bad, good = toxicity.hit_features(pa.array([" ".join(plain[:20] + words), " ".join(plain[:24])]), model.lexicon)
     assert model.scores(np.array([bad]))[0] > toxicity.THRESHOLD > model.scores(np.array([good]))[0]
+    nobody = docs(made).limit(0)
+    assert nobody.select(toxicity.score_column(model, F.col("text")).alias("s")).count() == 0
+
+
+def test_planted_misspellings_and_quotations(spark):
+    """Held-out toxic texts whose insults are all misspelled stay toxic; clean ones that quote them stay clean."""
+    import os
+    folder = os.path.join(os.environ.get("LINEAMIX_TESTDATA", "/root/testdata"), "sf0.1")
+    docs, labels = (spark.read.parquet(f"{folder}/{name}.parquet") for name in ("documents", "labels"))
+    held = quality.remainder(F.col("doc_id"), 3) == 1
+    model = toxicity.train(docs, labels, ~held)
+    strong = [t for t, v in model.lexicon.terms.items() if v[0] > 3 and v[1] > 3]
+    assert len(strong) >= 5
+    pick, bent, quoted, rows = random.Random(3), [], [], docs.join(labels, "doc_id").where(held).select("text", "toxic").collect()
+    for r in rows:
+        words = (r.text or "").split(" ")
+        bad = [i for i, w in enumerate(words) if w.strip(".,").lower() in strong]
+        if r.toxic and bad:
+            for i in bad:
+                w = words[i].strip(".,")
+                k = pick.randrange(1, len(w))
+                words[i] = pick.choice((w[:k] + "q" + w[k:], w[:k] + "q" + w[k + 1:])) if edits(len(w)) else w
+            bent.append(" ".join(words))
+        elif not r.toxic and len(words) > 30:
+            words[len(words) // 2] = f'"{pick.choice(strong)}"'
+            quoted.append(" ".join(words))
+    scores = [model.scores(toxicity.hit_features(pa.array(some), model.lexicon)) for some in (bent, quoted)]
+    assert len(bent) > 50 and (scores[0] >= toxicity.THRESHOLD).mean() >= 0.9
+    assert len(quoted) > 500 and (scores[1] < toxicity.THRESHOLD).mean() >= 0.95
