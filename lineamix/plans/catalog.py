@@ -12,7 +12,7 @@ from lineamix.operators import (
 )
 from lineamix.plans import studies
 from lineamix.session import tune
-from lineamix.sources import sinks, views
+from lineamix.sources import genomics, lines, posterior, sinks, tables, views
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -520,6 +520,141 @@ def positional_zip(s, d):
     )
 
 
+# --- parsers and path parts, on lines made from the tables ------------------------------
+
+@query
+def vcf_records(s, d):
+    found = genomics.parse_vcf(views.vcf_lines(s, d))
+    return found.select(
+        "line_no", "chrom", "pos", "id", "ref", F.array_join("alts", ",").alias("alt"), "qual", "filter", "info", "format",
+        F.size("cells").alias("n_cells"), F.md5(F.array_join("cells", ",")).alias("cells"),
+    )
+
+
+@query
+def vcf_genotypes(s, d):
+    long = genomics.genotypes_of(genomics.parse_vcf(views.vcf_lines(s, d)))
+    return long.groupBy("lineage", "ord", "gt").agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("places"))
+
+
+@query
+def sam_alignments(s, d):
+    spans = genomics.alignment_spans(genomics.parse_sam(views.sam_lines(s, d)))
+    return spans.select(
+        "file", "line_no", "qname", "flag", "chrom", "start", "end", "rnext", "pnext", "tlen",
+        F.array_join("tags", ";").alias("tags"),
+    )
+
+
+@query
+def sam_round_trip(s, d):
+    """Alignment lines that come out as they went in, with their number."""
+    back = genomics.sam_lines(genomics.parse_sam(views.sam_lines(s, d)))
+    return back.select("file", "line_no", F.md5("value").alias("line"))
+
+
+@query
+def fastq_reads(s, d):
+    return genomics.parse_fastq(views.fastq_lines(s, d)).select(
+        "sample", "read_id", "mate", F.length("seq").alias("bases"), F.md5("seq").alias("seq"), F.md5("qual").alias("qual")
+    )
+
+
+@query
+def posterior_long(s, d):
+    return posterior.parse_posterior(views.posterior_lines(s, d)).select(
+        "sample", "coverage", "solution", "ord", "density", "odds", "lineage", "fraction"
+    )
+
+
+@query
+def whitespace_table(s, d):
+    return tables.parse_whitespace(views.metadata_lines(s, d), "CollectionDate date, SRA_ID string, Other int")
+
+
+@query
+def bed_intervals(s, d):
+    return genomics.parse_bed(views.bed_lines(s, d))
+
+
+@query
+def fasta_sequences(s, d):
+    found = genomics.parse_fasta(views.fasta_records(s, d))
+    return found.select("contig", "description", "frequency", F.md5("sequence").alias("sequence"))
+
+
+@query
+def accession_list(s, d):
+    padded = F.when(F.col("s_suppkey") % 5 == 0, " \t").otherwise(F.concat(F.lit("  "), "s_name", F.lit(" ")))
+    return lines.parse_accessions(views.table(s, d, "supplier").select(padded.alias("value")))
+
+
+@query
+def path_dims(s, d):
+    """The three layouts of paths, each of some of the orders' paths."""
+    orders = views.table(s, d, "orders")
+    sample = F.concat_ws("-", F.concat(F.lit("S"), F.col("o_custkey")), F.when(F.col("o_orderkey") % 3 != 0, "100x"))
+    layouts = {
+        "file": F.concat(F.lit("/x.y/"), sample, F.lit(".tar.csv")),
+        "folder": F.concat(F.lit("/x/"), sample, F.lit("/out.tsv")),
+        "quant_folder": F.concat(F.lit("/x/quant_results_"), sample, F.lit("/abundance.tsv")),
+    }
+    found = None
+    for i, (layout, path) in enumerate(layouts.items()):
+        mine = orders.where(F.col("o_custkey") % 3 == i).select("o_orderkey", path.alias("file"))
+        mine = lines.path_dims(mine, layout).withColumn("layout", F.lit(layout))
+        found = mine if found is None else found.unionByName(mine)
+    return found
+
+
+@query
+def mate_dims(s, d):
+    path = F.concat(F.lit("/r/S"), F.col("o_custkey"), F.when(F.col("o_orderkey") % 3 != 0, F.concat(F.lit("_"), F.col("o_orderkey") % 3)).otherwise(""), F.lit(".fastq.gz"))
+    return lines.mate_dims(views.table(s, d, "orders").select("o_orderkey", path.alias("file"))).drop("file")
+
+
+@query
+def first_rows(s, d):
+    """First line item of each order, as first rows of files."""
+    row_id = ((F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")) * 100_000 + F.col("l_suppkey")) * 100
+    listed = views.table(s, d, "lineitem").select(
+        F.col("l_orderkey").cast("string").alias("file"), F.lit(0).cast("bigint").alias("split_start"),
+        (row_id + F.col("l_quantity").cast("bigint")).alias("row_id"), "l_partkey", "l_quantity",
+    )
+    return tables.first_rows(listed)
+
+
+@query
+def column_pair(s, d):
+    return tables.column_pair(views.table(s, d, "part"), 3, 4, ("brand", "type"))
+
+
+@query
+def report_names(s, d):
+    return views.table(s, d, "supplier").select(
+        "s_suppkey", names.text_from(F.col("s_name"), "#00000000").alias("part"),
+        names.archive_link(F.col("s_name"), "https://example.org/").alias("link"),
+    )
+
+
+@query
+def similarity_cells(s, d):
+    cells = variants.similarity_cells(variants.similarity_wide(_similarity(s, d), PAIRS), PAIRS)
+    return cells.select("sample", *[
+        F.concat_ws("=", f"{m}_{i}.pair", f"{m}_{i}.value").alias(f"{m}_{i}") for m in ("Diff", "Shared") for i in PAIRS
+    ])
+
+
+@query
+def study_vcf_filter(s, d):
+    """Whole lines of the filtered variant file: every field, order and repeats are kept."""
+    found = views.vcf_lines(s, d)
+    records = genomics.parse_vcf(found)
+    kept = variants.hom_alt_share(genomics.genotypes_of(records))
+    meta = found.where(F.col("value").startswith("#"))
+    return sinks.filtered_vcf_lines(records, meta, kept).select("line_no", "value")
+
+
 # --- whole studies ----------------------------------------------------------------------
 
 @query

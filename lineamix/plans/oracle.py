@@ -254,6 +254,26 @@ VIEWS = {
   select source as sample, cast(doc_id as varchar) as read_id, seq,
     translate(regexp_replace(seq, '[^a-z]', '{OTHER_LETTER}', 'g'), '{LETTERS}{OTHER_LETTER}', '{LETTER_QUALITY}{OTHER_QUALITY}') as qual
   from (select *, regexp_replace(text, '[ \\t\\n\\r]', '', 'g') as seq from documents)""",
+    "v_cells": """
+  select p_partkey, p_size, p_type, s_suppkey, coalesce(n || ':' || call,
+    '.:' || case when (p_partkey + s_suppkey) % 10 < 3 then '1|1' else './.' end) as cell
+  from (select * from part where p_partkey in (select l_partkey from lineitem)) cross join supplier
+  left join (select l_partkey, l_suppkey, count(*) as n,
+      case max(l_returnflag) when 'R' then '1/1' when 'N' then '0|1' else './.' end as call
+    from lineitem group by 1, 2) on l_partkey = p_partkey and l_suppkey = s_suppkey""",
+    "v_copies": """
+  select p_partkey, s_suppkey, cell, p_size, p_type, p_partkey * 2 + 10 + copy as line_no
+  from v_cells, (values (0), (1)) c(copy) where copy = 0 or p_size < 5""",
+    "v_called": """
+  select s_suppkey, cast(s_suppkey as varchar) as lineage, replace(split_part(cell, ':', 2), '/', '|') as gt, p_partkey from v_copies""",
+    "v_hom": """
+  select s_suppkey, lineage from v_called group by 1, 2 having count(*) filter (gt = '1|1') / count(*) >= 0.3""",
+    "v_post": """
+  select o_custkey, l_orderkey, p_type, sum(l_quantity) as q
+  from lineitem join part on l_partkey = p_partkey join orders on l_orderkey = o_orderkey group by 1, 2, 3""",
+    "v_post_types": """
+  select o_custkey, p_type, cast(row_number() over (partition by o_custkey order by p_type) + 1 as int) as ord
+  from (select distinct o_custkey, p_type from v_post)""",
     "v_haps": """
   select cast(o_custkey as varchar) as sample, o_orderkey as hap_id,
     o_totalprice / sum(o_totalprice) over (partition by o_custkey) as frequency from orders""",
@@ -483,6 +503,69 @@ _BODIES: dict[str, str] = {
         from (select *, row_number() over (partition by sample order by lineage) as position from v_truth)
         join (select *, row_number() over (partition by sample order by target_id) as position from v_mix_all)
         using (sample, position)""",
+    "vcf_records": """select line_no, 'ref' as chrom, cast(p_partkey as int) as pos, 'id' || p_partkey as id, 'A' as ref,
+          'G,T' as alt, cast(p_size as varchar) as qual, case when p_size < 10 then 'low' else 'PASS' end as filter,
+          'TYPE=' || p_type as info, 'DP:GT' as format, cast(count(*) as int) as n_cells,
+          md5(string_agg(cell, ',' order by s_suppkey)) as cells
+        from v_copies group by line_no, p_partkey, p_size, p_type""",
+    "vcf_genotypes": """select lineage, cast(dense_rank() over (order by s_suppkey) - 1 as int) as ord, gt, n, places
+        from (select s_suppkey, lineage, gt, count(*) as n, cast(sum(p_partkey) as bigint) as places
+              from v_called group by 1, 2, 3)""",
+    "sam_alignments": """select '/aln/' || l_suppkey || '.sam' as file, l_orderkey * 8 + l_linenumber as line_no, 'r' || l_orderkey as qname,
+          cast(case when l_discount <> 0 then l_linenumber * 16 else 4 end as int) as flag,
+          case when l_discount <> 0 and (l_linenumber * 16) & 4 = 0 then 'chr' || l_partkey end as chrom,
+          case when l_discount <> 0 then l_partkey end as "start",
+          case when l_discount <> 0 then l_partkey + cast(l_quantity as bigint) + 1 + l_linenumber end as "end",
+          '=' as rnext, cast(l_partkey as int) as pnext, cast(-l_quantity as int) as tlen,
+          'NM:i:' || l_linenumber || case when l_returnflag = 'R' then ';XR:Z:a b' else '' end as tags
+        from lineitem""",
+    "sam_round_trip": """select '/aln/' || l_suppkey || '.sam' as file, l_orderkey * 8 + l_linenumber as line_no,
+          md5(concat_ws(chr(9), 'r' || l_orderkey, case when l_discount <> 0 then l_linenumber * 16 else 4 end,
+            case when l_discount <> 0 then 'chr' || l_partkey else '*' end, case when l_discount <> 0 then l_partkey + 1 else 0 end, '60',
+            case when l_discount <> 0 then '2S' || cast(l_quantity as int) || 'M1D3I' || l_linenumber || '=' else '*' end,
+            '=', l_partkey, '-' || cast(l_quantity as int), '*', '*', 'NM:i:' || l_linenumber,
+            case when l_returnflag = 'R' then 'XR:Z:a b' end)) as line
+        from lineitem""",
+    "fastq_reads": """select sample, read_id, 1 as mate, cast(length(coalesce(seq, '')) as int) as bases,
+          md5(coalesce(seq, '')) as seq, md5(coalesce(qual, '')) as qual from v_fastq""",
+    "posterior_long": """select cast(o_custkey as varchar) as sample, '100x' as coverage, cast(l_orderkey + 1 as int) as solution, t.ord,
+          0.5e0 as density, cast(l_orderkey % 2 as double) as odds, t.p_type as lineage, coalesce(q, 0.0e0) as fraction
+        from (select distinct o_custkey, l_orderkey from v_post) o join v_post_types t using (o_custkey)
+        left join v_post p using (o_custkey, l_orderkey, p_type)""",
+    "whitespace_table": """select case when c_custkey % 7 <> 0 then collection_date end as "CollectionDate",
+          cast(c_custkey as varchar) as "SRA_ID", cast(null as int) as "Other"
+        from customer join v_meta on sample = cast(c_custkey as varchar)""",
+    "bed_intervals": """select 'chr1' as chrom, p_partkey * 60 as "start", p_partkey * 60 + p_size as "end",
+          case when p_partkey % 2 = 0 then p_name end as name, case when p_partkey % 2 = 0 then cast(p_size as varchar) end as pool,
+          case when p_partkey % 2 = 0 and p_size > 20 then '+' end as strand, cast(null as varchar) as seq from part""",
+    "fasta_sequences": r"""select 'p' || doc_id as contig,
+          'p' || doc_id || case when doc_id % 3 = 0 then ' 10x frequency=0.' || doc_id else ' none' end as description,
+          case when doc_id % 3 = 0 then cast('0.' || doc_id as double) end as frequency,
+          md5(regexp_replace(coalesce(text, ''), '[ \t\n\v\f\r]', '', 'g')) as sequence from documents""",
+    "accession_list": "select s_name as accession from supplier where s_suppkey % 5 <> 0",
+    "path_dims": """select o_orderkey, layout, 'S' || o_custkey as sample, case when o_orderkey % 3 <> 0 then '100x' end as coverage,
+          case layout when 'file' then '/x.y/' when 'folder' then '/x/' else '/x/quant_results_' end || 'S' || o_custkey
+          || case when o_orderkey % 3 <> 0 then '-100x' else '' end
+          || case layout when 'file' then '.tar.csv' when 'folder' then '/out.tsv' else '/abundance.tsv' end as file
+        from (select *, ['file', 'folder', 'quant_folder'][o_custkey % 3 + 1] as layout from orders)""",
+    "mate_dims": """select o_orderkey, 'S' || o_custkey as sample,
+          case when o_orderkey % 3 <> 0 then cast(o_orderkey % 3 as int) end as mate from orders""",
+    "first_rows": """select cast(l_orderkey as varchar) as file, arg_min(l_partkey, row_id) as l_partkey,
+          arg_min(l_quantity, row_id) as l_quantity
+        from (select *, ((l_linenumber * 1000000 + l_partkey) * 100000 + l_suppkey) * 100 + cast(l_quantity as bigint) as row_id from lineitem)
+        group by 1""",
+    "column_pair": "select distinct p_brand as brand, p_type as type from part",
+    "report_names": """select s_suppkey, case when contains(s_name, '#00000000') then substr(s_name, strpos(s_name, '#00000000'))
+          else 'Substring not found' end as part, 'https://example.org/' || s_name as link from supplier""",
+    "similarity_cells": f"""select sample, {', '.join(
+        f"concat_ws('=', Lineage_Pair_{i}, {m}_{i}) as {m}_{i}" for m in ('Diff', 'Shared') for i in range(1, 7))}
+        from (select sample, {_WIDE} from v_similar group by 1)""",
+    "study_vcf_filter": """select 0 as line_no, '##fileformat=VCFv4.2' as value union all select 1, '##INFO=<ID=TYPE>' union all
+        select 2, concat_ws(chr(9), '#CHROM', 'POS', 'ID', 'REF', 'ALT', 'QUAL', 'FILTER', 'INFO', 'FORMAT',
+          (select string_agg(lineage, chr(9) order by s_suppkey) from v_hom)) union all
+        select line_no, concat_ws(chr(9), 'ref', p_partkey, 'id' || p_partkey, 'A', 'G,T', p_size,
+          case when p_size < 10 then 'low' else 'PASS' end, 'TYPE=' || p_type, 'DP:GT', string_agg(cell, chr(9) order by s_suppkey))
+        from v_copies where s_suppkey in (select s_suppkey from v_hom) group by line_no, p_partkey, p_size, p_type""",
     "study_simulation_input": f"""select sample, date, lineage, {_r9('fraction')}, coverage,
         cast(trunc(fraction * n) as int) as num_reads
         from v_composed, (values ('100x', 20000), ('1000x', 200000)) d(coverage, n)""",

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from collections.abc import Iterator
 
-from lineamix.sources.lines import Paths, as_list, mate_dims, numbered_lines
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+
+from lineamix.sources.lines import Paths, as_list, few, mate_dims, numbered_lines, raw_lines
 
 BED_SCHEMA = (
     "chrom string, start bigint, end bigint, name string, pool string, strand string, seq string"
@@ -13,8 +16,13 @@ BED_SCHEMA = (
 
 def read_fasta(spark: SparkSession, paths: Paths) -> DataFrame:
     """One row per record: contig, description, frequency (NULL without one), sequence."""
+    return parse_fasta(spark.read.option("lineSep", "\n>").text(as_list(paths)))
+
+
+def parse_fasta(texts: DataFrame) -> DataFrame:
+    """``read_fasta`` of whole records (value), with or without the sign before them."""
     record = F.regexp_replace("value", "^>", "")
-    raw = spark.read.option("lineSep", "\n>").text(as_list(paths)).select(record.alias("_r"))
+    raw = texts.select(record.alias("_r"))
     header = F.regexp_replace(F.substring_index("_r", "\n", 1), r"\s+$", "")
     body = F.when(F.instr("_r", "\n") > 0, F.substr("_r", F.instr("_r", "\n") + 1)).otherwise("")
     frequency = F.regexp_extract(header, r"^\S+.*frequency=([\d.]+)", 1)
@@ -37,16 +45,113 @@ def read_fastq(spark: SparkSession, paths: Paths) -> DataFrame:
     """Reads with sample and mate from ``<sample>_<1|2>.fastq[.gz]``.
 
     Records are four lines each, whatever the lines hold. A record cut off at the end of a
-    file is an error; blank lines there are not.
+    file is an error; blank lines there are not. A first scan counts the lines of each split and
+    keeps its first three; with the number of lines before it, a split finds its first record, and
+    it ends its last one with the first lines of the next. No line is moved or copied.
     """
-    lines = numbered_lines(spark, paths).withColumn("_record", F.floor(F.col("line_no") / 4))
+    raw = raw_lines(spark, paths)
+    heads = raw.select("file", "_split", "value").mapInArrow(
+        _split_heads, "file string, _split bigint, _lines bigint, _head array<string>"
+    )
+    in_file = W.partitionBy("file").orderBy("_split")
+    following = F.flatten(F.collect_list("_head").over(in_file.rowsBetween(1, RECORD_LINES - 1)))
+    splits = heads.select(
+        "file", "_split", "_lines",
+        F.coalesce(F.sum("_lines").over(in_file.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+        F.slice(following, 1, RECORD_LINES - 1).alias("_after"),
+    )
+    if few(raw):
+        lines = raw.join(F.broadcast(splits), ["file", "_split"], "left")
+    else:
+        lines = raw.join(splits, ["file", "_split"], "left").sortWithinPartitions("file", "_split", "_id")
+    records = lines.select("file", "_split", "_lines", "_before", "_after", "value").mapInArrow(
+        _split_records, "file string, _name string, seq string, qual string"
+    )
+    return _reads(records)
+
+
+RECORD_LINES = 4
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """Stretches of rows of one split, in order: their (file, split) and rows."""
+    for batch in batches:
+        files, splits = (batch.column(i).to_pylist() for i in (0, 1))
+        begin = 0
+        for end in range(1, batch.num_rows + 1):
+            if end == batch.num_rows or splits[end] != splits[begin] or files[end] != files[begin]:
+                yield (files[begin], splits[begin]), batch.slice(begin, end - begin)
+                begin = end
+
+
+def _split_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def row(key: tuple, lines: int, head: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({
+            "file": pa.array([key[0]], pa.string()), "_split": pa.array([key[1]], pa.int64()),
+            "_lines": pa.array([lines], pa.int64()), "_head": pa.array([head], pa.list_(pa.string())),
+        })
+
+    last, lines, head = None, 0, []
+    for key, rows in _runs(batches):
+        if key != last:
+            if last is not None:
+                yield row(last, lines, head)
+            last, lines, head = key, 0, []
+        lines += rows.num_rows
+        head += rows.column(2).slice(0, RECORD_LINES - 1 - len(head)).to_pylist()
+    if last is not None:
+        yield row(last, lines, head)
 
+
+def _split_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole records that begin in a split; a line is held back until its record is whole."""
+    last, seen, held, after, expected = None, 0, [], [], 0
+
+    def found(file: str, lines: list) -> pa.RecordBatch:
+        names, seqs, _, quals = (lines[k::RECORD_LINES] for k in range(RECORD_LINES))
+        short = len(names)
+        return pa.RecordBatch.from_pydict({
+            "file": pa.array([file] * short, pa.string()), "_name": pa.array(names, pa.string()),
+            "seq": pa.array(seqs + [None] * (short - len(seqs)), pa.string()),
+            "qual": pa.array(quals + [None] * (short - len(quals)), pa.string()),
+        })
+
+    def close() -> Iterator[pa.RecordBatch]:
+        if last is not None and seen != expected:
+            raise ValueError("files were cut into other splits while their lines were counted")
+        if held:
+            yield found(last[0], held + after[:-len(held) % RECORD_LINES])
+
+    for key, rows in _runs(batches):
+        if key != last:
+            yield from close()
+            last, seen, held = key, 0, []
+            expected, before, after = (rows.column(i)[0].as_py() for i in (2, 3, 4))
+            if before is None:
+                raise ValueError("files were cut into other splits while their lines were counted")
+            skip = -before % RECORD_LINES
+        lines = rows.column(5).slice(min(max(skip - seen, 0), rows.num_rows)).to_pylist()
+        seen += rows.num_rows
+        lines = held + lines
+        whole = len(lines) - len(lines) % RECORD_LINES
+        held = lines[whole:]
+        if whole:
+            yield found(key[0], lines[:whole])
+    yield from close()
+
+
+def parse_fastq(lines: DataFrame) -> DataFrame:
+    """``read_fastq`` of lines (file, line_no, value) in any order: they meet by record."""
     def line(k: int) -> Column:
-        return F.max(F.when(F.col("line_no") % 4 == k, F.col("value")))
+        return F.max(F.when(F.col("line_no") % RECORD_LINES == k, F.col("value")))
 
-    records = lines.groupBy("file", "_record").agg(
+    numbered = lines.withColumn("_record", F.expr(f"line_no div {RECORD_LINES}"))
+    return _reads(numbered.groupBy("file", "_record").agg(
         line(0).alias("_name"), line(1).alias("seq"), line(3).alias("qual")
-    )
+    ))
+
+
+def _reads(records: DataFrame) -> DataFrame:
     name = F.regexp_extract("_name", r"^@(\S+)", 1)
     cut_off = F.raise_error(F.concat(F.lit("record cut off at the end of "), F.col("file"))).cast("string")
     records = records.where("qual is not null or coalesce(_name, '') <> ''").withColumn("qual", F.coalesce("qual", cut_off))
@@ -57,9 +162,15 @@ def read_fastq(spark: SparkSession, paths: Paths) -> DataFrame:
 
 def read_sam(spark: SparkSession, paths: Paths) -> DataFrame:
     """Alignments with line number; header lines are left out."""
-    lines = numbered_lines(spark, paths).where(
-        ~F.col("value").startswith("@") & (F.col("value") != "")
-    )
+    return parse_sam(numbered_lines(spark, paths))
+
+
+def parse_sam(lines: DataFrame) -> DataFrame:
+    """``read_sam`` of lines (file, line_no, value).
+
+    All eleven fields are columns; the optional ones are ``tags`` as they stand, empty without any.
+    """
+    lines = lines.where(~F.col("value").startswith("@") & (F.col("value") != ""))
     f = F.split("value", "\t")
 
     def column(i: int, name: str, kind: str = "string") -> Column:
@@ -68,7 +179,24 @@ def read_sam(spark: SparkSession, paths: Paths) -> DataFrame:
     return lines.select(
         "file", column(0, "qname"), column(1, "flag", "int"), column(2, "rname"),
         column(3, "pos", "int"), column(4, "mapq", "int"), column(5, "cigar"),
-        column(9, "seq"), column(10, "qual"), "line_no",
+        column(6, "rnext"), column(7, "pnext", "int"), column(8, "tlen", "int"),
+        column(9, "seq"), column(10, "qual"),
+        F.slice(f, 12, F.greatest(F.size(f) - 11, F.lit(0))).alias("tags"), "line_no",
+    )
+
+
+def sam_lines(alignments: DataFrame) -> DataFrame:
+    """Alignment lines (file, line_no, value) of rows of ``parse_sam``, with mates and tags.
+
+    Numbers that did not parse are written as 0, as the format has it for unknown ones.
+    """
+    def cell(name: str) -> Column:
+        missing = "0" if name in ("flag", "pos", "mapq", "pnext", "tlen") else "*"
+        return F.coalesce(F.col(name).cast("string"), F.lit(missing))
+
+    fields = ("qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual")
+    return alignments.select(
+        "file", "line_no", F.concat_ws("\t", *map(cell, fields), F.col("tags")).alias("value")
     )
 
 
@@ -84,35 +212,62 @@ def alignment_spans(alignments: DataFrame) -> DataFrame:
     )
 
 
-def read_vcf(spark: SparkSession, paths: Paths) -> DataFrame:
-    """Genotypes in long form: one row per variant and lineage column.
+#: Fields of a variant line before the lineages.
+VCF_FIXED = 9
+
+
+def read_vcf_records(spark: SparkSession, paths: Paths) -> DataFrame:
+    """One row per variant line, with everything the line holds; see ``parse_vcf``."""
+    lines = numbered_lines(spark, paths)
+    return parse_vcf(lines, few(lines))
+
+
+def parse_vcf(lines: DataFrame, few_files: bool = False) -> DataFrame:
+    """Variant lines of lines (file, line_no, value) as whole records.
 
-    Each body line meets the ``#CHROM`` line of its own file. ``gt`` uses ``|`` for both
-    separators and is NULL where the record has no GT.
+    Columns: file and line_no (the order), chrom, pos (NULL if it is no number), id, ref, alts, qual,
+    filter, info, format; ``fixed``, these nine fields as they stand; ``cells`` as they stand, one
+    per lineage, and the file's ``lineages``.
+    Repeated records are rows of their own. Each line meets the ``#CHROM`` line of its own file,
+    which is broadcast for few files; a file without one has no records.
     """
-    raw = spark.read.text(as_list(paths)).select(F.col("_metadata.file_path").alias("file"), "value")
-    header = raw.where(F.col("value").startswith("#CHROM")).select(
-        "file", F.split("value", "\t").alias("_h")
+    header = lines.where(F.col("value").startswith("#CHROM")).select(
+        "file", F.slice(F.split("value", "\t"), VCF_FIXED + 1, 1 << 30).alias("lineages")
     )
-    body = raw.where(~F.col("value").startswith("#") & (F.col("value") != "")).select(
-        "file", F.split("value", "\t").alias("_f")
+    body = lines.where(~F.col("value").startswith("#") & (F.col("value") != "")).select(
+        "file", "line_no", F.split("value", "\t").alias("_f"), F.substring_index("value", "\t", VCF_FIXED).alias("fixed")
     )
-    cells = F.slice(
-        F.arrays_zip(F.col("_h").alias("lineage"), F.col("_f").alias("cell")), F.lit(10), F.size("_h")
+    fixed = [F.get("_f", F.lit(i)).alias(name) for i, name in ((2, "id"), (3, "ref"))]
+    rest = [F.get("_f", F.lit(i)).alias(name) for i, name in ((5, "qual"), (6, "filter"), (7, "info"), (8, "format"))]
+    return body.join(F.broadcast(header) if few_files else header, "file").select(
+        "file", "line_no", F.get("_f", F.lit(0)).alias("chrom"), F.get("_f", F.lit(1)).try_cast("int").alias("pos"),
+        *fixed, F.split(F.get("_f", F.lit(4)), ",").alias("alts"), *rest,
+        "fixed", F.slice("_f", VCF_FIXED + 1, 1 << 30).alias("cells"), "lineages",
     )
-    long = body.join(header, "file").select(
-        "file", F.col("_f")[0].alias("chrom"), F.col("_f")[1].cast("int").alias("pos"),
-        F.col("_f")[3].alias("ref"), F.split(F.col("_f")[4], ",").alias("alts"),
-        F.split(F.col("_f")[8], ":").alias("_format"), F.posexplode(cells).alias("ord", "_c"),
+
+
+def genotypes_of(records: DataFrame) -> DataFrame:
+    """Genotypes in long form: one row per variant line and lineage.
+
+    ``gt`` uses ``|`` for both separators and is NULL where the record has no GT.
+    """
+    at = F.array_position(F.split("format", ":"), F.lit("GT")).cast("int")
+    long = records.select(
+        "file", "line_no", "chrom", "pos", "ref", "alts", at.alias("_at"),
+        F.posexplode(F.arrays_zip(F.col("lineages").alias("lineage"), F.col("cells").alias("cell"))).alias("ord", "_c"),
     )
-    at = F.array_position("_format", F.lit("GT")).cast("int")
-    gt = F.when(at > 0, F.get(F.split(F.col("_c")["cell"], ":"), at - 1))
+    gt = F.when(F.col("_at") > 0, F.get(F.split(F.col("_c")["cell"], ":"), F.col("_at") - 1))
     return long.select(
-        "file", "chrom", "pos", "ref", "alts", F.col("_c")["lineage"].alias("lineage"), "ord",
+        "file", "line_no", "chrom", "pos", "ref", "alts", F.col("_c")["lineage"].alias("lineage"), "ord",
         F.translate(gt, "/", "|").alias("gt"),
     )
 
 
+def read_vcf(spark: SparkSession, paths: Paths) -> DataFrame:
+    """Genotypes in long form; see ``genotypes_of``."""
+    return genotypes_of(read_vcf_records(spark, paths))
+
+
 def vcf_meta(spark: SparkSession, paths: Paths) -> DataFrame:
     """Meta lines (``##``) of the files, numbered."""
     return numbered_lines(spark, paths).where(F.col("value").startswith("##"))
@@ -125,7 +280,18 @@ def read_bed(spark: SparkSession, paths: Paths) -> DataFrame:
     whole numbers as bounds is an error.
     """
     text = BED_SCHEMA.replace("bigint", "string")
-    raw = spark.read.schema(text).option("sep", "\t").csv(as_list(paths))
+    return _bounded(spark.read.schema(text).option("sep", "\t").csv(as_list(paths)))
+
+
+def parse_bed(lines: DataFrame) -> DataFrame:
+    """``read_bed`` of lines (value); blank ones are left out."""
+    f = F.split("value", "\t")
+    names = [column.split()[0] for column in BED_SCHEMA.split(",")]
+    cells = [F.nullif(F.get(f, F.lit(i)), F.lit("")).alias(name) for i, name in enumerate(names)]
+    return _bounded(lines.where(F.col("value").rlike(r"\S")).select(*cells))
+
+
+def _bounded(raw: DataFrame) -> DataFrame:
     raw = raw.where(~F.col("chrom").rlike(r"^(#|track\b|browser\b)"))
     malformed = F.raise_error(F.concat(F.lit("no bounds in BED line of "), F.col("chrom"))).cast("bigint")
 

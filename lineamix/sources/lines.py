@@ -6,8 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from lineamix.session import durable
-
 Paths = str | Sequence[str]
 
 
@@ -15,37 +13,68 @@ def as_list(paths: Paths) -> list[str]:
     return [paths] if isinstance(paths, str) else list(paths)
 
 
-def numbered_lines(spark: SparkSession, paths: Paths) -> DataFrame:
-    """Columns ``file``, ``line_no`` (from 0) and ``value``, for files of any size.
+#: Tables with a row per split or file are broadcast up to so many rows.
+MOST_SPLITS = 100_000
+
+
+def few(raw: DataFrame) -> bool:
+    """True if the files have so few splits that a table of them may be broadcast; runs no job."""
+    return raw.rdd.getNumPartitions() + len(raw.inputFiles()) <= MOST_SPLITS
 
-    Rows of one split get consecutive ids, so only the number of lines per split has to
-    be known: lines are neither sorted nor moved. Ids and counts come from one checkpoint,
-    so that they agree whatever cores join or leave between the two passes.
+
+def raw_lines(spark: SparkSession, paths: Paths) -> DataFrame:
+    """Lines with ``file``, ``_split`` (its first byte) and ``_id``, which counts up inside a split.
+
+    Two scans of one query cut the files alike: the least number of partitions, which otherwise
+    follows the executors of the moment, is fixed for the session where it is not set.
     """
-    raw = durable(spark.read.text(as_list(paths)).select(
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        spark.conf.set("spark.sql.files.minPartitionNum", str(max(spark.sparkContext.defaultParallelism, 1)))
+    return spark.read.text(as_list(paths)).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("_split"),
         F.monotonically_increasing_id().alias("_id"),
         "value",
-    ), eager=False)
+    )
+
+
+def numbered_lines(spark: SparkSession, paths: Paths) -> DataFrame:
+    """Columns ``file``, ``line_no`` (from 0) and ``value``, for files of any size.
+
+    Rows of one split have consecutive ids, so only the number of lines per split has to be known:
+    a first scan counts them, their prefix sum meets the second scan, and lines are neither sorted,
+    moved nor copied. Should the second scan find other splits than the first, it is an error.
+    """
+    raw = raw_lines(spark, paths)
     splits = raw.groupBy("file", "_split").agg(
         F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_lines")
     )
     before = W.partitionBy("file").orderBy("_split").rowsBetween(W.unboundedPreceding, -1)
     offsets = splits.select(
-        "file", "_split", "_first", F.coalesce(F.sum("_lines").over(before), F.lit(0)).alias("_before")
-    )
-    return raw.join(offsets, ["file", "_split"]).select(
-        "file", (F.col("_before") + F.col("_id") - F.col("_first")).alias("line_no"), "value"
+        "file", "_split", "_first", "_lines", F.coalesce(F.sum("_lines").over(before), F.lit(0)).alias("_before")
     )
+    if few(raw):
+        offsets = F.broadcast(offsets)
+    at = F.col("_id") - F.col("_first")
+    torn = F.raise_error("files were cut into other splits while their lines were counted").cast("bigint")
+    line_no = F.when((at >= 0) & (at < F.col("_lines")), F.col("_before") + at).otherwise(torn)
+    return raw.join(offsets, ["file", "_split"], "left").select("file", line_no.alias("line_no"), "value")
+
+
+def first_lines(lines: DataFrame) -> DataFrame:
+    """The line with number 0 of each file, as (file, first)."""
+    return lines.where("line_no = 0").select("file", F.col("value").alias("first"))
 
 
 def accession_list(spark: SparkSession, paths: Paths) -> DataFrame:
     """Stripped, non-blank lines."""
+    return parse_accessions(spark.read.text(as_list(paths)))
+
+
+def parse_accessions(lines: DataFrame) -> DataFrame:
+    """``accession_list`` of lines (value)."""
     text = F.regexp_replace("value", r"^\s+|\s+$", "")
-    return spark.read.text(as_list(paths)).select(text.alias("accession")).where(
-        F.length("accession") > 0
-    )
+    return lines.select(text.alias("accession")).where(F.length("accession") > 0)
 
 
 def _stem(path: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lineamix.sources.lines import Paths, numbered_lines, path_dims
+from lineamix.sources.lines import Paths, few, numbered_lines, path_dims
 
 _MEASURES = ("density", "odds")
 
@@ -16,12 +16,16 @@ def read_posterior(spark: SparkSession, paths: Paths, layout: str = "file") -> D
     lineage: both keep the order that decides ties. Files are read line by line and
     meet their own header by a join on the file.
     """
+    lines = numbered_lines(spark, paths)
+    return parse_posterior(lines, layout, few(lines))
+
+
+def parse_posterior(lines: DataFrame, layout: str = "file", few_files: bool = False) -> DataFrame:
+    """``read_posterior`` of lines (file, line_no, value); headers of few files are broadcast."""
     cells = F.split(F.regexp_replace("value", r"\s+$", ""), ",")
-    lines = numbered_lines(spark, paths).where(F.col("value").rlike(r"\S")).select(
-        "file", "line_no", cells.alias("_cells")
-    )
+    lines = lines.where(F.col("value").rlike(r"\S")).select("file", "line_no", cells.alias("_cells"))
     header = lines.where("line_no = 0").select("file", F.col("_cells").alias("_names"))
-    rows = lines.where("line_no > 0").join(header, "file")
+    rows = lines.where("line_no > 0").join(F.broadcast(header) if few_files else header, "file")
 
     def measure(name: str):
         at = F.array_position("_names", F.lit(name)).cast("int") - 1

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from lineamix import schemas
-from lineamix.sources.lines import Paths, as_list, numbered_lines, path_dims
+from lineamix.sources.lines import Paths, as_list, few, numbered_lines, path_dims
 
 _ORIGIN = {
     "file": "_metadata.file_path",
@@ -81,13 +81,17 @@ def first_rows(table: DataFrame) -> DataFrame:
 
 def read_whitespace_table(spark: SparkSession, paths: Paths, schema: str) -> DataFrame:
     """Table separated by runs of white space, header in the first line of each file."""
+    lines = numbered_lines(spark, paths)
+    return parse_whitespace(lines, schema, few(lines))
+
+
+def parse_whitespace(lines: DataFrame, schema: str, few_files: bool = False) -> DataFrame:
+    """``read_whitespace_table`` of lines (file, line_no, value); headers of few files are broadcast."""
     fields = T._parse_datatype_string(schema).fields
     tokens = F.split(F.regexp_replace("value", r"^\s+|\s+$", ""), r"\s+")
-    lines = numbered_lines(spark, paths).select("file", "line_no", tokens.alias("_v")).where(
-        F.array_join("_v", "") != ""
-    )
+    lines = lines.select("file", "line_no", tokens.alias("_v")).where(F.array_join("_v", "") != "")
     header = lines.where("line_no = 0").select("file", F.col("_v").alias("_h"))
-    rows = lines.where("line_no > 0").join(header, "file")
+    rows = lines.where("line_no > 0").join(F.broadcast(header) if few_files else header, "file")
     columns = [
         F.get("_v", F.array_position("_h", F.lit(f.name)).cast("int") - 1)
         .try_cast(f.dataType).alias(f.name)

@@ -316,3 +316,121 @@ def sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(
         _text("c_custkey").alias("sample"), primer.alias("primer")
     )
+
+
+# --- lines of files, made from the tables, for the parsers of lineamix.sources -----------------
+
+
+def _lined(df: DataFrame, lines: Column, first: Column, *keys: str) -> DataFrame:
+    """One row per element of ``lines``, numbered from ``first`` on."""
+    return df.select(*keys, first.alias("_first"), F.posexplode(lines).alias("_at", "value")).select(
+        *keys, (F.col("_first") + F.col("_at")).cast("bigint").alias("line_no"), "value"
+    )
+
+
+def vcf_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All parts as variants of one file, with every field filled; small parts stand there twice.
+
+    Suppliers are the lineages. A cell holds the number of line items and the call; cells without
+    line items have a call by rule.
+    """
+    file = F.lit("/calls/all.vcf").alias("file")
+    called = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey").agg(
+        F.max("l_returnflag").alias("flag"), F.count(F.lit(1)).alias("n")
+    )
+    call = F.when(F.col("flag") == "R", "1/1").when(F.col("flag") == "N", "0|1").otherwise("./.")
+    cells = called.groupBy("l_partkey").agg(
+        F.map_from_entries(F.collect_list(F.struct("l_suppkey", F.concat_ws(":", "n", call)))).alias("cells")
+    )
+    # One row: a variant file has all its lineages in its header.
+    names = table(spark, sf_dir, "supplier").agg(F.sort_array(F.collect_list("s_suppkey")).alias("names"))
+    listed = table(spark, sf_dir, "part").join(cells, F.col("p_partkey") == F.col("l_partkey")).join(F.broadcast(names))
+    hole = lambda k: F.concat(F.lit(".:"), F.when((F.col("p_partkey") + k) % 10 < 3, "1|1").otherwise("./."))
+    written = F.transform("names", lambda k: F.coalesce(F.element_at("cells", k), hole(k)))
+    value = F.concat_ws(
+        "\t", F.lit("ref"), _text("p_partkey"), F.concat(F.lit("id"), _text("p_partkey")), F.lit("A"), F.lit("G,T"),
+        _text("p_size"), F.when(F.col("p_size") < 10, "low").otherwise("PASS"), F.concat(F.lit("TYPE="), "p_type"),
+        F.lit("DP:GT"), written,
+    )
+    body = _lined(
+        listed.select(file, "p_partkey", "p_size", value.alias("line")),
+        F.when(F.col("p_size") < 5, F.array("line", "line")).otherwise(F.array("line")),
+        F.col("p_partkey") * 2 + 10, "file",
+    )
+    title = F.concat_ws("\t", F.lit("#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT"), F.transform("names", lambda k: k.cast("string")))
+    top = _lined(names.select(file, "names"), F.array(F.lit("##fileformat=VCFv4.2"), F.lit("##INFO=<ID=TYPE>"), title), F.lit(0), "file")
+    return top.unionByName(body)
+
+
+def sam_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as alignment lines, one file per supplier, with mates and tags."""
+    mapped = F.col("l_discount") != 0
+    size = F.col("l_quantity").cast("int")
+    value = F.concat_ws(
+        "\t", F.concat(F.lit("r"), _text("l_orderkey")), F.when(mapped, F.col("l_linenumber") * 16).otherwise(4).cast("string"),
+        F.when(mapped, F.concat(F.lit("chr"), _text("l_partkey"))).otherwise("*"), F.when(mapped, F.col("l_partkey") + 1).otherwise(0).cast("string"),
+        F.lit("60"), F.when(mapped, F.concat(F.lit("2S"), size, F.lit("M1D3I"), F.col("l_linenumber"), F.lit("="))).otherwise("*"),
+        F.lit("="), _text("l_partkey"), F.concat(F.lit("-"), size), F.lit("*"), F.lit("*"),
+        F.concat(F.lit("NM:i:"), F.col("l_linenumber")), F.when(F.col("l_returnflag") == "R", "XR:Z:a b"),
+    )
+    file = F.concat(F.lit("/aln/"), _text("l_suppkey"), F.lit(".sam")).alias("file")
+    body = table(spark, sf_dir, "lineitem").select(file, (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("line_no"), value.alias("value"))
+    head = table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("/aln/"), _text("s_suppkey"), F.lit(".sam")).alias("file"), F.lit(-1).cast("bigint").alias("line_no"), F.lit("@HD\tVN:1.6").alias("value")
+    )
+    return head.unionByName(body)
+
+
+def fastq_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reads of ``fastq`` as lines, one file per source."""
+    reads = fastq(spark, sf_dir).select(
+        F.concat(F.lit("/reads/"), "sample", F.lit("_1.fastq")).alias("file"), F.col("read_id").cast("bigint").alias("no"),
+        F.array(F.concat(F.lit("@"), "read_id", F.lit("/1 more")), F.coalesce("seq", F.lit("")), F.lit("+"), F.coalesce("qual", F.lit(""))).alias("record"),
+    )
+    return _lined(reads, F.col("record"), F.col("no") * 4, "file")
+
+
+def posterior_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One file per customer with the part types of the orders as columns; cells are quantities."""
+    amounts = typed_lines(spark, sf_dir).groupBy("o_custkey", "l_orderkey", "p_type").agg(F.sum("l_quantity").alias("q"))
+    types = amounts.groupBy("o_custkey").agg(F.array_sort(F.collect_set("p_type")).alias("types"))
+    # One order has few part types, one customer few different ones.
+    made = amounts.groupBy("o_custkey", "l_orderkey").agg(F.map_from_entries(F.collect_list(F.struct("p_type", "q"))).alias("cells"))
+    file = F.concat(F.lit("/post/"), _text("o_custkey"), F.lit("-100x.csv")).alias("file")
+    cell = F.transform("types", lambda t: F.coalesce(F.element_at("cells", t), F.lit(0.0)).cast("string"))
+    rows = attach(made, types, ["o_custkey"]).select(
+        file, (F.col("l_orderkey") + 1).alias("line_no"),
+        F.concat_ws(",", F.lit("+5.0e-1"), (F.col("l_orderkey") % 2).cast("string"), cell).alias("value"),
+    )
+    head = types.select(file, F.lit(0).cast("bigint").alias("line_no"), F.concat_ws(",", F.lit("density"), F.lit("odds"), "types").alias("value"))
+    return head.unionByName(rows)
+
+
+def metadata_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as a table separated by white space, one file per nation; some dates are missing."""
+    file = F.concat(F.lit("/meta/"), _text("c_nationkey"), F.lit(".txt")).alias("file")
+    dated = metadata(spark, sf_dir).select(F.col("sample").alias("key"), "collection_date")
+    day = F.when(F.col("c_custkey") % 7 != 0, F.date_format("collection_date", "yyyy-MM-dd"))
+    rows = table(spark, sf_dir, "customer").join(dated, F.col("key") == _text("c_custkey")).select(
+        file, (F.col("c_custkey") + 1).alias("line_no"),
+        F.concat(F.lit(" "), _text("c_custkey"), F.lit(" \t  "), F.coalesce(day, F.lit("NA")), F.lit("  ")).alias("value"),
+    )
+    head = table(spark, sf_dir, "customer").select(
+        file, F.lit(0).cast("bigint").alias("line_no"), F.lit("SRA_ID   CollectionDate").alias("value")
+    ).distinct()
+    return head.unionByName(rows)
+
+
+def bed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All parts as intervals with three to six columns."""
+    start = F.col("p_partkey") * PART_SPACING
+    three = F.concat_ws("\t", F.lit("chr1"), start.cast("string"), (start + F.col("p_size")).cast("string"))
+    more = F.when(F.col("p_partkey") % 2 == 0, F.concat_ws("\t", "p_name", _text("p_size"), F.when(F.col("p_size") > 20, "+")))
+    return table(spark, sf_dir, "part").select(F.concat_ws("\t", three, more).alias("value"))
+
+
+def fasta_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as sequences over several lines; every third has a frequency."""
+    frequency = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("10x frequency=0."), _text("doc_id"))).otherwise("none")
+    title = F.concat(F.lit(">p"), _text("doc_id"), F.lit(" "), frequency)
+    return table(spark, sf_dir, "documents").select(F.concat_ws("\n", title, F.regexp_replace("text", "[ \t\r]", "")).alias("value"))

@@ -223,3 +223,74 @@ def test_line_numbers_do_not_depend_on_later_splits(spark, tmp_path):
         assert numbered.where("value <> concat('line ', line_no)").count() == 0 and numbered.count() == 5000
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def _with_splits(spark, size, run):
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    spark.conf.set("spark.sql.files.openCostInBytes", "10")
+    try:
+        return run()
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+
+
+def _vcf(n):
+    head = "##fileformat=VCFv4.2\n##INFO=<ID=X>\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tB\tA\tC\n"
+    body = [f"c{i % 3}\t{n - i if i % 50 else 'x'}\trs{i}\tA\tG,T\t{i}.50\tPASS;q\tX={i};Y\tDP:GT:AD\t3:1/1:4,{i}\t4:0|1\t{i}:1|1:9\n" for i in range(n)]
+    return head + "".join(body + body[-1:] * 2)
+
+
+@pytest.mark.parametrize("size", [10_000_000, 20_000, 700])
+def test_variant_lines_come_out_whole(spark, tmp_path, size):
+    """Every field, order and repeated records, for two files with different lineages, at several splits."""
+    one, two = _vcf(400), _vcf(30).replace("\tB\tA\tC\n", "\tQ\tC\tB\n")
+    put(tmp_path, "in/one.vcf", one), put(tmp_path, "in/two.vcf", two)
+    out = str(tmp_path / "out")
+
+    def run():
+        found = lines.numbered_lines(spark, str(tmp_path / "in"))
+        records = genomics.parse_vcf(found)
+        kept = spark.createDataFrame([("C",), ("B",), ("nobody",)], "lineage string")
+        sinks.write_vcf_files(sinks.filtered_vcf_lines(records, found.where(F.col("value").startswith("#")), kept), out)
+        none = sinks.filtered_vcf_lines(records, found.where(F.col("value").startswith("#")), kept.limit(0))
+        return none.where("file like '%two.vcf' and line_no = 3").first().value.count("\t"), genomics.genotypes_of(records).where("pos is null").count()
+
+    fields, malformed = _with_splits(spark, size, run)
+    assert fields == 8 and malformed == 3 * (8 + 1)
+    for name, text, drop in (("one.vcf", one, [10]), ("two.vcf", two, [9])):
+        folder = os.path.join(out, f"name={name}")
+        got = "".join(open(os.path.join(folder, f)).read() for f in sorted(os.listdir(folder)) if f.startswith("part-")).splitlines()
+        want = []
+        for line in text.splitlines():
+            cells = line.split("\t")
+            want.append(line if line.startswith("##") else "\t".join(c for i, c in enumerate(cells) if i not in drop))
+        assert got == want
+
+
+@pytest.mark.parametrize("size", [10_000_000, 5_000, 333, 40])
+def test_records_over_splits(spark, tmp_path, size):
+    """Reads and alignments do not depend on where a file is cut, even inside every record."""
+    made = [(f"r{i}", "ACGT" * (i % 7), "@+II" * (i % 7)) for i in range(301)]
+    put(tmp_path, "in/S_1.fastq", "".join(f"@{a}/1 x\n{b}\n+\n{c}\n" for a, b, c in made))
+    put(tmp_path, "in/T_2.fastq", "@one/2\nAC\n+one\n@@\n")
+    put(tmp_path, "in/U_1.fastq", "")
+    got = _with_splits(spark, size, lambda: genomics.read_fastq(spark, str(tmp_path / "in")).collect())
+    assert sorted((r.read_id, r.seq, r.qual) for r in got if r.sample == "S") == sorted(made)
+    assert [(r.read_id, r.mate, r.seq, r.qual) for r in got if r.sample != "S"] == [("one", 2, "AC", "@@")]
+    rows = [f"q{i}\t16\tref\t{i}\t60\t4M\t=\t{i + 9}\t-13\tACGT\tIIII\tNM:i:{i}\tXX:Z:a b" for i in range(200)]
+    sam = put(tmp_path, "a.sam", "@HD\tVN:1\n" + "\n".join(rows) + "\n")
+    back = _with_splits(spark, size, lambda: genomics.sam_lines(genomics.read_sam(spark, sam)).collect())
+    assert [r.value for r in sorted(back, key=lambda r: r.line_no)] == rows and min(r.line_no for r in back) == 1
+
+
+def test_readers_copy_nothing(spark, tmp_path):
+    """No checkpoint and no shuffle of lines: the plans shuffle counts per split only."""
+    path = put(tmp_path, "S_1.fastq", "@a\nAC\n+\nII\n" * 50)
+    for frame in (genomics.read_fastq(spark, path), lines.numbered_lines(spark, path), genomics.read_sam(spark, path)):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "ExistingRDD" not in plan and "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 1
+    with pytest.raises(Exception, match="cut off"):
+        cut = put(tmp_path, "T_1.fastq", "@a\nAC\n+\nII\n@b\nAC\n" * 3 + "@a\n")
+        _with_splits(spark, 9, lambda: genomics.read_fastq(spark, cut).collect())
