@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lineamix.functions import names
 from lineamix.operators import (
-    fractions, intervals, ordering, reads, sampling, scoring, solutions, variants,
+    fractions, intervals, ordering, prefix, reads, sampling, scoring, solutions, variants,
 )
 from lineamix.plans import studies
 from lineamix.session import tune
@@ -116,10 +116,7 @@ def top5_other(s, d):
 @query
 def abundance_order(s, d):
     """Targets of each sample by falling abundance, with their position."""
-    ranked = ordering.positions(
-        views.abundance(s, d).withColumn("_down", -F.col("tpm")), ["sample", "coverage"],
-        ["_down", "target_id"], ordering.value_bucket(F.col("_down")),
-    )
+    ranked = prefix.positions(views.abundance(s, d), ["sample", "coverage"], [F.desc("tpm"), "target_id"])
     return ranked.select("sample", "coverage", "target_id", "tpm", "position")
 
 
@@ -511,7 +508,7 @@ def natural_order(s, d):
 @query
 def positional_zip(s, d):
     def listed(df, name):
-        return ordering.positions(df, ["sample"], [name], ordering.text_bucket(F.col(name)))
+        return prefix.positions(df, ["sample"], [name])
 
     true = listed(views.truth(s, d).select("sample", "lineage", "fraction"), "lineage")
     found = listed(views.mix_abundance(s, d, False), "target_id")

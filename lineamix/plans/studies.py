@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lineamix.functions.names import LAB_STRAINS, LAB_TRUTH, VARIANT_CLASSES, ClassRule, classify, list_order, recode
 from lineamix.operators import (
-    fractions, intervals, ordering, reads, sampling, scoring, solutions, variants,
+    fractions, intervals, prefix, reads, sampling, scoring, solutions, variants,
 )
 from lineamix.schemas import PREDICTION_COLUMNS
 
@@ -72,10 +72,7 @@ def stack(*tables: DataFrame) -> DataFrame:
 def stacked_fractions(predictions: DataFrame, order: Sequence[str] = TOOL_ORDER) -> DataFrame:
     """Bar chart rows: summed fractions and the bar's ends, clamped to [0, 1]."""
     bars = predictions.groupBy("sample", "tool", "prediction").agg(F.sum("fraction").alias("fraction"))
-    total = ordering.running_total(
-        bars, ["sample", "tool"], ["prediction"],
-        ordering.text_bucket(F.col("prediction")), F.coalesce("fraction", F.lit(0.0)), "_end",
-    )
+    total = prefix.running_sum(bars, ["sample", "tool"], ["prediction"], F.col("fraction"), "_end")
 
     def clamp(value):
         return F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0))
