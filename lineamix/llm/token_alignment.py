@@ -10,9 +10,10 @@ from __future__ import annotations
 
 import hashlib
 import json
-from array import array
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,9 @@ from lineamix.llm.common import table, written
 from lineamix.llm.tokens import BYTE_OF, UNSAFE, definition_of
 
 #: Bytes of text whose words and pairs share one numbering.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 20 << 20
+#: Words that are aligned in one step, and digits of an id at most.
+_AT_ONCE, _DIGITS = 20_000, 6
 #: An id pair is one number: the first id in the upper bits, the second in the lower.
 _SHIFT = 32
 _SPACE_SIGN = "▁"
@@ -49,111 +52,147 @@ _RESULT_DDL = (
 )
 
 
+class Vocabulary:
+    """Decoded bytes of all ids of a tokenizer, one after the other, and the ids as decimal text."""
+
+    def __init__(self, entries: list[bytes]):
+        self.sizes = np.array([len(e) for e in entries], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.data = np.frombuffer(b"".join(entries), np.uint8)
+
+    def decoded(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of these ids in a row."""
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        return self.data[np.repeat(self.starts[ids] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+@dataclass
+class Aligned:
+    """Alignments of texts: (tokens of A, of B, groups, links) of each, its links, its groups as text.
+
+    ``ok`` is False, and everything else empty, where a tokenizer's bytes are not those of the text.
+    """
+
+    ok: np.ndarray
+    sizes: np.ndarray
+    links: np.ndarray
+    texts: list[bytes]
+
+
 class Aligner:
     """Tokens of both sides for words (with the space before them) or for whole texts."""
 
-    def __init__(self, definition: str, model: bytes, remembered: int = 300_000):
+    def __init__(self, definition: str, model: bytes):
         import sentencepiece
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_str(definition)
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_proto=model)
-        vocabulary = json.loads(definition)["model"]["vocab"]
-        self.a_bytes = {i: bytes(BYTE_OF.get(c, 0) for c in entry) for entry, i in vocabulary.items() if all(c in BYTE_OF for c in entry)}
+        entries = {i: entry for entry, i in json.loads(definition)["model"]["vocab"].items()}
+        known = [entries.get(i, "") for i in range(max(entries, default=-1) + 1)]
+        self.vocabulary_a = Vocabulary([bytes(BYTE_OF.get(c, 0) for c in e) for e in known])
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        self.b_bytes = [
-            bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(_SPACE_SIGN, " ").encode()
-            for i, p in enumerate(pieces)
-        ]
+        self.is_byte = np.array([self.b.is_byte(i) for i in range(len(pieces))], bool)
+        self.vocabulary_b = Vocabulary([
+            bytes([int(p[3:5], 16)]) if byte else p.replace(_SPACE_SIGN, " ").encode()
+            for p, byte in zip(pieces, self.is_byte)
+        ])
         #: What B makes of a space alone.
         self.lone_space = self.b.piece_to_id(_SPACE_SIGN)
         #: A word's tokens do not depend on its neighbours unless a piece goes on after a space.
         self.by_words = not any(_SPACE_SIGN in p.lstrip(_SPACE_SIGN) for p in pieces)
-        self.known: dict[str, tuple | None] = {}
-        self.remembered = remembered
-
-    def align(self, texts: list[str]) -> list[tuple | None]:
-        """Per text (a ids, b ids, links, groups, text of the groups), None where bytes differ.
-
-        A text is encoded by A after a space, which B adds by itself; ``links`` are pair numbers.
+        digits = [str(i).encode() for i in range(max(len(known), len(pieces)))]
+        self.digits = np.frombuffer(b"".join(d.ljust(_DIGITS) for d in digits), np.uint8).reshape(-1, _DIGITS)
+        self.digit_count = np.array([len(d) for d in digits], np.int64)
+
+    def align(self, texts: list[str]) -> Aligned:
+        """A encodes each text after a space, which B adds by itself; links are pair numbers."""
+        spaced = [" " + t for t in texts]
+        raw = np.frombuffer("".join(spaced).encode(), np.uint8)
+        at = np.concatenate([[0], np.cumsum([len(t.encode()) for t in spaced])]).astype(np.int64)
+        ids_a, ends_a, at_a = self._a_ends(spaced, at)
+        ids_b, ends_b, at_b = self._b_ends(texts, at)
+        ok = np.ones(len(texts), bool)
+        for vocabulary, ids, begin in ((self.vocabulary_a, ids_a, at_a), (self.vocabulary_b, ids_b, at_b)):
+            ok &= _sums(vocabulary.sizes[ids], begin) == np.diff(at)
+        if ok.all() and len(texts):
+            for vocabulary, ids in ((self.vocabulary_a, ids_a), (self.vocabulary_b, ids_b)):
+                ok &= _sums(vocabulary.decoded(ids) != raw, at) == 0
+        if not ok.all():
+            return self._without(texts, ok)
+        atoms, cuts = np.union1d(ends_a, ends_b), np.intersect1d(ends_a, ends_b, assume_unique=True)
+        links = ids_a[np.searchsorted(ends_a, atoms)] << _SHIFT | ids_b[np.searchsorted(ends_b, atoms)]
+        sizes = np.stack([
+            np.diff(at_a), np.diff(at_b), np.diff(np.searchsorted(cuts, at, "right")), np.diff(np.searchsorted(atoms, at, "right")),
+        ], axis=1)
+        return Aligned(ok, sizes, links, self._group_texts(ids_a, ends_a, ids_b, ends_b, cuts, at))
+
+    def _without(self, texts: list[str], ok: np.ndarray) -> Aligned:
+        """Alignments of those that are ok, empty ones for the others."""
+        rest = self.align([t for t, good in zip(texts, ok) if good])
+        good = ok.copy()
+        good[ok] = rest.ok
+        sizes = np.zeros((len(texts), 4), np.int64)
+        sizes[ok] = rest.sizes
+        kept = iter(rest.texts)
+        return Aligned(good, sizes, rest.links, [next(kept) if x else b"" for x in ok])
+
+    def _a_ends(self, spaced: list[str], at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of A, where each ends among the bytes of all texts, and where each text's begin.
+
+        Ends are those of the character offsets, but for a token whose last character goes on in the
+        next token: there the decoded bytes tell.
         """
-        if not texts:
-            return []
-        ends_a, ids_a, at_a = self._a_ends(texts)
-        ends_b, ids_b, at_b = self._b_ends(texts)
-        out = []
-        for i, text in enumerate(texts):
-            a, b = slice(at_a[i], at_a[i + 1]), slice(at_b[i], at_b[i + 1])
-            raw = (" " + text).encode()
-            mine_a, mine_b = ids_a[a], ids_b[b]
-            if b"".join(map(self.a_bytes.get, mine_a)) != raw or b"".join(map(self.b_bytes.__getitem__, mine_b)) != raw:
-                out.append(None)
-                continue
-            out.append(_pair_up(mine_a, ends_a[a], mine_b, ends_b[b]))
-        return out
-
-    def _a_ends(self, texts: list[str]) -> tuple[list[int], list[int], list[int]]:
-        """Byte ends of A's tokens: character offsets, and decoded bytes where tokens share a character."""
-        ends, ids, at = [], [], [0]
-        for text, found in zip(texts, self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)):
-            own = found.ids
-            if text.isascii():
-                ends += [e for _, e in found.offsets]
-            else:
-                byte_at = [0]
-                for c in " " + text:
-                    byte_at.append(byte_at[-1] + len(c.encode()))
-                last, offsets = 0, found.offsets
-                following = [begin for begin, _ in offsets[1:]] + [len(byte_at)]
-                for token, (_, end), begin in zip(own, offsets, following):
-                    # The last character goes on in the next token: its bytes are dealt out.
-                    last = last + len(self.a_bytes[token]) if begin < end else byte_at[end]
-                    ends.append(last)
-            ids += own
-            at.append(len(ids))
-        return ends, ids, at
-
-    def _b_ends(self, texts: list[str]) -> tuple[list[int], list[int], list[int]]:
-        """Byte ends of B's tokens: byte spans, and decoded bytes for byte pieces of one character."""
-        ends, ids, at = [], [], [0]
-        for text, found in zip(texts, self.b.encode(texts, return_type="offset_mapping", return_bytes=True, num_threads=1)):
-            own, spans = found["ids"], found["offsets"]
-            if not text:
-                own, spans = [self.lone_space], [(0, 0)]
-            last = 0
-            for token, (_, end) in zip(own, spans):
-                last = last + 1 if self.b.is_byte(token) else end + 1  # the space before the text
-                ends.append(last)
-            ids += own
-            at.append(len(ids))
-        return ends, ids, at
-
-    def words(self, words: list[str]) -> list[tuple | None]:
-        """``align`` for words of many texts, from memory where possible."""
-        known = self.known
-        if len(known) + len(words) > self.remembered:
-            known.clear()
-        new = [w for w in words if w not in known]
-        for begin in range(0, len(new), 20_000):
-            some = new[begin:begin + 20_000]
-            known.update(zip(some, self.align(some)))
-        return [known[w] for w in words]
-
-
-def _pair_up(ids_a: list[int], ends_a: list[int], ids_b: list[int], ends_b: list[int]) -> tuple:
-    """One walk along both lists of ends: links between overlapping tokens, groups between common ends."""
-    links, groups = [], []
-    i = j = first_a = first_b = 0
-    while i < len(ids_a):
-        links.append(ids_a[i] << _SHIFT | ids_b[j])
-        a, b = ends_a[i], ends_b[j]
-        i += a <= b
-        j += b <= a
-        if a == b:
-            groups.append(f"{','.join(map(str, ids_a[first_a:i]))}|{','.join(map(str, ids_b[first_b:j]))}")
-            first_a, first_b = i, j
-    return len(ids_a), len(ids_b), len(groups), links, ";".join(groups)
+        found = self.a.encode_batch(spaced, add_special_tokens=False)
+        ids = np.fromiter(chain.from_iterable(e.ids for e in found), np.int64)
+        offsets = np.fromiter(chain.from_iterable(chain.from_iterable(e.offsets for e in found)), np.int64).reshape(-1, 2)
+        begin = np.concatenate([[0], np.cumsum([len(e) for e in found])]).astype(np.int64)
+        text_of = np.repeat(np.arange(len(spaced)), np.diff(begin))
+        letters = np.frombuffer("".join(spaced).encode("utf-32-le"), np.uint32)
+        byte_at = np.concatenate([[0], np.cumsum(1 + (letters >= 0x80) + (letters >= 0x800) + (letters >= 0x10000).astype(np.int64))])
+        letter_at = np.concatenate([[0], np.cumsum([len(t) for t in spaced])]).astype(np.int64)
+        ends = byte_at[letter_at[text_of] + offsets[:, 1]]
+        shared = np.zeros(len(ids), bool)
+        shared[:-1] = (offsets[1:, 0] < offsets[:-1, 1]) & (text_of[1:] == text_of[:-1])
+        return ids, np.where(shared, self._decoded_ends(self.vocabulary_a, ids, begin, text_of, at), ends), begin
+
+    def _b_ends(self, texts: list[str], at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As ``_a_ends``: byte spans, which leave out the space before a text; byte pieces by decoded bytes."""
+        found = self.b.encode(texts, return_type="offset_mapping", return_bytes=True, num_threads=1)
+        alone = {"ids": [self.lone_space], "offsets": [(0, 0)]}
+        found = [f if t else alone for f, t in zip(found, texts)]
+        ids = np.fromiter(chain.from_iterable(f["ids"] for f in found), np.int64)
+        offsets = np.fromiter(chain.from_iterable(chain.from_iterable(f["offsets"] for f in found)), np.int64).reshape(-1, 2)
+        begin = np.concatenate([[0], np.cumsum([len(f["ids"]) for f in found])]).astype(np.int64)
+        text_of = np.repeat(np.arange(len(texts)), np.diff(begin))
+        ends = at[text_of] + 1 + offsets[:, 1]
+        return ids, np.where(self.is_byte[ids], self._decoded_ends(self.vocabulary_b, ids, begin, text_of, at), ends), begin
+
+    @staticmethod
+    def _decoded_ends(vocabulary: Vocabulary, ids: np.ndarray, begin: np.ndarray, text_of: np.ndarray, at: np.ndarray) -> np.ndarray:
+        total = np.concatenate([[0], np.cumsum(vocabulary.sizes[ids])])
+        return total[1:] - total[begin[text_of]] + at[text_of]
+
+    def _group_texts(self, ids_a: np.ndarray, ends_a: np.ndarray, ids_b: np.ndarray, ends_b: np.ndarray, cuts: np.ndarray, at: np.ndarray) -> list[bytes]:
+        """``a1,a2|b1;a3|b2,b3`` of each text: digits and signs are laid out for all texts at once."""
+        group_a, group_b = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)
+        place_a = np.arange(len(ids_a)) + np.searchsorted(group_b, group_a)
+        place_b = np.arange(len(ids_b)) + np.searchsorted(group_a, group_b, "right")
+        ids, signs = np.empty(len(ids_a) + len(ids_b), np.int64), np.full(len(ids_a) + len(ids_b), ord(","), np.uint8)
+        ids[place_a], ids[place_b] = ids_a, ids_b
+        last_a, last_b = (np.flatnonzero(np.diff(g, append=-1)) for g in (group_a, group_b))
+        signs[place_a[last_a]] = ord("|")
+        signs[place_b[last_b]] = np.where(np.isin(cuts, at[1:]), ord("\n"), ord(";"))
+        width = self.digit_count[ids]
+        start = np.cumsum(width + 1) - width - 1
+        out = np.empty(int(width.sum()) + len(ids), np.uint8)
+        for k in range(_DIGITS):
+            has = np.flatnonzero(width > k)
+            out[start[has] + k] = self.digits[ids[has], k]
+        out[start + width] = signs
+        return out.tobytes().split(b"\n")[:-1]
 
 
 @lru_cache(maxsize=2)
@@ -167,37 +206,37 @@ class _Chunk:
     def __init__(self, number: int):
         self.number, self.bytes = number, 0
         self.word_no: dict = {}
-        self.sizes, self.links = array("q"), array("q")
-        self.texts: list[str] = []
-        self.times = np.zeros(1024, np.int64)
+        self.sizes, self.links = np.zeros((0, 4), np.int64), []
+        self.texts: list[bytes] = []
+        self.times = np.zeros(0, np.int64)
 
-    def add(self, words: list, found: list[tuple | None]) -> np.ndarray:
+    def add(self, keys: list, words: list[str], aligner: Aligner) -> np.ndarray:
         """Numbers of these different words or whole texts; -1 for those without tokens."""
-        out = np.empty(len(words), np.int64)
-        for i, (word, made) in enumerate(zip(words, found)):
-            if made is None:
-                out[i] = -1
-                continue
-            number = self.word_no.setdefault(word, len(self.texts))
-            if number == len(self.texts):
-                n_a, n_b, groups, links, text = made
-                self.sizes.extend((n_a, n_b, groups, len(links)))
-                self.links.extend(links)
-                self.texts.append(text)
-            out[i] = number
-        return out
+        known = self.word_no
+        new = [i for i, key in enumerate(keys) if key not in known]
+        sizes = [self.sizes]
+        for begin in range(0, len(new), _AT_ONCE):
+            some = new[begin:begin + _AT_ONCE]
+            found = aligner.align([words[i] for i in some])
+            first = len(self.texts)
+            numbers = np.where(found.ok, first + np.cumsum(found.ok) - 1, -1).tolist()
+            known.update((keys[i], no) for i, no in zip(some, numbers))
+            sizes.append(found.sizes[found.ok])
+            self.links.append(found.links)
+            self.texts += found.texts if found.ok.all() else [t for t, good in zip(found.texts, found.ok) if good]
+        self.sizes = np.concatenate(sizes)
+        return np.fromiter(map(known.__getitem__, keys), np.int64, len(keys))
 
     def count(self, numbers: np.ndarray) -> None:
         more = np.bincount(numbers, minlength=len(self.texts))
-        if len(more) > len(self.times):
-            self.times = np.concatenate([self.times, np.zeros(len(more), np.int64)])
-        self.times[:len(more)] += more
+        more[:len(self.times)] += self.times
+        self.times = more
 
     def summary(self) -> pa.RecordBatch:
         """The row that holds the chunk's pairs, their counts, and the links of each word."""
-        links, sizes = np.array(self.links, np.int64), np.array(self.sizes, np.int64).reshape(-1, 4)[:, 3]
-        pairs, places = np.unique(links, return_inverse=True)
-        counts = np.bincount(places, np.repeat(self.times[:len(sizes)], sizes), len(pairs)).astype(np.int64)
+        sizes = self.sizes[:, 3]
+        pairs, places = np.unique(np.concatenate(self.links), return_inverse=True)
+        counts = np.bincount(places, np.repeat(self.times, sizes), len(pairs)).astype(np.int64)
         return _batch({
             "chunk": [self.number], "word_at": [np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)],
             "links": [places.astype(np.int32)], "pairs": [pairs], "counts": [counts],
@@ -250,27 +289,27 @@ def _documents(aligner: Aligner, chunk: _Chunk, part: pa.RecordBatch) -> pa.Reco
     split = pc.split_pattern(texts.filter(pa.array(~whole & ~empty)), " ")
     coded = pc.dictionary_encode(split.flatten())
     different = coded.dictionary.to_pylist()
-    numbers = chunk.add(different, aligner.words(different))
+    numbers = chunk.add(different, different, aligner)
     codes = numbers[coded.indices.to_numpy(zero_copy_only=False)] if different else np.zeros(0, np.int64)
     at = split.offsets.to_numpy() - (split.offsets[0].as_py() if len(split) else 0)
+    long = list(dict.fromkeys(texts[int(i)].as_py() for i in np.flatnonzero(whole & ~empty)))
+    number_of = dict(zip(long, chunk.add([(t,) for t in long], long, aligner).reshape(-1, 1)))
     rows, next_split = [], 0
     for i in range(len(texts)):
         if empty[i]:
             mine = None
         elif whole[i]:
-            text = texts[i].as_py()
-            mine = chunk.add([(text,)], aligner.align([text]))
+            mine = number_of[texts[i].as_py()]
         else:
             mine = codes[at[next_split]:at[next_split + 1]]
             next_split += 1
         rows.append(None if mine is None or (mine < 0).any() else mine)
-    sizes = np.array(chunk.sizes, np.int64).reshape(-1, 4)
-    totals = np.array([sizes[r].sum(axis=0) if r is not None else np.zeros(4, np.int64) for r in rows], np.int64).reshape(-1, 4)
-    lines = chunk.texts
-    sums = [hashlib.sha256(";".join([lines[k] for k in r]).encode()).hexdigest() if r is not None else "" for r in rows]
+    text_of = chunk.texts.__getitem__
+    sums = [hashlib.sha256(b";".join(map(text_of, r.tolist()))).hexdigest() if r is not None else "" for r in rows]
     flat = np.concatenate([np.zeros(0, np.int64), *(r for r in rows if r is not None)]).astype(np.int32)
     chunk.count(flat)
     ends = np.concatenate([[0], np.cumsum([0 if r is None else len(r) for r in rows])]).astype(np.int32)
+    totals = np.stack([_sums(chunk.sizes[flat, k], ends) for k in range(4)], axis=1)
     return _batch({
         "chunk": np.full(len(rows), chunk.number), "doc_id": part.column(0), "n_a": totals[:, 0], "n_b": totals[:, 1],
         "n_groups": totals[:, 2], "n_links": totals[:, 3], "groups_sha256": sums,
