@@ -1,116 +1,73 @@
-"""Half-open intervals: overlap tests and clipping by equi-joins.
+"""Half-open intervals: overlap tests and clipping by one walk along the genome.
 
-Every read belongs to exactly one bin: the smallest one of a nested hierarchy that
-contains it whole. A region is entered in all bins it touches, level by level, so that
-one equi-join on (chrom, level, bin) finds every overlap of a read of any length. Reads
-are neither copied nor regrouped.
+Reads and regions are sorted together by position, over ranges that are cut anywhere, and the
+furthest reach so far decides about a read. A region is one row whatever its length, a read is moved
+once and never copied, and no place, bin or region gathers the reads that it meets.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lineamix.operators.ordering import attach
-
-BASE_WIDTH = 1 << 8
-LEVEL_STEP = 3
-# The top level has bins of 2^41 positions, more than any contig.
-LEVELS = 12
-
-
-def _shift(level: int) -> int:
-    return BASE_WIDTH.bit_length() - 1 + LEVEL_STEP * level
-
-
-def _last(start: Column, end: Column) -> Column:
-    """Last position touched; an empty interval touches its own position."""
-    return F.greatest(end - 1, start)
-
-
-def read_bins(reads: DataFrame) -> DataFrame:
-    """Add the level and number of each read's bin; NULL for unmapped reads."""
-    start, last = F.col("start"), _last(F.col("start"), F.col("end"))
-    level, number = F.lit(LEVELS), F.lit(0).cast("bigint")
-    for depth in reversed(range(LEVELS)):
-        fits = F.shiftright(start, _shift(depth)) == F.shiftright(last, _shift(depth))
-        level = F.when(fits, F.lit(depth)).otherwise(level)
-        number = F.when(fits, F.shiftright(start, _shift(depth))).otherwise(number)
-    known = start.isNotNull() & F.col("end").isNotNull()
-    return reads.withColumn("_level", F.when(known, level)).withColumn(
-        "_bin", F.when(known, number)
-    )
+from lineamix.operators.prefix import running_max
 
+REVERSE = 0x10
+_PLACE, _KIND, _REACH, _SIDE, _FAR = "_place", "_kind", "_reach", "_side", "_far"
 
-def region_bins(regions: DataFrame) -> DataFrame:
-    """Regions with every bin they touch, on all levels."""
-    start, last = F.col("g_start"), _last(F.col("g_start"), F.col("g_end"))
 
-    def entries(depth: int) -> Column:
-        touched = F.sequence(F.shiftright(start, _shift(depth)), F.shiftright(last, _shift(depth)))
-        return F.transform(touched, lambda b: F.struct(F.lit(depth).alias("_level"), b.alias("_bin")))
+def _walk(reads: DataFrame, marks: DataFrame, keys: list[str], reads_first: bool) -> DataFrame:
+    """Reads with the furthest ``_reach`` of the marks at or before their place in ``_far``.
 
-    per_level = F.array(*[entries(depth) for depth in range(LEVELS)])
-    top = F.array(F.struct(F.lit(LEVELS).alias("_level"), F.lit(0).cast("bigint").alias("_bin")))
-    named = regions.select(
-        "chrom",
-        F.col("start").cast("bigint").alias("g_start"),
-        F.col("end").cast("bigint").alias("g_end"),
-    ).distinct()
-    return named.select(
-        "chrom", "g_start", "g_end", F.inline(F.concat(F.flatten(per_level), top))
-    )
+    With ``reads_first`` a mark at the place of a read comes after it.
+    """
+    mine = reads.withColumns({_KIND: F.lit(0 if reads_first else 1), _REACH: F.lit(None).cast("bigint")})
+    other = marks.withColumn(_KIND, F.lit(1 if reads_first else 0))
+    both = mine.unionByName(other, allowMissingColumns=True)
+    far = running_max(both, keys, [_PLACE, _KIND], F.col(_REACH), _FAR)
+    return far.where(F.col(_KIND) == (0 if reads_first else 1))
 
 
-def _overlap_join(reads: DataFrame, regions: DataFrame, how: str) -> DataFrame:
-    r = read_bins(reads).alias("r")
-    g = region_bins(regions).alias("g")
-    meets = (
-        (F.col("r.chrom") == F.col("g.chrom"))
-        & (F.col("r._level") == F.col("g._level"))
-        & (F.col("r._bin") == F.col("g._bin"))
-        & (F.col("r.start") < F.col("g.g_end"))
-        & (F.col("r.end") > F.col("g.g_start"))
-    )
-    return r.join(g, meets, how).select(*[F.col(f"r.{c}") for c in reads.columns])
+def _overlapping(reads: DataFrame, regions: DataFrame) -> DataFrame:
+    """Reads with ``_meets``: of the regions that begin before a read ends, one ends after it begins."""
+    marks = regions.select(
+        "chrom", F.col("start").cast("bigint").alias(_PLACE), F.col("end").cast("bigint").alias(_REACH)
+    ).where(F.col("chrom").isNotNull() & F.col(_PLACE).isNotNull()).distinct()
+    placed = reads.withColumn(_PLACE, F.col("end").cast("bigint"))
+    meets = F.coalesce(F.col("chrom").isNotNull() & (F.col(_FAR) > F.col("start")) & F.col("end").isNotNull(), F.lit(False))
+    return _walk(placed, marks, ["chrom"], True).select(*reads.columns, meets.alias("_meets"))
 
 
 def outside_regions(reads: DataFrame, regions: DataFrame) -> DataFrame:
     """Reads that overlap no region; reads without coordinates are kept."""
-    return _overlap_join(reads, regions, "left_anti")
+    return _overlapping(reads, regions).where(~F.col("_meets")).drop("_meets")
 
 
 def inside_regions(reads: DataFrame, regions: DataFrame) -> DataFrame:
     """Reads that overlap at least one region."""
-    return _overlap_join(reads, regions, "left_semi")
-
-
-REVERSE = 0x10
+    return _overlapping(reads, regions).where("_meets").drop("_meets")
 
 
 def clip_lengths(reads: DataFrame, primers: DataFrame) -> DataFrame:
     """Bases to clip from the 5' end of each read: column ``clip``.
 
-    For a forward read that is decided by its start alone: the furthest end of the
-    primers that cover it; for a reverse read by its end, in mirror image. So primers
-    (tens of bases each) are laid out by position, reduced to the furthest reach, and
-    each read looks up one position.
+    For a forward read that is the furthest end of the primers that begin at or before it; a reverse
+    read is the same in mirror image. So each primer is a mark on both sides, and rows grow with
+    primers, not with the bases they cover.
     """
-    p = primers.select("chrom", "start", "end").where(F.col("end") > F.col("start")).distinct()
-    covered = p.select("chrom", "start", "end", F.explode(F.sequence("start", F.col("end") - 1)).alias("at"))
-    reach = covered.groupBy("chrom", "at").agg(
-        F.max("end").alias("_far_end"), F.min("start").alias("_far_start")
-    )
-    # A reverse read ends at `end`, so its last base is the position looked up.
+    p = primers.select("chrom", F.col("start").cast("bigint"), F.col("end").cast("bigint"))
+    p = p.where((F.col("end") > F.col("start")) & F.col("chrom").isNotNull()).distinct()
+
+    def mark(side: int, place: Column, reach: Column) -> Column:
+        return F.struct(F.lit(side).alias(_SIDE), place.alias(_PLACE), reach.alias(_REACH))
+
+    marks = p.select("chrom", F.inline(F.array(
+        mark(0, F.col("start"), F.col("end")), mark(1, -F.col("end"), -F.col("start"))
+    )))
     reverse = F.col("flag").bitwiseAND(REVERSE) != 0
-    five_prime = F.when(reverse, F.col("end") - 1).otherwise(F.col("start"))
-    clip = (
-        F.when(F.col("_far_end").isNull(), 0)
-        .when(reverse, F.col("end") - F.greatest("_far_start", F.col("start")))
-        .otherwise(F.least("_far_end", F.col("end")) - F.col("start"))
-    )
-    r = reads.withColumn("at", five_prime)
-    return (
-        attach(r, reach, ["chrom", "at"], "left")
-        .withColumn("clip", clip.cast("bigint"))
-        .select(*reads.columns, "clip")
-    )
+    placed = reads.withColumns({
+        _SIDE: F.when(reverse, 1).otherwise(0),
+        _PLACE: F.when(reverse, -F.col("end")).otherwise(F.col("start")).cast("bigint"),
+        "_stop": F.when(reverse, -F.col("start")).otherwise(F.col("end")).cast("bigint"),
+    })
+    clip = F.when(F.col(_FAR) > F.col(_PLACE), F.least(_FAR, "_stop") - F.col(_PLACE)).otherwise(0)
+    return _walk(placed, marks, ["chrom", _SIDE], False).select(*reads.columns, clip.cast("bigint").alias("clip"))

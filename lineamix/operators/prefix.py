@@ -1,7 +1,7 @@
-"""Running sums along a sorted order, over ranges that are cut anywhere, even inside a group.
+"""Running sums and maxima along a sorted order, over ranges cut anywhere, even inside a group.
 
 Rows are range-partitioned by group, order and a hash of the whole row, so that a group with a third
-of all rows, a shared prefix or equal values spread over many ranges. Each range sums its groups by
+of all rows, a shared prefix or equal values spread over many ranges. Each range adds up its groups by
 itself. Only the first and last group of a range can go on in another one: a table with at most two
 rows per range carries their sums over, and meets the rows as a broadcast.
 """
@@ -17,6 +17,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 _RANGE, _HEAD = "_range", "_head"
+#: Stands for NULL in running maxima.
+NONE = -(1 << 62)
 
 
 def _changes(batch: pa.RecordBatch, last: pa.RecordBatch | None, keys: Sequence[int]) -> np.ndarray:
@@ -35,31 +37,48 @@ def _changes(batch: pa.RecordBatch, last: pa.RecordBatch | None, keys: Sequence[
 
 
 class _Scan:
-    """Walks the sorted rows of a range: group borders and the running sum inside each group."""
+    """Walks the sorted rows of a range: group borders and the running value inside each group."""
 
-    def __init__(self, keys: Sequence[int], value: int):
-        self.keys, self.value = keys, value
+    def __init__(self, keys: Sequence[int], value: int, largest: bool):
+        self.keys, self.value, self.largest = keys, value, largest
         self.last: pa.RecordBatch | None = None
-        self.sum, self.groups = 0, 0
+        self.sum, self.groups = NONE if largest else 0, 0
 
     def step(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        """(running sum, number of the group in the range) of each row."""
+        """(running value, number of the group in the range) of each row."""
         begins = _changes(batch, self.last, self.keys)
         values = batch.column(self.value).to_numpy(zero_copy_only=False)
-        starts = np.maximum.accumulate(np.where(begins, np.arange(len(begins)), -1))
-        upto = np.cumsum(values)
-        before = np.where(starts > 0, upto[np.maximum(starts, 1) - 1], 0)
-        running = upto - before + np.where(starts < 0, self.sum, 0)
-        group = self.groups - 1 + np.cumsum(begins)
+        inside = np.cumsum(begins)
+        running = self._maxima(values, inside) if self.largest else self._sums(values, begins)
+        group = self.groups - 1 + inside
         self.groups, self.sum = int(group[-1]) + 1, running[-1]
         self.last = batch.slice(batch.num_rows - 1)
         return running, group
 
-
-def _summaries(keys: Sequence[int], value: int, head: int, schema: pa.Schema):
+    def _sums(self, values: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        starts = np.maximum.accumulate(np.where(begins, np.arange(len(begins)), -1))
+        upto = np.cumsum(values)
+        before = np.where(starts > 0, upto[np.maximum(starts, 1) - 1], 0)
+        return upto - before + np.where(starts < 0, self.sum, 0)
+
+    def _maxima(self, values: np.ndarray, inside: np.ndarray) -> np.ndarray:
+        """Each group is lifted above the one before it, so one running maximum serves them all."""
+        there = np.append(values, self.sum)
+        there = there[there != NONE]
+        if not len(there):
+            return values
+        low, step = int(there.min()) - 1, int(there.max()) - int(there.min()) + 2
+        lifted = np.where(values == NONE, low, values) - low + inside * step
+        if inside[0] == 0 and self.sum != NONE:
+            lifted[0] = max(lifted[0], self.sum - low)
+        out = np.maximum.accumulate(lifted) - inside * step + low
+        return np.where(out == low, NONE, out)
+
+
+def _summaries(keys: Sequence[int], value: int, head: int, schema: pa.Schema, largest: bool):
     """Per range: its first and last group with their sums, one row each, and the first row's hash."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scan, first, first_sum, mark = _Scan(keys, value), None, None, None
+        scan, first, first_sum, mark = _Scan(keys, value, largest), None, None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -81,9 +100,9 @@ def _summaries(keys: Sequence[int], value: int, head: int, schema: pa.Schema):
     return run
 
 
-def _rows(keys: Sequence[int], value: int, head: int, schema: pa.Schema):
+def _rows(keys: Sequence[int], value: int, head: int, schema: pa.Schema, largest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scan, mark = _Scan(keys, value), None
+        scan, mark = _Scan(keys, value, largest), None
         number = TaskContext.get().partitionId()
         for batch in batches:
             if not batch.num_rows:
@@ -108,37 +127,58 @@ def running_sum(
     every column stay in one range. NULL keys are a group, NULL values count 0, empty tables stay
     empty. Whole numbers are summed as bigint, others as double.
     """
+    whole = df.select(value.alias("v")).schema["v"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    kind = T.LongType() if whole else T.DoubleType()
+    return _running(df, keys, order, F.coalesce(value.cast(kind), F.lit(0).cast(kind)), kind, out, ranges, False)
+
+
+def running_max(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], value: Column, out: str,
+    ranges: int | None = None,
+) -> DataFrame:
+    """Add the largest whole ``value`` so far by ``keys`` in ``order``; NULL before the first one.
+
+    Ties, NULL keys and empty tables as in ``running_sum``. Values lie between -2^61 and 2^61.
+    """
+    kind = T.LongType()
+    made = _running(df, keys, order, F.coalesce(value.cast(kind), F.lit(NONE)), kind, out, ranges, True)
+    return made.withColumn(out, F.nullif(F.col(out), F.lit(NONE)))
+
+
+def _running(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], value: Column, kind: T.DataType, out: str,
+    ranges: int | None, largest: bool,
+) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
 
     if ranges is None:
         ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    whole = df.select(value.alias("v")).schema["v"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
-    kind = T.LongType() if whole else T.DoubleType()
     names, at = df.columns, len(df.columns)
     tie = F.xxhash64(*[F.col(f"`{c}`") for c in names])
-    rows = df.withColumns({out: F.coalesce(value.cast(kind), F.lit(0).cast(kind)), _HEAD: tie})
+    rows = df.withColumns({out: value, _HEAD: tie})
     by = [*keys, *order, _HEAD]
     ranged = rows.repartitionByRange(ranges, *by).sortWithinPartitions(*by)
     key_at = [names.index(k) for k in keys]
-    key_fields = [df.schema[k] for k in keys]
     border = T.StructType([
         T.StructField(_RANGE, T.IntegerType()), T.StructField(_HEAD, T.LongType()), T.StructField("_is_first", T.BooleanType()),
-        T.StructField("_sum", kind), *key_fields,
+        T.StructField("_sum", kind), *(df.schema[k] for k in keys),
     ])
     # Both walks read the same shuffle: each uses all of its columns.
-    borders = ranged.mapInArrow(_summaries(key_at, at, at + 1, to_arrow_schema(border)), border)
+    borders = ranged.mapInArrow(_summaries(key_at, at, at + 1, to_arrow_schema(border), largest), border)
     earlier = W.partitionBy(*keys).orderBy(_RANGE, F.desc("_is_first")).rowsBetween(W.unboundedPreceding, -1)
-    carried = borders.withColumn("_before", F.coalesce(F.sum("_sum").over(earlier), F.lit(0).cast(kind)))
+    merge, nothing = (F.max, F.lit(NONE)) if largest else (F.sum, F.lit(0).cast(kind))
+    carried = borders.withColumn("_before", F.coalesce(merge("_sum").over(earlier), nothing))
     carried = carried.where("_is_first").select(_RANGE, _HEAD, "_before")
     walked = T.StructType([
         *df.schema.fields, T.StructField(out, kind), T.StructField(_RANGE, T.IntegerType()),
         T.StructField(_HEAD, T.LongType()), T.StructField("_is_first", T.BooleanType()),
     ])
-    summed = ranged.mapInArrow(_rows(key_at, at, at + 1, to_arrow_schema(walked)), walked)
-    # One row per range. A range that is not the one whose sums were carried is an error.
+    made = ranged.mapInArrow(_rows(key_at, at, at + 1, to_arrow_schema(walked), largest), walked)
+    # One row per range. A range that is not the one whose values were carried is an error.
     torn = F.raise_error("ranges changed between two walks").cast(kind)
-    total = F.when(F.col("_before").isNull(), torn).when(F.col("_is_first"), F.col(out) + F.col("_before")).otherwise(F.col(out))
-    return summed.join(F.broadcast(carried), [_RANGE, _HEAD], "left").select(*[F.col(f"`{c}`") for c in names], total.alias(out))
+    both = F.greatest(out, "_before") if largest else F.col(out) + F.col("_before")
+    total = F.when(F.col("_before").isNull(), torn).when(F.col("_is_first"), both).otherwise(F.col(out))
+    return made.join(F.broadcast(carried), [_RANGE, _HEAD], "left").select(*[F.col(f"`{c}`") for c in names], total.alias(out))
 
 
 def positions(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], out: str = "position", ranges: int | None = None) -> DataFrame:

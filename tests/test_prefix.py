@@ -58,3 +58,42 @@ def test_stacked_bars_shuffle_little(spark):
     assert bars["p0"] == (0.0, 0.8) and bars["p1"] == (0.8, 1.0) and bars["p6"] == (1.0, 1.0)
     plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert plan.count("Exchange ") <= 8
+
+
+@pytest.mark.parametrize("ranges", [1, 4, 30])
+def test_running_maxima(spark, ranges):
+    pick = random.Random(2)
+    data = [(pick.choice(["hot", "hot", None, "a", f"k{i}"]), pick.randint(0, 30), i, pick.choice([None, None, -5, 0, i, 1 << 50])) for i in range(900)]
+    df = spark.createDataFrame(data, "k string, v int, i int, w bigint").repartition(3)
+    got = {r.i: r.far for r in prefix.running_max(df, ["k"], ["v", "i"], F.col("w"), "far", ranges).collect()}
+    far, want = {}, {}
+    for k, v, i, w in sorted(data, key=lambda r: (r[1], r[2])):
+        far[k] = max((x for x in (far.get(k), w) if x is not None), default=None)
+        want[i] = far[k]
+    assert got == want
+
+
+def test_intervals_against_all_pairs(spark):
+    """Regions of one base to 10^9 bases are one mark each; every read meets what it overlaps."""
+    from lineamix.operators import intervals
+
+    pick = random.Random(9)
+    reads = [(f"r{i}", pick.choice([0, 16]), pick.choice(["c", "d", None]), pick.choice([None, pick.randint(0, 2000)]), pick.randint(0, 60)) for i in range(600)]
+    reads = [(n, f, c, s, None if s is None else s + w) for n, f, c, s, w in reads] + [("far", 0, "d", 999_999_000, 999_999_010)]
+    regions = [(pick.choice("cc d".split()), s, s + pick.choice([0, 1, 5, 40])) for s in (pick.randint(0, 2100) for _ in range(25))] + [("d", 1900, 1_000_000_000)]
+    r = spark.createDataFrame(reads, "qname string, flag int, chrom string, start bigint, end bigint").repartition(4)
+    g = spark.createDataFrame(regions, "chrom string, start bigint, end bigint")
+    hit = {n for n, _, c, s, e in reads if any(c == gc and s is not None and s < ge and e > gs for gc, gs, ge in regions)}
+    assert {x.qname for x in intervals.inside_regions(r, g).collect()} == hit
+    assert {x.qname for x in intervals.outside_regions(r, g).collect()} == {x[0] for x in reads} - hit
+    want = {}
+    for n, f, c, s, e in reads:
+        best = 0
+        for gc, gs, ge in regions:
+            if gc == c and s is not None and gs < ge:
+                if f & 16 and gs < e <= ge:
+                    best = max(best, e - max(gs, s))
+                if not f & 16 and gs <= s < ge:
+                    best = max(best, min(ge, e) - s)
+        want[n] = best
+    assert {x.qname: x.clip for x in intervals.clip_lengths(r, g).collect()} == want
