@@ -84,6 +84,23 @@ def natural_key(text: Column) -> Column:
     return F.concat(lead, F.transform(runs, piece))
 
 
+def natural_text(text: Column) -> Column:
+    """One string that sorts by code points as alignment tools sort names: digit runs as integers.
+
+    A run becomes the number of its digits and the digits, without leading zeros; other characters
+    stay, so a digit meets another character as itself. Names that differ in leading zeros only are
+    equal here. The key of a name is as long as the name and seven characters per run, and range
+    partitioning can cut between any two of them.
+    """
+    runs = F.regexp_extract_all(text, F.lit(r"(\d+|\D+)"), 1)
+
+    def piece(run: Column) -> Column:
+        digits = F.regexp_replace(run, r"^0+(?=\d)", "")
+        return F.when(run.rlike(r"^\d"), F.concat(F.lpad(F.length(digits).cast("string"), 6, "0"), digits)).otherwise(run)
+
+    return F.array_join(F.transform(runs, piece), "")
+
+
 def numeric_suffix(text: Column) -> Column:
     """Trailing number of a name such as ``SimulatedSample12``; NULL without one."""
     return F.nullif(F.regexp_extract(text, r"(\d+)$", 1), F.lit("")).try_cast("bigint")

@@ -157,50 +157,61 @@ def call_hits(calls: DataFrame, truth: DataFrame, keys: Sequence[str]) -> DataFr
     )
 
 
-LITERAL_PATTERN = r"^[A-Za-z0-9 _-]+$"
+#: Characters of a gram; names are found by those of this length and shorter ones.
+GRAM = 3
 
 
-def matched_lineages(patterns: DataFrame, clade_map: DataFrame, spread: int = 16) -> DataFrame:
+def required_literal(pattern: Column) -> Column:
+    """A text that every match of a regular expression contains, lower-cased; empty if none is known.
+
+    Escapes, classes, anchors, any-character signs and whatever may be left out cut the pattern;
+    the longest rest counts. Alternatives and groups are not looked into.
+    """
+    cut = "\0"
+    rest = F.regexp_replace(pattern, r"(?s)\\.", cut)
+    rest = F.regexp_replace(rest, r"\[\^?\]?[^\]]*\]", cut)
+    rest = F.regexp_replace(rest, r"(?s).(?:[?*][?+]?|\{[^}]*\}[?+]?)", cut)
+    rest = F.regexp_replace(rest, r"(?s)(.)\+[?+]?", f"$1{cut}")
+    pieces = F.split(F.regexp_replace(rest, r"[.^$]", cut), cut)
+    longest = F.reduce(pieces, F.lit(""), lambda best, x: F.when(F.length(x) > F.length(best), x).otherwise(best))
+    return F.when(pattern.rlike(r"[|()]"), F.lit("")).otherwise(fold_ascii(longest))
+
+
+def _grams(text: Column, sizes: Sequence[int]) -> Column:
+    """Different substrings of these lengths, and the empty one."""
+    def of(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1)))
+        return F.when(F.length(text) >= n, F.transform(starts, lambda i: F.substr(text, i, F.lit(n)))).otherwise(
+            F.array().cast("array<string>")
+        )
+
+    return F.array_distinct(F.concat(F.array(F.lit("")), *map(of, sizes)))
+
+
+def matched_lineages(patterns: DataFrame, clade_map: DataFrame) -> DataFrame:
     """(pattern, pango) for map rows whose clade contains the pattern, as a
     case-insensitive regular expression. NULL clades never match.
 
-    Only distinct patterns and distinct clade names meet. A pattern without special
-    characters is looked up among the substrings of the names, by an equi-join; real
-    regular expressions have no index, so they are spread over ``spread`` slices of the
-    distinct names and tested there.
+    Only distinct patterns and distinct clade names meet, by an equi-join: names are entered under
+    their grams of up to three characters, a pattern is looked up under the rarest gram of the text
+    it requires, and the whole expression is tested on those candidates. A pattern that requires
+    nothing meets all names, as its result may.
     """
     wanted = patterns.select("pattern").where("pattern is not null").distinct()
     names = clade_map.select("clade").where("clade is not null").distinct()
-    text = fold_ascii(F.col("clade"))
-    length = F.length("clade")
-    pieces = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), length),
-            lambda i: F.transform(
-                F.sequence(F.lit(1), length - i + 1), lambda n: F.substr(text, i, n)
-            ),
-        )
-    )
-    index = names.where(length > 0).select(
-        "clade", F.explode(F.array_distinct(pieces)).alias("_piece")
-    )
-    plain = wanted.where(F.col("pattern").rlike(LITERAL_PATTERN)).withColumn(
-        "_piece", fold_ascii(F.col("pattern"))
-    )
-    literal_hits = plain.join(index, "_piece").select("pattern", "clade")
-    sliced = names.withColumn("_slice", F.pmod(F.xxhash64("clade"), F.lit(spread)))
-    regular = wanted.where(~F.col("pattern").rlike(LITERAL_PATTERN)).withColumn(
-        "_slice", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(spread - 1).cast("bigint")))
-    )
-    regex_hits = regular.join(sliced, "_slice").where(
-        F.expr("clade rlike concat('(?i)', pattern)")
-    ).select("pattern", "clade")
-    return (
-        literal_hits.unionByName(regex_hits)
-        .join(clade_map.select("clade", "pango"), "clade")
-        .select("pattern", "pango")
-        .distinct()
+    postings = names.select("clade", F.explode(_grams(fold_ascii(F.col("clade")), range(1, GRAM + 1))).alias("_gram"))
+    literal = required_literal(F.col("pattern"))
+    asked = wanted.withColumn("_literal", literal).select(
+        "pattern", F.explode(F.when(F.length("_literal") >= GRAM, _grams(F.col("_literal"), [GRAM])).otherwise(F.array("_literal"))).alias("_gram"),
+        F.length("_literal").alias("_size"),
+    ).where((F.col("_gram") != "") | (F.col("_size") == 0))
+    # A gram that no name has makes the pattern match nothing: it is the rarest.
+    frequency = postings.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = asked.join(frequency, "_gram", "left").groupBy("pattern").agg(
+        F.min_by("_gram", F.struct(F.coalesce("_n", F.lit(0)), "_gram")).alias("_gram")
     )
+    hits = rarest.join(postings, "_gram").where(F.expr("clade rlike concat('(?i)', pattern)")).select("pattern", "clade")
+    return hits.join(clade_map.select("clade", "pango"), "clade").select("pattern", "pango").distinct()
 
 
 def clade_hits(

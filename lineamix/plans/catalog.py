@@ -505,6 +505,15 @@ def natural_order(s, d):
     )
 
 
+@query
+def name_order(s, d):
+    """Alignments in the order of their names, over all samples, with their place."""
+    name = F.concat(F.lit("r"), F.col("qname"), F.when(F.col("flag") % 128 < 64, ".02").otherwise(".1"), F.lit("/"), F.length("qname"))
+    named = views.reads(s, d).select("sample", name.alias("name"), "flag", "start", "end")
+    ordered = prefix.positions(named, [], [names.natural_text(F.col("name")), "name", "flag", "sample", "start", "end"])
+    return ordered.groupBy("name").agg(F.min("position").alias("first"), F.max("position").alias("last"))
+
+
 @query
 def positional_zip(s, d):
     def listed(df, name):
@@ -703,6 +712,12 @@ def study_coinfection(s, d):
     )
 
 
+@query
+def study_coinfection_errors(s, d):
+    """The table beside the bars: per tool its bars, samples, and mean squared error against the truth."""
+    return studies.coinfection_table(all_tables(s, d), ("posterior", "abundance", "consensus")).withColumn("mse", r9("mse"))
+
+
 @query
 def study_similarity(s, d):
     return studies.similarity(views.genotypes(s, d), views.supplier_lineages(s, d), PAIRS)

@@ -499,6 +499,10 @@ _BODIES: dict[str, str] = {
     "natural_order": r"""select p_brand, 'Brand#|' || lpad(cast(length(digits) as varchar), 6, '0') || digits
         as natural_key, cast(digits as bigint) as suffix, n
         from (select p_brand, regexp_extract(p_brand, '(\d+)$', 1) as digits, count(*) as n from part group by 1, 2)""",
+    "name_order": """select name, min(position) as first, max(position) as last
+        from (select 'r' || qname || case m when 2 then '.02' else '.1' end || '/' || length(qname) as name,
+            row_number() over (order by cast(qname as bigint), m) as position
+          from (select *, case when flag & 64 = 0 then 2 else 1 end as m from v_reads)) group by 1""",
     "positional_zip": f"""select sample, position, lineage, target_id, {_r9('fraction')}, tpm
         from (select *, row_number() over (partition by sample order by lineage) as position from v_truth)
         join (select *, row_number() over (partition by sample order by target_id) as position from v_mix_all)
@@ -594,6 +598,18 @@ _BODIES: dict[str, str] = {
           ['truth', 'posterior', 'abundance', 'consensus', 'clade'], tool) as int) as tool_order, prediction,
         count(*) as n_samples, {_r9('avg(fraction)', 'mean_fraction')},
         {_r9('max(least(greatest(upto, 0), 1))', 'highest')} from v_bars group by 1, 2, 3""",
+    "study_coinfection_errors": f"""select b.tool, cast(list_position(
+          ['truth', 'posterior', 'abundance', 'consensus', 'clade'], b.tool) as int) as tool_order,
+        n_samples, n_bars, n_cells, round(e.mse, 9) + 0.0e0 as mse, printf('%.4f', e.mse) as label
+        from (select tool, count(distinct sample) as n_samples, count(*) as n_bars from v_bars group by 1) b
+        left join (select tool, avg((f - t) * (f - t)) as mse, count(*) as n_cells from (
+            select unnest(['posterior', 'abundance', 'consensus']) as tool, t, unnest([p, a, c]) as f from (
+              select sample, who_name, coalesce(sum(fraction) filter (tool = 'truth'), 0) as t,
+                coalesce(sum(fraction) filter (tool = 'posterior'), 0) as p,
+                coalesce(sum(fraction) filter (tool = 'abundance'), 0) as a,
+                coalesce(sum(fraction) filter (tool = 'consensus'), 0) as c
+              from v_tables where who_name in ('omicron', 'delta') and tool <> 'clade' group by 1, 2)) group by 1) e
+          on e.tool = b.tool""",
     "study_similarity": f"select sample, {_WIDE} from v_similar group by 1",
     "study_genotype_filter": r"""select 1 as kind, 0 as pos,
           '#CHROM' || chr(9) || 'POS' || chr(9) || 'ID' || chr(9) || 'REF' || chr(9) || 'ALT' || chr(9) || 'QUAL'

@@ -85,6 +85,23 @@ def stacked_fractions(predictions: DataFrame, order: Sequence[str] = TOOL_ORDER)
     )
 
 
+def coinfection_table(
+    predictions: DataFrame, tools: Sequence[str], order: Sequence[str] = TOOL_ORDER, excluded: Sequence[str] = (),
+) -> DataFrame:
+    """Per tool with bars: samples, bars, and the error of its class fractions; NULL for other tools.
+
+    Bars and errors come from the same predictions; ``excluded`` samples have bars and no error.
+    """
+    bars = predictions.groupBy("sample", "tool", "prediction").agg(F.count(F.lit(1)).alias("_n"))
+    per_sample = bars.groupBy("tool", "sample").agg(F.count(F.lit(1)).alias("_bars"))
+    shown = per_sample.groupBy("tool").agg(F.count(F.lit(1)).alias("n_samples"), F.sum("_bars").alias("n_bars"))
+    errors = scoring.mse_by_tool(predictions, tools, excluded=excluded)
+    return shown.join(errors, "tool", "left").select(
+        "tool", list_order(F.col("tool"), order).alias("tool_order"), "n_samples", "n_bars", "n_cells", "mse",
+        scoring.mse_label("mse").alias("label"),
+    )
+
+
 def class_lineages(predictions: DataFrame) -> DataFrame:
     """Distinct predictions of each class."""
     return predictions.select("who_name", "prediction").distinct()

@@ -210,3 +210,36 @@ def test_lab_mix_posterior(spark):
     found = studies.lab_mix_posterior(posterior, truth, names_of).first()
     # Truth ranks 896 3, HXB2 1, JRCSF 5, NL43 4, YU2 2 against 4, 1.5, 5, 3, 1.5.
     assert found.n_points == 5 and abs(found.spearman - 0.8720815992723809) < 1e-9
+
+
+def test_patterns_against_all_names(spark):
+    """Every pattern finds the names that Python's expressions find, whatever it requires."""
+    import random
+    import re
+
+    pick = random.Random(4)
+    names = sorted({"".join(pick.choices("abcABC19. -/é", k=pick.randint(1, 9))) for _ in range(150)}) + ["", "Omicron (BA.1-like)", "[x]"]
+    fixed = ["", ".*", "a", "^a", "c$", "a|b", "(ab)+c", "a?b", "a*b", "ab{0,2}c", "a+b", r"\.", r"\[x\]", "[ab]c", "[^a]b", "[]a]b", "BA.1", "omicron", "zzz", "a.c", "é", "ba*?c", "9++", r"\d\d"]
+    plain = ["".join(pick.choices("abc19 -", k=pick.randint(1, 5))) for _ in range(60)]
+    mixed = ["".join(pick.choices(["a", "b", "C", "1", ".", "a?", "b*", "c+", "[ab]", "9"], k=pick.randint(1, 5))) for _ in range(80)]
+    patterns = sorted({*fixed, *plain, *mixed})
+    got = scoring.matched_lineages(
+        spark.createDataFrame([(p,) for p in [*patterns, None]], "pattern string"),
+        spark.createDataFrame([(n, n) for n in names] + [(None, "x")], "clade string, pango string"),
+    ).collect()
+
+    def matches(p, n):
+        return re.search(p, n, re.I | re.A) is not None
+
+    assert {(r.pattern, r.pango) for r in got} == {(p, n) for p in patterns for n in names if matches(p, n)}
+    plan = scoring.matched_lineages(spark.createDataFrame([("a",)], "pattern string"), spark.createDataFrame([("a", "b")], "clade string, pango string"))
+    assert "NestedLoop" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_natural_text_sorts_like_numbers(spark):
+    from lineamix.functions import names
+    order = ["1", "2a", "10", "ab-", "ab2", "ab10", "abc", "r1.2/9", "r1.10/3", "r2.1", "r99999999999999999999", "r100000000000000000000"]
+    df = spark.createDataFrame([(x,) for x in reversed(order)], "n string").repartition(3)
+    assert [r.n for r in df.repartitionByRange(4, names.natural_text(F.col("n"))).sortWithinPartitions(names.natural_text(F.col("n"))).collect()] == order
+    same = df.limit(1).select(names.natural_text(F.lit("a007b")).alias("x"), names.natural_text(F.lit("a7b")).alias("y")).first()
+    assert same.x == same.y

@@ -116,7 +116,7 @@ def test_fastq_round_trip(spark, tmp_path, rows):
     expected = [("S1", "r1", 1, "ACGT", "@III"), ("S1", "r1", 2, "TT", "II"), ("S1", "r2", 1, "", ""), ("S1", "r3", 1, "A", "I")]
     assert rows(got) == expected
     out = str(tmp_path / "out")
-    sinks.write_fastq(got, out, files_per_sample=2)
+    sinks.write_fastq(got, out)
     texts = []
     for folder, _, files in os.walk(out):
         for f in sorted(files):
@@ -294,3 +294,33 @@ def test_readers_copy_nothing(spark, tmp_path):
     with pytest.raises(Exception, match="cut off"):
         cut = put(tmp_path, "T_1.fastq", "@a\nAC\n+\nII\n@b\nAC\n" * 3 + "@a\n")
         _with_splits(spark, 9, lambda: genomics.read_fastq(spark, cut).collect())
+
+
+def test_files_follow_the_size_of_a_sample(spark, tmp_path):
+    """A large sample has many files, small ones one each; mates with one number hold the same reads in order."""
+    keys = ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.minPartitionSize")
+    old = {k: spark.conf.get(k, None) for k in keys}
+    for k, v in zip(keys, ("30000", "12", "1")):
+        spark.conf.set(k, v)
+    try:
+        rows = spark.range(0, 20_000, 1, 6).selectExpr("if(id % 10 > 0, 'hot', concat('k', id % 30)) as sample", "concat('r', id) as read_id", "'ACGTACGT' as seq", "'IIIIIIII' as qual", "id")
+        sinks.write_by_sample(rows, str(tmp_path / "by"))
+        mates = rows.drop("id").selectExpr("*", "explode(array(1, 2)) as mate")
+        sinks.write_fastq(mates, str(tmp_path / "fq"))
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+    def files(*folder):
+        return sorted(f for f in os.listdir(tmp_path.joinpath(*folder)) if f.startswith("part-"))
+
+    assert len(files("by", "sample=hot")) > 4 * len(files("by", "sample=k0")) > 0
+    assert spark.read.option("header", True).csv(str(tmp_path / "by")).count() == 20_000
+    one, two = files("fq", "sample=hot", "mate=1"), files("fq", "sample=hot", "mate=2")
+    assert len(one) > 4 and [f.split("-")[1] for f in one] == [f.split("-")[1] for f in two]
+    names = []
+    for a, b in zip(one, two):
+        x, y = ([line[1:].split("/")[0] for line in open(tmp_path / "fq" / "sample=hot" / m / f) if line[0] == "@"] for m, f in (("mate=1", a), ("mate=2", b)))
+        assert x == y
+        names += x
+    assert names == sorted(names) and len(names) == 18_000
