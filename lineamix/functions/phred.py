@@ -27,62 +27,108 @@ def flatten(texts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(encoded), dtype=np.uint8), lengths
 
 
-def window_bounds(window: int, min_mean: float):
+#: Bases that are worked on at once; a longer read is cut and its parts follow each other.
+MOST_BASES = 1 << 21
+
+
+def parts(lengths: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Stretches of reads with at most so many bases; a longer read stands alone."""
+    total, begin = 0, 0
+    for i, n in enumerate(lengths.tolist()):
+        if i > begin and total + n > most:
+            yield begin, i
+            total, begin = 0, i
+        total += n
+    if begin < len(lengths):
+        yield begin, len(lengths)
+
+
+def _passing(codes: np.ndarray, lengths: np.ndarray, window: int, min_mean: float) -> tuple[np.ndarray, np.ndarray]:
+    """Where the first and the last passing window of each read begin, -1 without one."""
+    first, last = np.full(len(lengths), -1, np.int64), np.full(len(lengths), -1, np.int64)
+    if not len(codes):
+        return first, last
+    sums = np.concatenate([[0], np.cumsum(codes.astype(np.int64) - OFFSET)])
+    ends = np.cumsum(lengths)
+    owner = np.repeat(np.arange(len(lengths)), lengths)
+    at = np.arange(len(codes))
+    width = np.minimum(lengths, window)[owner]
+    stop = np.minimum(at + width, ends[owner])
+    passed = (at + width <= ends[owner]) & (sums[stop] - sums[at] >= width * min_mean)
+    hits, reads = at[passed], owner[passed]
+    if len(hits):
+        # Hits are in order, so the first and last of each read are at its borders.
+        edge = np.flatnonzero(np.diff(reads)) + 1
+        begin, end = np.concatenate([[0], edge]), np.concatenate([edge - 1, [len(hits) - 1]])
+        who = reads[begin]
+        start = ends[who] - lengths[who]
+        first[who], last[who] = hits[begin] - start, hits[end] - start
+    return first, last
+
+
+def _passing_long(qual: str, window: int, min_mean: float, most: int) -> tuple[int, int]:
+    """``_passing`` of one read by parts, each with the beginning of the next."""
+    first = last = -1
+    for begin in range(0, len(qual) - window + 1, most):
+        codes, length = flatten([qual[begin:begin + most + window - 1]])
+        a, b = (int(x[0]) for x in _passing(codes, length, window, min_mean))
+        if a >= 0:
+            first, last = begin + a if first < 0 else first, begin + b
+    return first, last
+
+
+def window_bounds(window: int, min_mean: float, most: int = MOST_BASES):
     """Pandas UDF: 1-based start and length of the part between the first and the last
     window whose mean quality reaches ``min_mean``; NULL without one.
 
-    A batch is one flat array: built-in array lambdas cost a call per base.
+    Reads with ``most`` bases together are one flat array, whatever a batch holds: built-in array
+    lambdas cost a call per base.
     """
 
     @F.pandas_udf("struct<at: int, kept: int>")
     def bounds(quals: pd.Series) -> pd.DataFrame:
-        out = pd.DataFrame({
-            "at": pd.array([pd.NA] * len(quals), dtype="Int32"),
-            "kept": pd.array([pd.NA] * len(quals), dtype="Int32"),
+        quals = quals.fillna("")
+        lengths = quals.str.len().to_numpy(np.int64)
+        first, last = np.full(len(lengths), -1, np.int64), np.full(len(lengths), -1, np.int64)
+        for begin, end in parts(lengths, most):
+            if end - begin == 1 and lengths[begin] > most + window:
+                first[begin], last[begin] = _passing_long(quals.iloc[begin], window, min_mean, most)
+            else:
+                codes, sizes = flatten(quals.iloc[begin:end])
+                first[begin:end], last[begin:end] = _passing(codes, sizes, window, min_mean)
+        empty = first < 0
+        kept = last - first + np.minimum(lengths, window)
+        return pd.DataFrame({
+            "at": pd.arrays.IntegerArray((first + 1).astype(np.int32), empty.copy()),
+            "kept": pd.arrays.IntegerArray(np.where(empty, 0, kept).astype(np.int32), empty.copy()),
         })
-        codes, lengths = flatten(quals.fillna(""))
-        if not len(codes):
-            return out
-        sums = np.concatenate([[0], np.cumsum(codes.astype(np.int64) - OFFSET)])
-        ends = np.cumsum(lengths)
-        owner = np.repeat(np.arange(len(lengths)), lengths)
-        at = np.arange(len(codes))
-        width = np.minimum(lengths, window)[owner]
-        stop = np.minimum(at + width, ends[owner])
-        passed = (at + width <= ends[owner]) & (sums[stop] - sums[at] >= width * min_mean)
-        hits, reads = at[passed], owner[passed]
-        if not len(hits):
-            return out
-        # Hits are in order, so the first and last of each read are at its borders.
-        edge = np.flatnonzero(np.diff(reads)) + 1
-        first = hits[np.concatenate([[0], edge])]
-        last = hits[np.concatenate([edge - 1, [len(hits) - 1]])]
-        who = owner[first]
-        start = ends[who] - lengths[who]
-        at_column = np.zeros(len(lengths), dtype=np.int32)
-        kept_column = np.zeros(len(lengths), dtype=np.int32)
-        at_column[who] = first - start + 1
-        kept_column[who] = last - first + np.minimum(lengths[who], window)
-        empty = at_column == 0
-        out["at"] = pd.arrays.IntegerArray(at_column, empty.copy())
-        out["kept"] = pd.arrays.IntegerArray(kept_column, empty.copy())
-        return out
 
     # Otherwise a filter on the result is pushed below and the work is done twice.
     return bounds.asNondeterministic()
 
 
-def position_sums(keys: list[str], bases: tuple[str, ...]):
-    """Function for mapInPandas: per batch and position, reads, score sums and base counts.
+def _pieces(batch: pd.DataFrame, most: int) -> Iterator[tuple[pd.DataFrame, int]]:
+    """Parts of a batch with at most so many bases, and the position before their first one."""
+    seq, qual = batch["seq"].fillna(""), batch["qual"].fillna("")
+    lengths = np.maximum(seq.str.len(), qual.str.len()).to_numpy(np.int64)
+    for begin, end in parts(lengths, most):
+        part = batch.iloc[begin:end]
+        if lengths[begin] <= most:
+            yield part, 0
+            continue
+        for at in range(0, int(lengths[begin]), most):
+            yield part.assign(seq=seq.iloc[begin][at:at + most], qual=qual.iloc[begin][at:at + most]), at
+
+
+def position_sums(keys: list[str], bases: tuple[str, ...], most: int = MOST_BASES):
+    """Function for mapInPandas: per position, reads, score sums and base counts of some reads.
 
-    One row leaves per key and position of a batch instead of one per base.
+    One row leaves per key and position of reads with ``most`` bases together, not one per base.
     """
     codes_of = [(b, {ord(b.lower()), ord(b.upper())}) for b in bases]
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if batch.empty:
-                continue
+        for batch, before in (piece for whole in batches if len(whole) for piece in _pieces(whole, most)):
             groups = batch.groupby(keys, sort=False, dropna=False)
             owner_key = groups.ngroup().to_numpy()
             names = batch[keys].iloc[np.unique(owner_key, return_index=True)[1]]
@@ -102,7 +148,7 @@ def position_sums(keys: list[str], bases: tuple[str, ...]):
             seq_slots, qual_slots = slots(seq_len), slots(qual_len)
             group = np.repeat(np.arange(len(names)), spans)
             out = names.iloc[group].reset_index(drop=True)
-            out["pos"] = (np.arange(size) - base[group] + 1).astype(np.int32)
+            out["pos"] = (np.arange(size) - base[group] + 1 + before).astype(np.int32)
             out["reads"] = np.bincount(slots(longest), minlength=size)
             out["scored"] = np.bincount(qual_slots, minlength=size)
             scores = qual.astype(np.float64) - OFFSET

@@ -162,3 +162,33 @@ def test_read_qc_equals_plain_sums(quality_reads):
 def test_contig_lengths_ignore_white_space(spark, rows):
     df = spark.createDataFrame([("c", "ac\ngt \n")], "contig string, sequence string")
     assert rows(reads.contig_lengths(df)) == [("c", 4)]
+
+
+def test_kernels_do_not_depend_on_where_reads_are_cut():
+    """Parts of a few bases give what whole batches give, also for reads longer than a part."""
+    import random
+
+    import numpy as np
+    import pandas as pd
+
+    from lineamix.functions import phred
+
+    pick = random.Random(3)
+    quals = ["".join(chr(33 + pick.choice([5, 15, 20, 35, 40])) for _ in range(pick.choice([0, 1, 3, 4, 9, 50, 700]))) for _ in range(120)]
+    quals[7] = None
+
+    def plain(q, window, mean):
+        q = [ord(c) - 33 for c in q or ""]
+        width = min(window, len(q))
+        hits = [i for i in range(len(q) - width + 1) if width and sum(q[i:i + width]) >= width * mean]
+        return (hits[0] + 1, hits[-1] - hits[0] + width) if hits else None
+
+    for most in (10, 64, 1 << 21):
+        got = phred.window_bounds(4, 20, most).func(pd.Series(quals))
+        assert [None if pd.isna(a) else (a, k) for a, k in zip(got["at"], got["kept"])] == [plain(q, 4, 20) for q in quals]
+    frame = pd.DataFrame({"sample": [f"s{i % 3}" for i in range(120)], "seq": [None if q is None else "ACgtN"[len(q) % 5] * len(q) for q in quals], "qual": quals})
+    sums = []
+    for most in (10, 64, 1 << 21):
+        out = pd.concat(phred.position_sums(["sample"], ("a", "c", "g", "t"), most)(iter([frame, frame.iloc[:0], frame.iloc[:5]])))
+        sums.append(out.groupby(["sample", "pos"], as_index=False).sum().to_numpy().tolist())
+    assert sums[0] == sums[1] == sums[2] and len(sums[0]) > 1500
