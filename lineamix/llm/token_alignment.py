@@ -25,9 +25,9 @@ from lineamix.llm.common import table, written
 from lineamix.llm.tokens import BYTE_OF, UNSAFE, definition_of
 
 #: Bytes of text whose words and pairs share one numbering.
-CHUNK_BYTES = 20 << 20
+CHUNK_BYTES = 10 << 20
 #: Words that are aligned in one step, and digits of an id at most.
-_AT_ONCE, _DIGITS = 20_000, 6
+_AT_ONCE, _DIGITS = 10_000, 6
 #: An id pair is one number: the first id in the upper bits, the second in the lower.
 _SHIFT = 32
 _SPACE_SIGN = "▁"
