@@ -342,9 +342,9 @@ def vcf_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = called.groupBy("l_partkey").agg(
         F.map_from_entries(F.collect_list(F.struct("l_suppkey", F.concat_ws(":", "n", call)))).alias("cells")
     )
-    # One row: a variant file has all its lineages in its header.
+    # One row, read as a scalar subquery: a variant file has all its lineages in its header.
     names = table(spark, sf_dir, "supplier").agg(F.sort_array(F.collect_list("s_suppkey")).alias("names"))
-    listed = table(spark, sf_dir, "part").join(cells, F.col("p_partkey") == F.col("l_partkey")).join(F.broadcast(names))
+    listed = table(spark, sf_dir, "part").join(cells, F.col("p_partkey") == F.col("l_partkey")).withColumn("names", names.scalar())
     hole = lambda k: F.concat(F.lit(".:"), F.when((F.col("p_partkey") + k) % 10 < 3, "1|1").otherwise("./."))
     written = F.transform("names", lambda k: F.coalesce(F.element_at("cells", k), hole(k)))
     value = F.concat_ws(
