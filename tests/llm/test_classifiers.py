@@ -169,3 +169,38 @@ def test_planted_misspellings_and_quotations(spark):
     scores = [model.scores(toxicity.hit_features(pa.array(some), model.lexicon)) for some in (bent, quoted)]
     assert len(bent) > 50 and (scores[0] >= toxicity.THRESHOLD).mean() >= 0.9
     assert len(quoted) > 500 and (scores[1] < toxicity.THRESHOLD).mean() >= 0.95
+
+
+def test_quality_tables_against_row_by_row_sums():
+    """Vectorised bin additions give what one row after the other gives, edges and pairs included."""
+    from bisect import bisect_right
+
+    pick = np.random.default_rng(5)
+    x = np.round(pick.random((600, 5)) * 6, 1)  # many values stand on an edge
+    y = ((x[:, 0] > 3) ^ (x[:, 1] > 3) ^ (pick.random(600) < 0.1)).astype(float)
+    model = quality.fit(x, y, bins=12, pair_bins=5, rounds=30)
+    assert model.pairs
+    for row, got in zip(x, model.logits(x)):
+        want = model.base
+        for value, edges, table in zip(row, model.edges, model.tables):
+            want += table[bisect_right(edges.tolist(), value)]
+        for (a, b), table in zip(model.pairs, model.pair_tables):
+            want += table[bisect_right(model.pair_edges[a].tolist(), row[a])][bisect_right(model.pair_edges[b].tolist(), row[b])]
+        assert abs(got - want) < 1e-9
+
+
+def test_quality_query_against_single_texts(spark, sf_dir):
+    """The query's scores are those of each text alone, and labels of held-out rows change nothing."""
+    import zlib
+
+    got = {r.doc_id: r for r in quality.quality_classifier(spark, sf_dir).collect()}
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("documents", "labels"))
+    held = quality.remainder(F.col("doc_id"), 4) == 2
+    model = quality.train(docs, labels.withColumn("quality", F.when(held, 1 - F.col("quality")).otherwise(F.col("quality"))), ~held)
+    rows = docs.collect()
+    assert len(rows) == len(got)
+    for r in rows:
+        one = got[r.doc_id]
+        score = float(model.scores(quality.text_features(pa.array([r.text])))[0])
+        assert abs(one.score - score) < 1e-9 and one.predicted == int(score >= quality.THRESHOLD)
+        assert one.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)

@@ -66,3 +66,28 @@ def test_other_names_at_sentence_beginnings_and_many_slots(spark, docs):
     other = dense.replace("Anna", "Emil").replace("Bob", "Fritz").replace("Carl", "Gina").replace("Dora", "Hans").translate(str.maketrans("3579", "4682"))
     got = found(spark, docs, [(1, f"{FILLER} {sold.replace('Natalia', 'Mary')}"), (2, f"{FILLER} {other} {FILLER}"), (3, FILLER)], [(1, sold), (2, dense)])
     assert got.keys() == {(1, 1), (2, 2)} and got[1, 1] >= 1 and got[2, 2] >= 6
+
+
+def test_query_against_containment(spark, sf_dir):
+    """Every document that holds a whole item is found; what is found shares most of the item's words in order."""
+    import difflib
+    import os
+    import re
+
+    from lineamix.llm.decontamination import decontamination
+
+    folder = os.path.join(os.path.dirname(sf_dir), "sf0.01") if os.path.isdir(os.path.join(os.path.dirname(sf_dir), "sf0.01")) else sf_dir
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    items = {r.item_id: r.text for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()}
+    rows = decontamination(spark, folder).collect()
+    got = {(r.doc_id, r.item_id) for r in rows}
+    assert len(rows) == len(got) and got >= {(d, i) for d, t in texts.items() for i, x in items.items() if x and x in t} != set()
+
+    def plain(text):
+        return [re.sub(r"\d+", "#", w.strip(".,;:!?\"'()").lower()) for w in text.split()]
+
+    for d, i in got:
+        doc, item = plain(texts[d]), plain(items[i])
+        same = max((sum(b.size for b in difflib.SequenceMatcher(None, doc[k:k + 2 * len(item)], item, False).get_matching_blocks())
+                    for k in range(0, max(len(doc) - len(item), 1), max(len(item) // 2, 1))), default=0)
+        assert same >= 0.5 * len(item), (d, i)
