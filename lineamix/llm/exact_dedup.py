@@ -29,6 +29,10 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 class DigestIndex:
     """Digests of all documents seen so far, kept at ``path``.
 
+    A digest has one row from the batch that brought it. With ``counted`` batches, those that meet it
+    later add a row each to a second table of the same buckets, so that sizes and largest ids of
+    groups over all batches are an aggregate that moves nothing.
+
     ``buckets`` is fixed when the index is made: choose it so that one bucket of the final index
     fits a task. Opening an existing path again registers the files that are there.
     """
@@ -36,9 +40,12 @@ class DigestIndex:
     def __init__(self, spark: SparkSession, path: str, buckets: int):
         self.spark, self.path, self.buckets = spark, path, buckets
         self.name = f"digest_index_{hashlib.md5(path.encode()).hexdigest()[:16]}"
-        spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {self.name} (digest STRING, keep_id BIGINT, group_size BIGINT)"
-            f" USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS"
+        self._create(self.name, path)
+
+    def _create(self, name: str, path: str) -> None:
+        self.spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {name} (digest STRING, keep_id BIGINT, group_size BIGINT)"
+            f" USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS"
             f" LOCATION '{path}'"
         )
 
@@ -46,30 +53,54 @@ class DigestIndex:
         """The index as a bucketed table: joins on digest do not shuffle it."""
         return self.spark.table(self.name)
 
-    def append(self, seen: DataFrame) -> None:
+    def append(self, seen: DataFrame, counted: bool = False) -> None:
         """Add the digests of ``seen`` (rows of ``digests``) that the index does not have.
 
         A new digest keeps its largest doc_id (NULL only if all its ids are) and its number of
         rows. A digest that is there already stays as it is. Appending the same batch again adds
-        nothing, so a job that was cut off can be repeated.
+        nothing, so a job that was cut off can be repeated. With ``counted``, what the batch has of
+        known digests is noted beside them; such a batch is to be given once.
+
+        The groups are written before they meet the index: otherwise Spark would move the anti-join
+        below the aggregate and send every row of a text that a third of all documents share to one
+        task.
         """
-        groups = seen.groupBy("digest").agg(
+        groups = written(seen.groupBy("digest").agg(
             F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")
-        )
-        fresh = groups.hint("merge").join(self.rows().select("digest"), "digest", "left_anti")
-        fresh = fresh.repartition(self.buckets, "digest").select("digest", "keep_id", "group_size")
-        fresh.write.insertInto(self.name)
-        self.spark.catalog.refreshTable(self.name)
+        ), "groups")
+        if counted:
+            self._insert(self._met(groups, "left_semi"), self._more())
+        self._insert(self._met(groups, "left_anti"), self.name)
+
+    def _met(self, groups: DataFrame, how: str) -> DataFrame:
+        return groups.hint("merge").join(self.rows().select("digest"), "digest", how)
+
+    def _insert(self, rows: DataFrame, name: str) -> None:
+        rows.repartition(self.buckets, "digest").select("digest", "keep_id", "group_size").write.insertInto(name)
+        self.spark.catalog.refreshTable(name)
 
-    def decisions(self, seen: DataFrame) -> DataFrame:
+    def _more(self) -> str:
+        """The table of what later batches had of known digests."""
+        self._create(f"{self.name}_more", f"{self.path}-more")
+        return f"{self.name}_more"
+
+    def totals(self) -> DataFrame:
+        """(digest, keep_id, group_size) over all counted batches."""
+        both = self._read(self.path).unionAll(self._read(f"{self.path}-more"))
+        return both.groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+
+    def _read(self, path: str) -> DataFrame:
+        return self.spark.read.schema(self.rows().schema).parquet(path)
+
+    def decisions(self, seen: DataFrame, groups: DataFrame | None = None) -> DataFrame:
         """(doc_id, keep_id, group_size, kept, text_sha256), a row for each row of ``seen``.
 
         ``kept`` marks the rows whose doc_id is the group's keep_id; rows that repeat both id and
-        text are one document and share the mark. The index is read by path here: both sides are
-        then shuffled and Spark can split the digest of a text that a third of all rows share.
+        text are one document and share the mark. ``groups`` are ``totals``, or the index itself. It
+        is read by path here: both sides are then shuffled and Spark can split the digest of a text
+        that a third of all rows share.
         """
-        index = self.spark.read.schema(self.rows().schema).parquet(self.path)
-        return seen.join(index, "digest").select(
+        return seen.join(self._read(self.path) if groups is None else groups, "digest").select(
             "doc_id", "keep_id", "group_size",
             F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
             F.col("digest").alias("text_sha256"),
@@ -114,8 +145,17 @@ def deduplicate(docs: DataFrame, index: DigestIndex | None = None, id_col: str =
 
 
 def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = written(digests(table(spark, sf_dir, "documents")), "digests")
-    return build_index(seen).decisions(seen)
+    """All documents, given to one index in two batches: the second meets what the first left there.
+
+    The batches are the halves of a hash of the id; every document is in one of them. Groups that
+    reach over both are put together from both tables of the index.
+    """
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
+    seen = written(digests(table(spark, sf_dir, "documents")).withColumn("half", half), "digests")
+    index = DigestIndex(spark, new_folder(spark, "digests"), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    for batch in (0, 1):
+        index.append(seen.where(F.col("half") == batch).drop("half"), counted=True)
+    return index.decisions(seen.drop("half"), written(index.totals(), "totals"))
 
 
 EXACT_DEDUP_SQL = """

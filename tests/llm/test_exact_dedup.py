@@ -40,3 +40,24 @@ def test_index_grows_by_what_is_new(spark, docs, rows):
     assert again.rows().count() == before
     plan = again.rows().join(digests(docs([(1, "a")])).groupBy("digest").count().hint("merge"), "digest")
     assert plan._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(digest") <= 1
+
+
+def test_groups_over_batches_and_plan(spark, docs, rows):
+    """Counted batches add up; the anti-join meets groups, not rows."""
+    index = DigestIndex(spark, new_folder(spark, "index"), 4)
+    seen = [digests(docs(x)) for x in ([(1, "a"), (2, "A"), (3, "b")], [(9, "B"), (5, "c"), (0, "a"), (None, "b")], [(7, "c"), (8, None)])]
+    for batch in seen:
+        index.append(batch, counted=True)
+    every = seen[0].unionAll(seen[1]).unionAll(seen[2])
+    got = rows(index.decisions(every, index.totals()), "doc_id", "keep_id", "group_size", "kept")
+    assert got == rows(build_index(every).decisions(every), "doc_id", "keep_id", "group_size", "kept")
+    assert rows(index.totals(), "keep_id", "group_size") == [(2, 3), (7, 2), (8, 1), (9, 3)]
+    hot = digests(docs([(i, "same") for i in range(500)]))
+    made = []
+    original = DigestIndex._met
+    DigestIndex._met = lambda self, groups, how: made.append(groups.count()) or original(self, groups, how)
+    try:
+        index.append(hot)
+    finally:
+        DigestIndex._met = original
+    assert made == [1]
