@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from lineamix.llm.common import new_folder, table
+from lineamix.llm.common import broadcast_bounded, new_folder, table, written
 from lineamix.llm.tokens import definition_of, encoder, slices
 
 DOCUMENTS_END = 0
@@ -28,6 +28,7 @@ _FILE_TYPE = pa.schema([
 #: Delta encoding belongs to version 2 pages and is what integers get there without a dictionary.
 LAYOUT = {
     "compression": "zstd",
+    "parquet.compression.codec.zstd.level": "1",
     "parquet.writer.version": "PARQUET_2_0",
     "parquet.block.size": str(32 << 20),
     "parquet.page.size": str(256 << 10),
@@ -40,17 +41,17 @@ LAYOUT = {
 def in_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, text) cut into ranges of ascending id (NULL first), sorted inside each range.
 
-    Rows of one id follow each other by text hash; a repeated row is a row of its own. The last
-    key spreads an id that very many rows share; rows it orders differ in nothing else.
+    Rows of one id follow each other by text hash, and by the order of reading where they reach over
+    ranges; a repeated row is a row of its own. Ranges are chosen without reading texts.
     """
     spark = docs.sparkSession
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = docs.select(
         F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"),
-        F.xxhash64(F.col(text_col)).alias("h"), F.monotonically_increasing_id().alias("row"),
+        F.monotonically_increasing_id().alias("row"),
     )
-    keys = ["doc_id", "h", "row"]
-    return keyed.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys).select("doc_id", "text")
+    ranged = keyed.repartitionByRange(ranges, "doc_id", "row").withColumn("h", F.xxhash64("text"))
+    return ranged.sortWithinPartitions("doc_id", "h", "row").select("doc_id", "text")
 
 
 def encode_in_order(docs: DataFrame, definition: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -101,10 +102,14 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _with_start(rows: DataFrame, path: str) -> DataFrame:
-    """Add the ids of earlier files; one row per file passes through one task."""
+    """Add the ids of earlier files; one row per file passes through one task.
+
+    That table is counted and broadcast up to 100,000 files, so ids are not shuffled to be read.
+    """
     files = rows.sparkSession.read.schema(FILE_SCHEMA).parquet(path).groupBy("file_no").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)
     starts = files.select("file_no", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    starts = broadcast_bounded(written(starts, "file-starts"))
     return rows.join(starts, "file_no").withColumn("start", F.col("before") + F.col("first"))
 
 
@@ -125,6 +130,7 @@ def checksums(tokens: DataFrame) -> DataFrame:
 
 
 def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents, written and read back from their files, as checksums."""
     import public_tokenizers
 
     path = new_folder(spark, "tokens")

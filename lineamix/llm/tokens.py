@@ -7,6 +7,7 @@ library gives for the whole text.
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 from array import array
@@ -21,9 +22,14 @@ import pyarrow.compute as pc
 _WHITE = r"\t\n\v\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 #: A space next to other white space: there a cut before the space is not safe.
 UNSAFE = f"[{_WHITE} ] | [{_WHITE}]"
-#: Letters up to U+00FF (after a space) are one pre-token, and a closing sign after them is another.
-_LATIN = re.compile(r"[ A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
-_CLOSING = frozenset(".,;:!?")
+#: Words of which the pre-tokens are plain: letters up to U+00FF, runs of signs, single line breaks.
+#: No apostrophe is among the signs, as it may begin a pre-token with letters, nor the sign with
+#: which added tokens begin.
+_LETTERS, _SIGNS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:;=-@\[-`{-~"
+_PLAIN = re.compile(rf" ?(?:[{_LETTERS}{_SIGNS}]|\n(?=[{_LETTERS}{_SIGNS}]))+\n?").fullmatch
+_PIECES = re.compile(rf" ?[{_LETTERS}]+| ?[{_SIGNS}]+|\n").findall
+#: Ends of sentences, perhaps before closing quotes and brackets.
+_CLOSES = r"""[.!?…\n]["')\]]*\z"""
 
 
 def _byte_letters() -> list[str]:
@@ -39,9 +45,9 @@ _SPACE = _LETTER_OF[0x20]
 
 
 class Encoder:
-    """Encodes Arrow string arrays; remembers up to ``cache_words`` words, then starts afresh."""
+    """Encodes Arrow string arrays; remembers up to ``cache_words`` words, the latest half at least."""
 
-    def __init__(self, definition: str, cache_words: int = 700_000):
+    def __init__(self, definition: str, cache_words: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
@@ -54,7 +60,9 @@ class Encoder:
         #: White space belongs to no token.
         self.dropping = [s["type"] for s in steps] == ["Split", "ByteLevel"] and steps[0]["behavior"] == "Removed"
         self.lower = any(n["type"] == "Lowercase" for n in (normal or {}).get("normalizers", []))
+        #: Words seen lately, and those of the time before: what is seen again moves to the first.
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.cache_words = cache_words
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -102,40 +110,59 @@ class Encoder:
         after = np.concatenate([[0], np.cumsum(size[codes])])
         ends = np.zeros(0, np.int64)
         if not space:
-            closing = np.fromiter((bool(_closes(w)) for w in different), bool, len(different))
+            closing = pc.match_substring_regex(coded.dictionary, _CLOSES).to_numpy(zero_copy_only=False)
             ends = after[1:][closing[codes]]
         return ids, after[begin], ends
 
     def _ids_of(self, words: list[str]) -> list[bytes]:
         """Ids of each word as 32-bit numbers."""
+        if len(self.cache) > self.cache_words // 2:
+            self.cache, self.older = {}, self.cache
         cache = self.cache
-        if len(cache) + len(words) > self.cache_words:
-            cache.clear()
         found = list(map(cache.get, words))
-        known, hard = self.tokenizer_ids, []
-        for i, ids in enumerate(found):
-            if ids is not None:
-                continue
+        # No cycles are made here, and looking for them among so many strings takes a tenth of the time.
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            self._look_up(words, found)
+        finally:
+            if collecting:
+                gc.enable()
+        return found
+
+    def _look_up(self, words: list[str], found: list[bytes | None]) -> None:
+        """Fill in what the cache did not have."""
+        cache, older = self.cache, self.older
+        known, hard, dropping = self.tokenizer_ids, [], self.dropping
+        for i in [i for i, ids in enumerate(found) if ids is None]:
             word = words[i]
-            if word.isalpha() or (self.leading and word[:1] == " " and word[1:].isalpha()):
-                if word.isascii() or _LATIN(word):
-                    found[i] = cache[word] = known(word)
-                    continue
-            elif word[-1:] in _CLOSING and (base := cache.get(word[:-1])) is not None and word[-2].isalpha():
-                found[i] = cache[word] = base + known(word[-1])
-                continue
-            hard.append(i)
+            if (ids := older.get(word)) is not None:
+                found[i] = cache[word] = ids
+            elif (word[1:] if word[:1] == " " else word).isalpha() and (word.isascii() or _PLAIN(word)):
+                found[i] = cache[word] = known(word)
+            elif _PLAIN(word):
+                ids = b""
+                for piece in _PIECES(word):
+                    part = cache.get(piece)
+                    if part is None:
+                        part = older.get(piece)
+                        if part is None:
+                            part = b"" if dropping and piece == "\n" else known(piece)
+                        cache[piece] = part
+                    ids += part
+                found[i] = cache[word] = ids
+            else:
+                hard.append(i)
         if hard:
             encoded = self.tokenizer.encode_batch_fast([words[i] for i in hard], add_special_tokens=False)
             for i, e in zip(hard, encoded):
                 found[i] = cache[words[i]] = array("I", e.ids).tobytes()
-        return found
 
     def tokenizer_ids(self, word: str) -> bytes:
-        """Ids of one pre-token: letters, perhaps after a space, or one closing sign."""
+        """Ids of one pre-token: letters or signs, perhaps after a space, or a line break."""
         if self.lower:
             word = word.lower()
-        if not word.isascii():
+        if not word.isascii() or word == "\n":
             word = "".join(map(_LETTER_OF.__getitem__, word.encode()))
         elif word[0] == " ":
             word = _SPACE + word[1:]
@@ -148,11 +175,6 @@ def _content(values: pa.Array) -> memoryview | bytes:
     return memoryview(values.buffers()[2])[offsets[0]:offsets[-1]] if len(values) and offsets[-1] > offsets[0] else b""
 
 
-def _closes(word: str) -> bool:
-    tail = word.rstrip("\"')]")
-    return tail[-1:] in (".", "!", "?", "…", "\n")
-
-
 @lru_cache(maxsize=4)
 def encoder(definition: str) -> Encoder:
     """One encoder per Python worker and definition."""

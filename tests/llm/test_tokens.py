@@ -29,6 +29,20 @@ def test_ids_of_whole_texts(name):
             assert ids[at[i]:at[i + 1]].tolist() == whole.encode(t or "", add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_ids_of_random_texts(name):
+    import random
+    pick = random.Random(1)
+    pieces = [" ", " ", " ", "a", "Word", "été", "ß", "'", "'s", ".", ",", "$$$", "%", "\n", "\n", "12", "_", "-", "日", "(x)", "…", "’t", "ÿ", "×", "[", "\\", "^", "`", "~"]
+    words, whole = Encoder(definition_of(P.path(name)), cache_words=400), Tokenizer.from_file(P.path(name))
+    texts = ["".join(pick.choices(pieces, k=pick.randint(1, 30))) for _ in range(3000)]
+    for begin in range(0, len(texts), 300):
+        some = texts[begin:begin + 300]
+        ids, at, _ = words.encode(pa.array(some, pa.string()))
+        for i, t in enumerate(some):
+            assert ids[at[i]:at[i + 1]].tolist() == whole.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def _expected(rows, name, end):
     whole = Tokenizer.from_file(P.path(name))
     return [(i, np.array(whole.encode(t or "", add_special_tokens=False).ids + [end], "<u4")) for i, t in rows]
