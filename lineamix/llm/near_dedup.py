@@ -29,8 +29,11 @@ BLOCK = 1024
 SMALLEST = 1024
 SET_KEYS = ["f1", "f2", "n"]
 
-SIGNATURES = "doc_id bigint, n bigint, f1 bigint, f2 bigint, registers binary"
-_SIGNATURE_TYPE = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("registers", pa.binary())])
+#: ``h`` is a hash of the text: it tells apart texts that share a doc_id.
+SIGNATURES = "doc_id bigint, n bigint, f1 bigint, f2 bigint, registers binary, h bigint"
+_SIGNATURE_TYPE = pa.schema([
+    ("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("registers", pa.binary()), ("h", pa.int64()),
+])
 _PAIR_TYPE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -45,11 +48,16 @@ def signatures(docs: DataFrame, width: int = WIDTH, count: int = REGISTERS, id_c
                 reg = sh.registers(sets, count)
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(marks[:, 0]), pa.array(marks[:, 1]),
-                    pa.array([r.tobytes() for r in reg], pa.binary()),
+                    pa.array([r.tobytes() for r in reg], pa.binary()), part.column(2),
                 ], schema=_SIGNATURE_TYPE)
 
-    wanted = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    return wanted.mapInArrow(sign, SIGNATURES)
+    return _identified(docs, id_col, text_col).mapInArrow(sign, SIGNATURES)
+
+
+def _identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(
+        F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("h")
+    )
 
 
 def _bands(classes: DataFrame, bands: int, width: int) -> DataFrame:
@@ -235,17 +243,30 @@ def near_duplicates(
 
     Documents are linked if 100 * intersection >= percent * union of their shingle sets, confirmed
     on the whole sets. The component's id is the smallest doc_id that links reach, and that
-    document is kept. A text without words is linked with nothing. Rows that repeat a doc_id are
-    one document; a row with a NULL id is linked with nothing and kept, its component NULL. A link
-    is missed only if no band of registers agrees, less than once in a million links.
+    document is kept. A text without words is linked with nothing. Rows that repeat id and text are
+    one document, rows of one id with other texts are judged by their texts; a row with a NULL id is
+    linked with nothing and kept, its component NULL. A link is missed if no band of registers
+    agrees (less than once in a million links), or if the estimate from registers or, between sets
+    of more than ``SMALLEST`` shingles, from their smallest ones falls five deviations short of the
+    similarity: each less than once in a million links, and only until another pair joins the two.
     """
-    spark, similarity = docs.sparkSession, percent / 100
+    return _decisions(docs, percent, width, count, id_col, text_col).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _decisions(docs: DataFrame, percent: int, width: int, count: int, id_col: str, text_col: str) -> DataFrame:
+    """``near_duplicates`` with the hash of each row's text.
+
+    Classes have numbers of their own, given when they are written: texts of one doc_id may be in
+    different classes.
+    """
+    similarity = percent / 100
     bands, band_width = sh.band_plan(count, similarity)
     signed = written(signatures(docs, width, count, id_col, text_col), "signatures")
     usable = signed.where("n > 0 AND doc_id IS NOT NULL")
-    classes = written(
-        usable.groupBy(*SET_KEYS).agg(F.min("doc_id").alias("rep"), F.first("registers").alias("registers")), "classes"
-    )
+    classes = usable.groupBy(*SET_KEYS).agg(F.min(F.struct("doc_id", "h")).alias("least"), F.first("registers").alias("registers"))
+    classes = written(classes.select(
+        *SET_KEYS, "least.doc_id", "least.h", "registers", F.monotonically_increasing_id().alias("rep")
+    ), "classes")
     keyed = written(_bands(classes, bands, band_width), "bands")
     buckets = keyed.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last"), F.count(F.lit(1)).alias("size")).where("size > 1")
     members = written(keyed.join(buckets, "key"), "members")
@@ -254,9 +275,9 @@ def near_duplicates(
         members.where("rep <> last AND hub <> rep").select("rep", "last")
     )
     first = written(_likely(spokes.distinct(), classes, similarity), "pairs")
-    needed = members.select(F.col("rep").alias("doc_id")).distinct()
-    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    texts = written(texts.join(needed, "doc_id").dropDuplicates(["doc_id"]), "texts")
+    needed = classes.select("rep", "doc_id", "h").join(members.select("rep").distinct(), "rep", "left_semi")
+    texts = _identified(docs, id_col, text_col).join(needed, ["doc_id", "h"])
+    texts = written(texts.select(F.col("rep").alias("doc_id"), "text").dropDuplicates(["doc_id"]), "texts")
     links = written(_confirmed(first, texts, width, (percent, 100)), "links")
 
     joined = written(components(links), "components")
@@ -271,23 +292,28 @@ def near_duplicates(
     links = links.union(written(_confirmed(more, texts, width, (percent, 100)), "links"))
 
     final = written(components(links), "components")
-    named = classes.select(*SET_KEYS, "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left")
-    named = written(named.select(*SET_KEYS, F.coalesce("component", "rep").alias("component_id")), "named")
-    decided = signed.select("doc_id", *SET_KEYS).join(named, SET_KEYS, "left")
+    named = classes.select(*SET_KEYS, "rep", "doc_id").join(final.withColumnRenamed("node", "rep"), "rep", "left")
+    named = written(named.select(*SET_KEYS, "doc_id", F.coalesce("component", "rep").alias("component")), "named")
+    smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    decided = signed.select("doc_id", "h", *SET_KEYS).join(
+        named.join(smallest, "component").select(*SET_KEYS, "component_id"), SET_KEYS, "left"
+    )
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return decided.select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id")
+        "doc_id", "h", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id")
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def deduplicate(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with all their columns: one of each component, the smallest id."""
-    dropped = near_duplicates(docs, percent, id_col=id_col, text_col=text_col).where("NOT kept").select(F.col("doc_id").alias("__dropped"))
-    gone = written(dropped.distinct(), "dropped")
-    return docs.join(gone, F.col(id_col) == F.col("__dropped"), "left_anti")
+    dropped = _decisions(docs, percent, WIDTH, REGISTERS, id_col, text_col).where("NOT kept")
+    gone = written(dropped.select(F.col("doc_id").alias("__dropped"), F.col("h").alias("__text")).distinct(), "dropped")
+    same = (F.col(id_col).cast("bigint") == F.col("__dropped")) & (F.xxhash64(F.col(text_col)) == F.col("__text"))
+    return docs.join(gone, same, "left_anti")
 
 
 def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicates of all documents at a similarity of 0.85."""
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 

@@ -101,3 +101,14 @@ def test_shingles_of_whole_texts():
     assert [len(s) for s in sets] == [2, 2, 1, 0, 0, 1, 1]
     assert (sets[0] == sets[1]).all()
     assert sh.fingerprint(sets[0]) == sh.fingerprint(sets[1]) != sh.fingerprint(sets[2])
+
+
+def test_texts_that_share_a_doc_id(spark, docs):
+    """A link of the second text of an id counts, whatever text of the id comes first."""
+    a, b = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    for order in ([(1, a), (2, b), (2, a + " more")], [(2, a + " more"), (1, a), (2, b)], [(1, a), (2, a + " more"), (2, b), (3, b + " x"), (2, b)]):
+        got = near_dedup.near_duplicates(docs(order), 85).collect()
+        of = {(r.doc_id, r.n_shingles): (r.component_id, r.kept) for r in got}
+        assert len(got) == len(order) and of[2, 57] == (1, False) and of[1, 56] == (1, True) and of[2, 56] == (2, True)
+        kept = {(r.doc_id, r.text) for r in near_dedup.deduplicate(docs(order), 85).collect()}
+        assert kept == {(1, a), (2, b)}
