@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lineamix.functions.hashing import HASH_SPACE, hash52
-from lineamix.session import durable
+from lineamix.operators.prefix import running_sum
 
 # Slots per power of two in value_bucket: under 0.1 % of the value range each.
 MANTISSA_SLOTS = 1024
@@ -41,11 +41,6 @@ def value_bucket(value: Column) -> Column:
     return F.coalesce(signed, F.lit(0).cast("bigint"))
 
 
-def text_bucket(text: Column, length: int = 3) -> Column:
-    """Leading characters: grows with the text in binary order."""
-    return F.coalesce(F.substring(text, 1, length), F.lit(""))
-
-
 def hash_bucket(hash_col: Column, buckets: int) -> Column:
     """Equal slices of the hash range; grows with the hash."""
     slice_no = F.floor(hash_col / F.lit(float(HASH_SPACE // buckets))).cast("int")
@@ -110,13 +105,6 @@ def running_total(
     )
 
 
-def positions(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, out: str = "position"
-) -> DataFrame:
-    """Row number from 1 by ``keys`` in ``order`` (a total order)."""
-    return running_total(df, keys, order, bucket, F.lit(1).cast("bigint"), out)
-
-
 def average_ranks(cells: DataFrame, keys: Sequence[str], value: str, weight: str) -> DataFrame:
     """Centred average rank of each distinct value, by group.
 
@@ -186,28 +174,10 @@ def sort_positions(
 ) -> DataFrame:
     """Global sort position over any order, without one task seeing all rows.
 
-    Equal rows become one row with ``copies``; ``first_position`` counts from 1. The
-    range partitions are written to the checkpoint folder first, so that a lost
-    executor cannot move a boundary between the two passes.
+    Equal rows become one row with ``copies``; ``first_position`` counts from 1. Nothing runs before
+    the result is asked for, and nothing but the sorted rows is written.
     """
-    if partitions is None:
-        partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rest = [c for c in df.columns if c not in order]
-    keys = [*order, *rest]
+    keys = [*order, *(c for c in df.columns if c not in order)]
     runs = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies"))
-    blocks = durable(
-        runs.repartitionByRange(partitions, *keys).withColumn("_block", F.spark_partition_id())
-    )
-    sums = blocks.groupBy("_block").agg(F.sum("copies").alias("_sum"))
-    # One row per partition, so this window stays small.
-    before = W.orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sums.select("_block", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
-    inside = W.partitionBy("_block").orderBy(*keys).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return (
-        blocks.join(offsets, "_block")
-        .withColumn(
-            "first_position",
-            F.col("_before") + F.sum("copies").over(inside) - F.col("copies") + 1,
-        )
-        .drop("_block", "_before")
-    )
+    placed = running_sum(runs, [], keys, F.col("copies"), "_upto", partitions)
+    return placed.withColumn("first_position", F.col("_upto") - F.col("copies") + 1).drop("_upto")

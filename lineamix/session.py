@@ -1,11 +1,11 @@
-"""Session settings the operators rely on, and durable cuts of the lineage."""
+"""Session settings the operators rely on, and the folder that all executors share."""
 
 from __future__ import annotations
 
 import tempfile
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Runtime settings only: nothing here needs a new session. Joins carry no
 # broadcast hints; adaptive execution measures each side after its shuffle and
@@ -57,14 +57,3 @@ def shared_folder(spark: SparkSession) -> str:
 @lru_cache(maxsize=None)
 def _local_folder(application: str) -> str:
     return tempfile.mkdtemp(prefix=f"lineamix-{application}-")
-
-
-def durable(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in the shared folder.
-
-    Without ``eager`` the first action writes it; its partitions are fixed at once.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=eager)
