@@ -70,18 +70,21 @@ def recode(value: Column, mapping: dict[str, str] | None = None) -> Column:
     return value if chain is None else chain.otherwise(value)
 
 
+def _run_key(run: Column) -> Column:
+    """A run of digits as the number of its digits and the digits, without leading zeros; others as they are.
+
+    Plain comparisons and trims: this is worked out for each run of each name.
+    """
+    digits = F.coalesce(F.nullif(F.ltrim(run, F.lit("0")), F.lit("")), F.lit("0"))
+    keyed = F.concat(F.lpad(F.length(digits).cast("string"), 6, "0"), digits)
+    return F.when((run >= "0") & (run < ":"), keyed).otherwise(run)
+
+
 def natural_key(text: Column) -> Column:
     """Sortable array in which digit runs compare as integers of any length."""
     runs = F.regexp_extract_all(text, F.lit(r"(\d+|\D+)"), 1)
-
-    def piece(run: Column) -> Column:
-        digits = F.regexp_replace(run, r"^0+(?=\d)", "")
-        return F.when(
-            run.rlike(r"^\d"), F.concat(F.lpad(F.length(digits).cast("string"), 6, "0"), digits)
-        ).otherwise(run)
-
     lead = F.when(text.rlike(r"^\d"), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
-    return F.concat(lead, F.transform(runs, piece))
+    return F.concat(lead, F.transform(runs, _run_key))
 
 
 def natural_text(text: Column) -> Column:
@@ -93,12 +96,7 @@ def natural_text(text: Column) -> Column:
     partitioning can cut between any two of them.
     """
     runs = F.regexp_extract_all(text, F.lit(r"(\d+|\D+)"), 1)
-
-    def piece(run: Column) -> Column:
-        digits = F.regexp_replace(run, r"^0+(?=\d)", "")
-        return F.when(run.rlike(r"^\d"), F.concat(F.lpad(F.length(digits).cast("string"), 6, "0"), digits)).otherwise(run)
-
-    return F.array_join(F.transform(runs, piece), "")
+    return F.array_join(F.transform(runs, _run_key), "")
 
 
 def numeric_suffix(text: Column) -> Column:

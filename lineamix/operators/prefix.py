@@ -125,7 +125,8 @@ def running_sum(
 
     Rows that ``order`` leaves tied follow each other by a hash of the row; rows that are equal in
     every column stay in one range. NULL keys are a group, NULL values count 0, empty tables stay
-    empty. Whole numbers are summed as bigint, others as double.
+    empty. Whole numbers are summed as bigint, others as double. ``order`` should name columns, or
+    their ``F.desc``: a sort works out an expression again in each of its comparisons.
     """
     whole = df.select(value.alias("v")).schema["v"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
     kind = T.LongType() if whole else T.DoubleType()

@@ -510,7 +510,9 @@ def name_order(s, d):
     """Alignments in the order of their names, over all samples, with their place."""
     name = F.concat(F.lit("r"), F.col("qname"), F.when(F.col("flag") % 128 < 64, ".02").otherwise(".1"), F.lit("/"), F.length("qname"))
     named = views.reads(s, d).select("sample", name.alias("name"), "flag", "start", "end")
-    ordered = prefix.positions(named, [], [names.natural_text(F.col("name")), "name", "flag", "sample", "start", "end"])
+    # As a column: a sort works an expression out again in each of its comparisons.
+    keyed = named.withColumn("_natural", names.natural_text(F.col("name")))
+    ordered = prefix.positions(keyed, [], ["_natural", "name", "flag", "sample", "start", "end"])
     return ordered.groupBy("name").agg(F.min("position").alias("first"), F.max("position").alias("last"))
 
 

@@ -1,12 +1,15 @@
 """Running sums over ranges that are cut anywhere."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from lineamix.functions import names
 from lineamix.operators import prefix
 from lineamix.plans import studies
+from lineamix.plans.catalog import QUERIES
 from tests.test_skew import final_plan, small_pieces
 
 
@@ -97,3 +100,26 @@ def test_intervals_against_all_pairs(spark):
                     best = max(best, min(ge, e) - s)
         want[n] = best
     assert {x.qname: x.clip for x in intervals.clip_lengths(r, g).collect()} == want
+
+
+def test_name_order_sorts_by_columns(spark, tmp_path):
+    """A sort that holds the expression of the natural order works it out again in each comparison."""
+    rows = [(o, p, 1, 1 + o % 3, 4.0, 0.0 if o % 5 == 0 else 0.1, "F") for o in (1, 2, 9, 10, 11, 100, 2) for p in (1, 2)]
+    columns = "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_discount double, l_linestatus string"
+    spark.createDataFrame(rows, columns).write.parquet(str(tmp_path / "lineitem.parquet"))
+    out = QUERIES["name_order"](spark, str(tmp_path))
+    got = {r.name: (r.first, r.last) for r in out.collect()}
+    assert [n for n, _ in sorted(got.items(), key=lambda x: x[1])] == ["r1.02/1", "r2.1/1", "r9.1/1", "r10.02/2", "r11.1/2", "r100.02/3"]
+    assert got["r2.1/1"] == (3, 6)
+    sorts = [line for line in final_plan(out).split("\n") if "Sort [" in line or "rangepartitioning(" in line]
+    assert sorts and not any("regexp" in line or "transform" in line for line in sorts)
+
+
+def test_natural_text_of_odd_names(spark):
+    odd = ["", "0", "000", "007x", "x0", "x00.10", "é9", "9é", ":1", "/1", "12345678901234567890123", "a:b", "-", "٣4"]
+
+    def plain(text):
+        return "".join(f"{len(r.lstrip('0') or '0'):06d}{r.lstrip('0') or '0'}" if r[0] in "0123456789" else r for r in re.findall("[0-9]+|[^0-9]+", text))
+
+    df = spark.createDataFrame([(x,) for x in odd], "name string")
+    assert {r.name: r.key for r in df.select("name", names.natural_text(F.col("name")).alias("key")).collect()} == {x: plain(x) for x in odd}
