@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 
 OFFSET = 33
@@ -120,42 +122,106 @@ def _pieces(batch: pd.DataFrame, most: int) -> Iterator[tuple[pd.DataFrame, int]
             yield part.assign(seq=seq.iloc[begin][at:at + most], qual=qual.iloc[begin][at:at + most]), at
 
 
-def position_sums(keys: list[str], bases: tuple[str, ...], most: int = MOST_BASES):
-    """Function for mapInPandas: per position, reads, score sums and base counts of some reads.
+#: The same for sums per position, which hold some arrays of numbers per base.
+SUMMED_BASES = 1 << 19
+#: Positions whose sums are held before they leave, and rows that leave at once.
+HELD, LEAVING = 1 << 20, 1 << 16
 
-    One row leaves per key and position of reads with ``most`` bases together, not one per base.
+
+def position_sums(keys: list[str], bases: tuple[str, ...], most: int = SUMMED_BASES):
+    """Function of frames: per position, reads, score sums and base counts of some reads.
+
+    Sums are held over frames, at most ``HELD`` positions and those of ``most`` bases, and leave in
+    frames of about ``LEAVING`` rows: what is held depends neither on the rows nor on their lengths.
     """
     codes_of = [(b, {ord(b.lower()), ord(b.upper())}) for b in bases]
+    measures = ["reads", "scored", "score_sum", *(f"n_{b}" for b in bases)]
+
+    def counted(batch: pd.DataFrame) -> Iterator[tuple[tuple, np.ndarray]]:
+        """Each key of a piece and its sums, a row per measure and a column per position."""
+        groups = batch.groupby(keys, sort=False, dropna=False)
+        owner_key = groups.ngroup().to_numpy()
+        names = batch[keys].iloc[np.unique(owner_key, return_index=True)[1]]
+        flat = [flatten(batch[c].fillna("")) for c in ("seq", "qual")]
+        longest = np.maximum(flat[0][1], flat[1][1])
+        spans = np.zeros(len(names), dtype=np.int64)
+        np.maximum.at(spans, owner_key, longest)
+        base = np.concatenate([[0], np.cumsum(spans)])
+        size = int(base[-1])
+
+        def slots(lengths: np.ndarray) -> np.ndarray:
+            starts = np.cumsum(lengths) - lengths
+            inside = np.arange(lengths.sum()) - np.repeat(starts, lengths)
+            return np.repeat(base[owner_key], lengths) + inside
+
+        (seq, seq_len), (qual, qual_len) = flat
+        seq_slots, qual_slots = slots(seq_len), slots(qual_len)
+        table = np.empty((len(measures), size), np.int64)
+        table[0] = np.bincount(slots(longest), minlength=size)
+        table[1] = np.bincount(qual_slots, minlength=size)
+        table[2] = np.bincount(qual_slots, weights=qual.astype(np.float64) - OFFSET, minlength=size)
+        for i, (_, codes) in enumerate(codes_of, 3):
+            table[i] = np.bincount(seq_slots[np.isin(seq, list(codes))], minlength=size)
+        for k, name in enumerate(names.itertuples(index=False, name=None)):
+            yield tuple(None if pd.isna(v) else v for v in name), table[:, base[k]:base[k + 1]]
+
+    def leaving(held: dict[tuple, np.ndarray]) -> Iterator[pd.DataFrame]:
+        def frame(some: list[tuple]) -> pd.DataFrame:
+            sizes = [held[s].shape[1] for s in some]
+            table = np.concatenate([held.pop(s) for s in some], axis=1)
+            out = pd.DataFrame({
+                name: pd.Series([key[i] for key, _ in some], dtype=object).repeat(sizes).to_numpy() for i, name in enumerate(keys)
+            })
+            out["pos"] = np.concatenate([np.arange(before + 1, before + n + 1) for (_, before), n in zip(some, sizes)]).astype(np.int32)
+            for name, values in zip(measures, table):
+                out[name] = values
+            return out[out["reads"] > 0]
+
+        some, rows = [], 0
+        for slot in list(held):
+            some.append(slot)
+            rows += held[slot].shape[1]
+            if rows >= LEAVING:
+                yield frame(some)
+                some, rows = [], 0
+        if some:
+            yield frame(some)
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, np.ndarray] = {}
+        size = 0
         for batch, before in (piece for whole in batches if len(whole) for piece in _pieces(whole, most)):
-            groups = batch.groupby(keys, sort=False, dropna=False)
-            owner_key = groups.ngroup().to_numpy()
-            names = batch[keys].iloc[np.unique(owner_key, return_index=True)[1]]
-            flat = [flatten(batch[c].fillna("")) for c in ("seq", "qual")]
-            longest = np.maximum(flat[0][1], flat[1][1])
-            spans = np.zeros(len(names), dtype=np.int64)
-            np.maximum.at(spans, owner_key, longest)
-            base = np.concatenate([[0], np.cumsum(spans)])
-            size = int(base[-1])
-
-            def slots(lengths: np.ndarray) -> np.ndarray:
-                starts = np.cumsum(lengths) - lengths
-                inside = np.arange(lengths.sum()) - np.repeat(starts, lengths)
-                return np.repeat(base[owner_key], lengths) + inside
-
-            (seq, seq_len), (qual, qual_len) = flat
-            seq_slots, qual_slots = slots(seq_len), slots(qual_len)
-            group = np.repeat(np.arange(len(names)), spans)
-            out = names.iloc[group].reset_index(drop=True)
-            out["pos"] = (np.arange(size) - base[group] + 1 + before).astype(np.int32)
-            out["reads"] = np.bincount(slots(longest), minlength=size)
-            out["scored"] = np.bincount(qual_slots, minlength=size)
-            scores = qual.astype(np.float64) - OFFSET
-            out["score_sum"] = np.bincount(qual_slots, weights=scores, minlength=size).astype(np.int64)
-            for name, codes in codes_of:
-                hit = np.isin(seq, list(codes))
-                out[f"n_{name}"] = np.bincount(seq_slots[hit], minlength=size)
-            yield out[out["reads"] > 0]
+            for key, found in counted(batch):
+                known = held.get((key, before))
+                if known is None or known.shape[1] < found.shape[1]:
+                    size += found.shape[1] - (0 if known is None else known.shape[1])
+                    grown = found.copy()
+                    if known is not None:
+                        grown[:, :known.shape[1]] += known
+                    held[key, before] = grown
+                else:
+                    known[:, :found.shape[1]] += found
+            if size > HELD:
+                yield from leaving(held)
+                size = 0
+        yield from leaving(held)
 
     return sums
+
+
+def by_slices(sums, schema: pa.Schema, most: int = SUMMED_BASES):
+    """Function for mapInArrow: ``sums`` of frames with about ``most`` bytes of seq and qual.
+
+    A batch has as many bytes as Spark gives it; only a slice of it becomes Python texts at once.
+    """
+    def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sizes = [pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False) for c in ("seq", "qual")]
+            for begin, end in parts(np.maximum(*sizes), most):
+                yield batch.slice(begin, end - begin).to_pandas()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in sums(frames(batches)):
+            yield pa.RecordBatch.from_pandas(out, schema=schema, preserve_index=False)
+
+    return run

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from lineamix.functions import phred
 from lineamix.operators.ordering import attach
@@ -113,14 +113,15 @@ BASES = ("a", "c", "g", "t")
 def read_qc(reads: DataFrame, keys: Sequence[str] = ("sample",)) -> DataFrame:
     """Mean quality, reads and base counts by position.
 
-    Each batch of reads is reduced to sums per position before the shuffle.
+    Reads are reduced to sums per position before the shuffle, some of them at a time.
     """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
     names = list(keys)
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in reads.select(*names).schema)
-    counts = ", ".join(f"n_{b} bigint" for b in BASES)
-    partial = reads.select(*names, "seq", "qual").mapInPandas(
-        phred.position_sums(names, BASES),
-        f"{fields}, pos int, reads bigint, scored bigint, score_sum bigint, {counts}",
+    counts = [T.StructField(c, T.LongType()) for c in ("reads", "scored", "score_sum", *(f"n_{b}" for b in BASES))]
+    schema = T.StructType([*reads.select(*names).schema.fields, T.StructField("pos", T.IntegerType()), *counts])
+    partial = reads.select(*names, "seq", "qual").mapInArrow(
+        phred.by_slices(phred.position_sums(names, BASES), to_arrow_schema(schema)), schema
     )
     return partial.groupBy(*names, "pos").agg(
         F.try_divide(F.sum("score_sum"), F.sum("scored")).alias("mean_quality"),

@@ -192,3 +192,33 @@ def test_kernels_do_not_depend_on_where_reads_are_cut():
         out = pd.concat(phred.position_sums(["sample"], ("a", "c", "g", "t"), most)(iter([frame, frame.iloc[:0], frame.iloc[:5]])))
         sums.append(out.groupby(["sample", "pos"], as_index=False).sum().to_numpy().tolist())
     assert sums[0] == sums[1] == sums[2] and len(sums[0]) > 1500
+
+
+def test_position_sums_hold_little_whatever_comes(monkeypatch):
+    """Frames that leave are small, and all of them together add up, however many keys and lengths come."""
+    import numpy as np
+    import pandas as pd
+
+    from lineamix.functions import phred
+
+    monkeypatch.setattr(phred, "LEAVING", 300, raising=False)
+    monkeypatch.setattr(phred, "HELD", 900, raising=False)
+    lengths = [(7 * i) % 200 for i in range(400)]
+    frame = pd.DataFrame({"sample": [None if i % 9 == 0 else f"s{i % 7}" for i in range(400)], "seq": ["A" * n for n in lengths], "qual": ["5" * n for n in lengths]})
+    outs = list(phred.position_sums(["sample"], ("a", "c", "g", "t"), 500)(frame.iloc[i:i + 50] for i in range(0, 400, 50)))
+    assert max(map(len, outs)) <= 300 + 200
+    got = pd.concat(outs).groupby(["sample", "pos"], dropna=False)["n_a"].sum()
+    want = pd.DataFrame({"sample": np.repeat(frame["sample"], lengths), "pos": np.concatenate([np.arange(1, n + 1) for n in lengths])})
+    assert got.sum() == sum(lengths) and sorted(got) == sorted(want.groupby(["sample", "pos"], dropna=False).size())
+
+
+def test_read_qc_of_null_keys_and_other_letters(spark):
+    df = spark.createDataFrame(
+        [(None, 1, "aCé", "5~5"), (None, 1, "G", "é"), ("s", None, None, None), ("s", None, "t", None), ("s", 2, "", "II")],
+        "sample string, mate int, seq string, qual string",
+    )
+    got = {(r["sample"], r.mate, r.pos): (r.n_reads, r.mean_quality, r.n_a, r.n_c, r.n_g, r.n_t) for r in reads.read_qc(df, ["sample", "mate"]).collect()}
+    assert got == {
+        (None, 1, 1): (2, (20 + 233 - 33) / 2, 1, 0, 1, 0), (None, 1, 2): (1, 93.0, 0, 1, 0, 0), (None, 1, 3): (1, 20.0, 0, 0, 0, 0),
+        ("s", None, 1): (1, None, 0, 0, 0, 1), ("s", 2, 1): (1, 40.0, 0, 0, 0, 0), ("s", 2, 2): (1, 40.0, 0, 0, 0, 0),
+    }
