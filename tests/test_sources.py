@@ -366,3 +366,16 @@ def test_variant_lines_of_few_files_are_not_moved(spark, tmp_path):
     exchanges = [line for line in plan.split("\n") if "Exchange hashpartitioning(file" in line]
     assert "element_at" not in final_plan(found) and "xxhash64" in final_plan(found) and not any("cells" in line or "_tag" in line for line in exchanges)
     assert final_plan(out).count("SortMergeJoin [file") <= 1
+
+
+def test_line_items_without_a_supplier_are_an_error(spark, tmp_path):
+    from lineamix.sources import views
+
+    for name, rows, columns in (
+        ("lineitem", [(1, 3, "R"), (1, None, "R")], "l_partkey bigint, l_suppkey bigint, l_returnflag string"),
+        ("supplier", [(3,)], "s_suppkey bigint"), ("part", [(1, 9, "T")], "p_partkey bigint, p_size int, p_type string"),
+    ):
+        spark.createDataFrame(rows, columns).write.parquet(str(tmp_path / f"{name}.parquet"))
+    views.forget_tables()
+    with pytest.raises(Exception, match="line items without a supplier"):
+        views.vcf_lines(spark, str(tmp_path)).collect()
