@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lineamix.llm import decontamination, exact_dedup, near_dedup, packing, quality
 from lineamix.llm.common import table, written
 from lineamix.llm.tokens import definition_of
+from lineamix.session import small_batches
 
 TOKENIZER = "word_bpe_49k.json"
 DOCUMENT_END = 1
@@ -20,6 +21,7 @@ ORACLE_SQL = None
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality classifier: documents that it rejects go."""
+    small_batches(spark)
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
@@ -30,16 +32,19 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """MinHash near-dedup on five-word shingles at similarity 0.8: one document of each group stays."""
+    small_batches(spark)
     return near_dedup.deduplicate(docs, percent=80)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Decontamination: documents with a passage of the benchmark go."""
+    small_batches(spark)
     return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packing: pieces of all documents in sequences of 2048 ids."""
+    small_batches(spark)
     return packing.pack(docs, definition_of(public_tokenizers.path(TOKENIZER)), DOCUMENT_END)
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lineamix.llm.common import table, written
-from lineamix.llm.words import hash_spans, mix, parts, words_of
+from lineamix.llm.words import SMALL_PART, hash_spans, mix, parts, words_of
 
 WINDOW = 5
 #: Share of an item's words that a passage must cover, or so many of them in one run.
@@ -162,7 +162,7 @@ def template_windows(rows: DataFrame, passing: bytes | None = None, width: int =
         bits = None if passing is None else np.frombuffer(passing, np.uint8)
         for batch in batches:
             begin = 0
-            for part in parts(batch.column(2)):
+            for part in parts(batch.column(2), SMALL_PART):
                 yield from _rows(batch.slice(begin, len(part)), part, bits)
                 begin += len(part)
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lineamix.llm.common import table
-from lineamix.llm.words import by_text, parts, words_of
+from lineamix.llm.words import SMALL_PART, by_text, parts, words_of
 
 FEATURES = (
     "log_words", "word_length", "upper_case", "symbols", "digits", "repeated_word", "repeated_pair", "bars",
@@ -38,7 +38,7 @@ for _name, _bytes in _KIND.items():
 
 def text_features(texts: pa.Array) -> np.ndarray:
     """One row of ``FEATURES`` per text, counted over the whole text. NULL counts as empty: all 0."""
-    rows = [_features(part) for part in parts(texts)]
+    rows = [_features(part) for part in parts(texts, SMALL_PART)]
     return np.concatenate(rows) if rows else np.zeros((0, len(FEATURES)))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from lineamix.llm.words import mix, parts, words_of
+from lineamix.llm.words import SMALL_PART, mix, parts, words_of
 
 #: Bits of a bucket's hash, and mantissa bits that a register keeps beside 4 bits of leading zeros.
 HASH_BITS, MANTISSA_BITS = 40, 4
@@ -19,7 +19,7 @@ def shingle_sets(texts: pa.Array, width: int = 5) -> list[np.ndarray]:
     A-Z is lower-cased. A text with fewer words has one shingle, the sequence of all of them; a
     text without words, or NULL, has none.
     """
-    return [s for part in parts(texts) for s in _sets(part, width)]
+    return [s for part in parts(texts, SMALL_PART) for s in _sets(part, width)]
 
 
 def _sets(texts: pa.Array, width: int) -> list[np.ndarray]:

@@ -26,6 +26,20 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Bytes of rows that a Python worker is handed at once; one longer row stands alone.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hand rows to Python by their size, unless the session says how: 10,000 whole texts are tens of megabytes.
+
+    A batch is held on both sides, by the executor and by its worker, and both keep the room for the next.
+    """
+    if spark.conf.get(_BATCH_SETTING, None) is None:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+
+
 def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
     """Session for tests and the bench; a cluster brings its own."""
     spark = (
