@@ -11,8 +11,9 @@ import gc
 import json
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,9 @@ UNSAFE = f"[{_WHITE} ] | [{_WHITE}]"
 _LETTERS, _SIGNS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:;=-@\[-`{-~"
 _PLAIN = re.compile(rf" ?(?:[{_LETTERS}{_SIGNS}]|\n(?=[{_LETTERS}{_SIGNS}]))+\n?").fullmatch
 _PIECES = re.compile(rf" ?[{_LETTERS}]+| ?[{_SIGNS}]+|\n").findall
+#: The usual word is letters, and signs after them, which are a pre-token of their own.
+_WORD = rf"\A[{_LETTERS}]+\z"
+_ALL_LETTERS, _ALL_SIGNS = ("".join(filter(re.compile(f"[{some}]").match, map(chr, range(0x100)))) for some in (_LETTERS, _SIGNS))
 #: Ends of sentences, perhaps before closing quotes and brackets.
 _CLOSES = r"""[.!?…\n]["')\]]*\z"""
 
@@ -41,7 +45,9 @@ def _byte_letters() -> list[str]:
 
 _LETTER_OF = _byte_letters()
 BYTE_OF = {letter: byte for byte, letter in enumerate(_LETTER_OF)}
-_SPACE = _LETTER_OF[0x20]
+#: The same by byte, as 16-bit characters; line breaks, which no word of letters has, stay.
+_LETTER_CODES = np.array([ord(letter) for letter in _LETTER_OF], "<u2")
+_LETTER_CODES[0x0A] = 0x0A
 
 
 class Encoder:
@@ -99,12 +105,11 @@ class Encoder:
         begin = begin - begin[0]
         coded = pc.dictionary_encode(words.flatten())
         codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        different = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        packed = self._packed(coded.dictionary, space)
         if space:  # the first word of a text has no space before it
             first = pc.dictionary_encode(words.flatten().take(pa.array(begin[:-1])))
-            codes[begin[:-1]] = first.indices.to_numpy(zero_copy_only=False).astype(np.int64) + len(different)
-            different = [space + w for w in different] + first.dictionary.to_pylist()
-        packed = pa.array(self._ids_of(different), pa.large_binary())
+            codes[begin[:-1]] = first.indices.to_numpy(zero_copy_only=False).astype(np.int64) + len(packed)
+            packed = pa.concat_arrays([packed, self._packed(first.dictionary, "")])
         size = pc.binary_length(packed).to_numpy() >> 2
         ids = np.frombuffer(_content(packed.take(pa.array(codes))), np.uint32)
         after = np.concatenate([[0], np.cumsum(size[codes])])
@@ -114,59 +119,87 @@ class Encoder:
             ends = after[1:][closing[codes]]
         return ids, after[begin], ends
 
-    def _ids_of(self, words: list[str]) -> list[bytes]:
-        """Ids of each word as 32-bit numbers."""
+    def _packed(self, different: pa.Array, space: str) -> pa.Array:
+        """Ids of different words, as 32-bit numbers in a row.
+
+        Letters and the signs after them are looked up apart: both are fewer than the words they make.
+        """
+        stems = pc.ascii_rtrim(different, characters=_ALL_SIGNS)
+        usual = pc.match_substring_regex(stems, _WORD)
+        letters, others = pc.dictionary_encode(stems.filter(usual)), different.filter(pc.invert(usual))
+        signs = pc.dictionary_encode(pc.if_else(usual, pc.utf8_ltrim(different, characters=_ALL_LETTERS), ""))
+        mask, place = usual.to_numpy(zero_copy_only=False), np.empty(len(different), np.int64)
+        place[mask] = letters.indices.to_numpy()
+        place[~mask] = len(letters.dictionary) + np.arange(len(others))
+        known = self._ids_of(letters.dictionary, space, self._letters) + self._ids_of(others, space, self._mixed)
+        ends = pa.array(self._ids_of(signs.dictionary, "", self._mixed), pa.large_binary())
+        return pc.binary_join_element_wise(
+            pa.array(known, pa.large_binary()).take(pa.array(place)), ends.take(signs.indices), pa.scalar(b"", pa.large_binary())
+        )
+
+    def _ids_of(self, different: pa.Array, space: str, encode: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+        """Ids of each word, after a space or not, as 32-bit numbers; ``encode`` makes those of words not seen lately."""
         if len(self.cache) > self.cache_words // 2:
             self.cache, self.older = {}, self.cache
-        cache = self.cache
-        found = list(map(cache.get, words))
+        words = different.to_numpy(zero_copy_only=False).tolist()
+
+        def seen_before(missing: list[str]) -> list[bytes]:
+            more = _filled(missing, self.older, encode)
+            self.cache.update(zip(missing, more))
+            return more
+
         # No cycles are made here, and looking for them among so many strings takes a tenth of the time.
         collecting = gc.isenabled()
         gc.disable()
         try:
-            self._look_up(words, found)
+            words = [space + w for w in words] if space else words
+            return _filled(words, self.cache, seen_before)
         finally:
             if collecting:
                 gc.enable()
-        return found
 
-    def _look_up(self, words: list[str], found: list[bytes | None]) -> None:
-        """Fill in what the cache did not have."""
-        cache, older = self.cache, self.older
-        known, hard, dropping = self.tokenizer_ids, [], self.dropping
-        for i in [i for i, ids in enumerate(found) if ids is None]:
-            word = words[i]
-            if (ids := older.get(word)) is not None:
-                found[i] = cache[word] = ids
-            elif (word[1:] if word[:1] == " " else word).isalpha() and (word.isascii() or _PLAIN(word)):
-                found[i] = cache[word] = known(word)
-            elif _PLAIN(word):
-                ids = b""
-                for piece in _PIECES(word):
-                    part = cache.get(piece)
-                    if part is None:
-                        part = older.get(piece)
-                        if part is None:
-                            part = b"" if dropping and piece == "\n" else known(piece)
-                        cache[piece] = part
-                    ids += part
-                found[i] = cache[word] = ids
-            else:
-                hard.append(i)
+    def _mixed(self, words: list[str]) -> list[bytes]:
+        """Ids of any words: plain ones piece by piece, the others by the whole tokenizer."""
+        found = [b"".join(map(self._piece, _PIECES(word))) if _PLAIN(word) else None for word in words]
+        hard = [word for word, ids in zip(words, found) if ids is None]
         if hard:
-            encoded = self.tokenizer.encode_batch_fast([words[i] for i in hard], add_special_tokens=False)
-            for i, e in zip(hard, encoded):
-                found[i] = cache[words[i]] = array("I", e.ids).tobytes()
+            encoded = iter(self.tokenizer.encode_batch_fast(hard, add_special_tokens=False))
+            found = [array("I", next(encoded).ids).tobytes() if ids is None else ids for ids in found]
+        return found
 
-    def tokenizer_ids(self, word: str) -> bytes:
+    def _piece(self, piece: str) -> bytes:
         """Ids of one pre-token: letters or signs, perhaps after a space, or a line break."""
-        if self.lower:
-            word = word.lower()
-        if not word.isascii() or word == "\n":
-            word = "".join(map(_LETTER_OF.__getitem__, word.encode()))
-        elif word[0] == " ":
-            word = _SPACE + word[1:]
-        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+        if self.dropping and piece == "\n":
+            return b""
+        ids = self.cache.get(piece)
+        if ids is None:
+            ids = self.older.get(piece)
+            if ids is None:
+                ids = array("I", [t.id for t in self.model.tokenize("".join(map(_LETTER_OF.__getitem__, (piece.lower() if self.lower else piece).encode())))]).tobytes()
+            self.cache[piece] = ids
+        return ids
+
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters, perhaps after a space; their bytes become letters of the model all at once."""
+        if not words:
+            return []
+        text = "\n".join(words)
+        raw = np.frombuffer((text.lower() if self.lower else text).encode(), np.uint8)
+        tokenize = self.model.tokenize
+        found = [[t.id for t in tokenize(word)] for word in _LETTER_CODES[raw].tobytes().decode("utf-16-le").split("\n")]
+        flat = np.fromiter(chain.from_iterable(found), np.uint32).tobytes()
+        ends = np.cumsum([len(ids) for ids in found]) * 4
+        return [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+
+
+def _filled(words: list[str], cache: dict[str, bytes], encode: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+    """What the cache has of these words; what it has not is encoded."""
+    found = list(map(cache.get, words))
+    missing = [word for word, ids in zip(words, found) if ids is None]
+    if not missing:
+        return found
+    rest = iter(encode(missing))
+    return [next(rest) if ids is None else ids for ids in found]
 
 
 def _content(values: pa.Array) -> memoryview | bytes:

@@ -43,6 +43,18 @@ def test_ids_of_random_texts(name):
             assert ids[at[i]:at[i + 1]].tolist() == whole.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_letters_are_remembered_without_signs(name):
+    """Words that differ in their signs alone cost one look at the tokenizer's model and one place in the cache."""
+    texts = ["stem" + sign + " Stem" + sign + " ÉtéÿÖß" + sign for sign in (".", ",", "!?", ")", "", "\nEnd;")] + ["µ, ª. xº! a×b÷ ...", ", x"]
+    words, whole = Encoder(definition_of(P.path(name))), Tokenizer.from_file(P.path(name))
+    ids, at, _ = words.encode(pa.array(texts, pa.string()))
+    for i, t in enumerate(texts):
+        assert ids[at[i]:at[i + 1]].tolist() == whole.encode(t, add_special_tokens=False).ids, repr(t)
+    assert not {w.strip() for w in words.cache} & {w + sign for w in ("stem", "Stem", "ÉtéÿÖß") for sign in (".", ",", "!?", ")")}
+    assert {w.strip() for w in words.cache} >= {"stem", "Stem", "ÉtéÿÖß", ".", ",", "!?", ")"}
+
+
 def _expected(rows, name, end):
     whole = Tokenizer.from_file(P.path(name))
     return [(i, np.array(whole.encode(t or "", add_special_tokens=False).ids + [end], "<u4")) for i, t in rows]
