@@ -26,8 +26,8 @@ from lineamix.llm.tokens import BYTE_OF, UNSAFE, definition_of
 
 #: Bytes of text whose words and pairs share one numbering.
 CHUNK_BYTES = 10 << 20
-#: Words that are aligned in one step, and digits of an id at most.
-_AT_ONCE, _DIGITS = 10_000, 6
+#: Words that are aligned in one step, words that a tokenizer gets as one text, and digits of an id at most.
+_AT_ONCE, _RUN, _DIGITS = 10_000, 64, 6
 #: An id pair is one number: the first id in the upper bits, the second in the lower.
 _SHIFT = 32
 _SPACE_SIGN = "▁"
@@ -107,31 +107,46 @@ class Aligner:
         self.digits = np.frombuffer(b"".join(d.ljust(_DIGITS) for d in digits), np.uint8).reshape(-1, _DIGITS)
         self.digit_count = np.array([len(d) for d in digits], np.int64)
 
-    def align(self, texts: list[str]) -> Aligned:
-        """A encodes each text after a space, which B adds by itself; links are pair numbers."""
+    def align(self, texts: list[str], run: int = 1) -> Aligned:
+        """A encodes each text after a space, which B adds by itself; links are pair numbers.
+
+        So many words make a ``run``, a text with spaces between them. If it is not what its tokens
+        decode to, or a token goes on from word to word, none of its words is ok.
+        """
         spaced = [" " + t for t in texts]
         raw = np.frombuffer("".join(spaced).encode(), np.uint8)
         at = np.concatenate([[0], np.cumsum([len(t.encode()) for t in spaced])]).astype(np.int64)
-        ids_a, ends_a, at_a = self._a_ends(spaced, at)
-        ids_b, ends_b, at_b = self._b_ends(texts, at)
-        ok = np.ones(len(texts), bool)
+        runs = spaced if run == 1 else ["".join(spaced[i:i + run]) for i in range(0, len(spaced), run)]
+        run_at = np.append(at[:-1:run], at[-1])
+        ids_a, ends_a, at_a = self._a_ends(runs, run_at)
+        ids_b, ends_b, at_b = self._b_ends(texts if run == 1 else [r[1:] for r in runs], run_at)
+        ok = np.ones(len(runs), bool)
         for vocabulary, ids, begin in ((self.vocabulary_a, ids_a, at_a), (self.vocabulary_b, ids_b, at_b)):
-            ok &= _sums(vocabulary.sizes[ids], begin) == np.diff(at)
+            ok &= _sums(vocabulary.sizes[ids], begin) == np.diff(run_at)
         if ok.all() and len(texts):
             for vocabulary, ids in ((self.vocabulary_a, ids_a), (self.vocabulary_b, ids_b)):
-                ok &= _sums(vocabulary.decoded(ids) != raw, at) == 0
+                ok &= _sums(vocabulary.decoded(ids) != raw, run_at) == 0
         if not ok.all():
-            return self._without(texts, ok)
-        atoms, cuts = np.union1d(ends_a, ends_b), np.intersect1d(ends_a, ends_b, assume_unique=True)
+            return self._without(texts, np.repeat(ok, run)[:len(texts)], run)
+        ending = np.zeros(len(raw) + 1, np.uint8)
+        ending[ends_a] = 1
+        ending[ends_b] += 2
+        atoms, cuts = np.flatnonzero(ending), np.flatnonzero(ending == 3)
+        if run > 1:
+            apart = ending[at[1:]] == 3
+            if not apart.all():
+                whole = np.logical_and.reduceat(apart, np.arange(0, len(texts), run))
+                return self._without(texts, np.repeat(whole, run)[:len(texts)], run)
+            at_a, at_b = np.searchsorted(ends_a, at, "right"), np.searchsorted(ends_b, at, "right")
         links = ids_a[np.searchsorted(ends_a, atoms)] << _SHIFT | ids_b[np.searchsorted(ends_b, atoms)]
         sizes = np.stack([
             np.diff(at_a), np.diff(at_b), np.diff(np.searchsorted(cuts, at, "right")), np.diff(np.searchsorted(atoms, at, "right")),
         ], axis=1)
-        return Aligned(ok, sizes, links, self._group_texts(ids_a, ends_a, ids_b, ends_b, cuts, at))
+        return Aligned(ok if run == 1 else np.ones(len(texts), bool), sizes, links, self._group_texts(ids_a, ends_a, ids_b, ends_b, cuts, at))
 
-    def _without(self, texts: list[str], ok: np.ndarray) -> Aligned:
+    def _without(self, texts: list[str], ok: np.ndarray, run: int) -> Aligned:
         """Alignments of those that are ok, empty ones for the others."""
-        rest = self.align([t for t, good in zip(texts, ok) if good])
+        rest = self.align([t for t, good in zip(texts, ok) if good], run)
         good = ok.copy()
         good[ok] = rest.ok
         sizes = np.zeros((len(texts), 4), np.int64)
@@ -210,20 +225,29 @@ class _Chunk:
         self.texts: list[bytes] = []
         self.times = np.zeros(0, np.int64)
 
-    def add(self, keys: list, words: list[str], aligner: Aligner) -> np.ndarray:
-        """Numbers of these different words or whole texts; -1 for those without tokens."""
+    def add(self, keys: list, words: list[str], aligner: Aligner, run: int = 1) -> np.ndarray:
+        """Numbers of these different words or whole texts; -1 for those without tokens.
+
+        Words of a ``run`` that does not come out whole are aligned one by one.
+        """
         known = self.word_no
         new = [i for i, key in enumerate(keys) if key not in known]
         sizes = [self.sizes]
-        for begin in range(0, len(new), _AT_ONCE):
-            some = new[begin:begin + _AT_ONCE]
-            found = aligner.align([words[i] for i in some])
+
+        def aligned(some: list[int], run: int) -> list[int]:
+            found = aligner.align([words[i] for i in some], run)
             first = len(self.texts)
             numbers = np.where(found.ok, first + np.cumsum(found.ok) - 1, -1).tolist()
             known.update((keys[i], no) for i, no in zip(some, numbers))
             sizes.append(found.sizes[found.ok])
             self.links.append(found.links)
             self.texts += found.texts if found.ok.all() else [t for t, good in zip(found.texts, found.ok) if good]
+            return [i for i, no in zip(some, numbers) if no < 0]
+
+        for begin in range(0, len(new), _AT_ONCE):
+            left = aligned(new[begin:begin + _AT_ONCE], run)
+            if left and run > 1:
+                aligned(left, 1)
         self.sizes = np.concatenate(sizes)
         return np.fromiter(map(known.__getitem__, keys), np.int64, len(keys))
 
@@ -289,7 +313,7 @@ def _documents(aligner: Aligner, chunk: _Chunk, part: pa.RecordBatch) -> pa.Reco
     split = pc.split_pattern(texts.filter(pa.array(~whole & ~empty)), " ")
     coded = pc.dictionary_encode(split.flatten())
     different = coded.dictionary.to_pylist()
-    numbers = chunk.add(different, different, aligner)
+    numbers = chunk.add(different, different, aligner, _RUN)
     codes = numbers[coded.indices.to_numpy(zero_copy_only=False)] if different else np.zeros(0, np.int64)
     at = split.offsets.to_numpy() - (split.offsets[0].as_py() if len(split) else 0)
     long = list(dict.fromkeys(texts[int(i)].as_py() for i in np.flatnonzero(whole & ~empty)))

@@ -4,6 +4,8 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -111,6 +113,29 @@ def test_whole_texts(spark, docs, tools):
     assert sum(w[0] > 0 for w in want) > 300 and want[0][6] == ""
 
 
+@pytest.mark.parametrize("odd", [[], ["ﬁx", "\u0301a", "<|endoftext|>"], ["ﬁx"] + [f"ﬀ{i}" for i in range(3000)]])
+def test_words_go_to_the_tokenizers_in_runs(tools, odd):
+    """Not word by word, but for the words of runs that a tokenizer changes; each word comes out as it does alone."""
+    definition, model, _, _ = tools
+    aligner, chunk, seen = t.Aligner(definition, model), t._Chunk(0), []
+    ends = aligner._a_ends
+    aligner._a_ends = lambda spaced, at: (seen.append(len(spaced)), ends(spaced, at))[1]
+    words = [f"{x}{i}{y}" for i in range(300) for x, y in (("the", "."), ("É", ",\nUnd"), ("日本", "'s"), ("", "…"), ("x" * 9, "ß"))]
+    words[700:700] = odd
+    texts = [" ".join(words), "", None, words[0], " ".join(words[:99]), "two  spaces"]
+    part = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    t._documents(aligner, chunk, part)
+    if len(odd) < 5:
+        assert sum(seen) < (len(words) / 10 if not odd else len(words) / 4)
+    links = np.split(np.concatenate(chunk.links), np.cumsum(chunk.sizes[:, 3])[:-1])
+    assert len(chunk.texts) == len(chunk.sizes) == sum(no >= 0 for no in chunk.word_no.values())
+    for word in words:
+        alone, no = aligner.align([word]), chunk.word_no[word]
+        assert bool(alone.ok[0]) == (no >= 0), word
+        if no >= 0:
+            assert alone.texts == [chunk.texts[no]] and alone.sizes[0].tolist() == chunk.sizes[no].tolist() and alone.links.tolist() == links[no].tolist(), word
+
+
 def test_edges_and_counts(spark, docs, tools):
     definition, model, a, b = tools
     assert t.scores(t.align(docs([]), definition, model)).count() == 0
