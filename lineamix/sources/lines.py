@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 Paths = str | Sequence[str]
@@ -61,6 +63,24 @@ def numbered_lines(spark: SparkSession, paths: Paths) -> DataFrame:
     return raw.join(offsets, ["file", "_split"], "left").select("file", line_no.alias("line_no"), "value")
 
 
+def text_of(column: pa.Array) -> tuple[memoryview, list[int]]:
+    """Bytes of a text column without NULLs, and where each text begins and the last one ends."""
+    _, offsets, text = column.buffers()
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    ends = np.frombuffer(offsets, kind)[column.offset:column.offset + len(column) + 1]
+    return memoryview(text if text is not None else b""), ends.tolist()
+
+
+def text_array(pieces: Iterable[bytes], sizes: Sequence[int]) -> pa.Array:
+    """Text column of UTF-8 pieces one after another; ``sizes`` are the bytes of each text."""
+    ends = np.cumsum([0, *sizes])
+    if ends[-1] >= 1 << 31:
+        raise ValueError("a batch of lines is longer than 2 GB")
+    return pa.Array.from_buffers(
+        pa.string(), len(sizes), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(b"".join(pieces))]
+    )
+
+
 def first_lines(lines: DataFrame) -> DataFrame:
     """The line with number 0 of each file, as (file, first)."""
     return lines.where("line_no = 0").select("file", F.col("value").alias("first"))

@@ -1,11 +1,13 @@
 import gzip
 import os
+from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lineamix.functions import names
-from lineamix.operators import reads, solutions
+from lineamix.operators import reads, solutions, variants
 from lineamix.plans import studies
 from lineamix.sources import genomics, lines, posterior, sinks, tables
 
@@ -379,3 +381,79 @@ def test_line_items_without_a_supplier_are_an_error(spark, tmp_path):
     views.forget_tables()
     with pytest.raises(Exception, match="line items without a supplier"):
         views.vcf_lines(spark, str(tmp_path)).collect()
+
+
+_ODD_FORMATS = ["GT", "DP:GT", "DP", "A:B:GT", "GT:DP", "GTX:DP"]
+_ODD_CELLS = ["0/1", "5:0/1:x", "5:", "5", "", ".", "a:b/c:d:e", ":", "1/1", "::", "10|12", "0/1/2/3", "1:1|1", "é|1:é|1", "0", "x|1:A|1", "3:4:<|1"]
+
+
+def _odd_lines():
+    """Lines of two files: cells alike and not, more and fewer than lineages, and places that are no number."""
+    made = []
+    for file, names in (("f", ["L1", "L0", "L1", "L3"]), ("g", ["a", "b"])):
+        made += [(file, 0, "##x"), (file, 1, "\t".join(["#CHROM", *"23456789", *names]))]
+        for i in range(400):
+            cells = [_ODD_CELLS[(i * i + k * (i % 5)) % len(_ODD_CELLS)] for k in range((i % 7) or len(names))]
+            if i % 3 == 0:
+                cells = [("7:0/1", "8:1|1", "9:./.")[(i + k) % 3] for k in range(len(names))]
+            pos = str(-3 * i) if i % 4 else "far"
+            made.append((file, 2 + i, "\t".join(["c", pos, ".", "A", "G", ".", ".", ".", _ODD_FORMATS[i % 6], *cells])))
+        made += [(file, 900, "\t".join("c1.AG...") + "\tGT"), (file, 901, "c\t5\tshort"), (file, 902, "\t".join(["c", "6", ".", "A", "G", ".", ".", ".", "GT", ""]))]
+    return made
+
+
+def test_counted_genotypes_are_those_of_all_cells(spark, rows, monkeypatch):
+    found = spark.createDataFrame(_odd_lines(), "file string, line_no bigint, value string").repartition(3)
+    records = genomics.parse_vcf(found)
+    sums = [F.count(F.lit(1)).alias("n"), F.sum("pos").cast("bigint").alias("places")]
+    want = rows(genomics.genotypes_of(records).groupBy("file", "lineage", "ord", "gt").agg(*sums))
+    for few_files in (True, False):
+        counted = genomics.genotypes_of(records, genomics.vcf_lineages(found), few_files)
+        got = counted.groupBy("file", "lineage", "ord", "gt").agg(F.sum("n").alias("n"), F.sum("places").alias("places"))
+        assert rows(got) == want and len(want) > 50
+    plain = variants.hom_alt_share(genomics.genotypes_of(records), 0.01)
+    assert rows(variants.hom_alt_share(counted, 0.01, n="n")) == rows(plain) and plain.count() > 1
+    # The same in pieces: one line at a time, few lines before a sum is taken apart, counts that leave early.
+    batch = pa.RecordBatch.from_pylist([
+        r.asDict() for r in records.where("file = 'f'").selectExpr(
+            "file", "head_no", "size(lineages) as _width", "cast(array_position(split(format, ':'), 'GT') as int) as _at", "pos", "octet_length(fixed) as _fixed", "line").collect()
+    ])
+    whole, pieces = Counter(), Counter()
+    for into, limits in ((whole, {}), (pieces, {"CELL_BYTES": 1, "COUNT_BYTES": 1})):
+        for name, value in limits.items():
+            monkeypatch.setattr(genomics, name, value)
+            monkeypatch.setattr(genomics._Counts, "LINES", 2)
+        for out in genomics._counted_genotypes(iter([batch, batch.slice(7, 90)])):
+            for r in out.to_pylist():
+                into[r["ord"], r["gt"], "n"] += r["n"]
+                into[r["ord"], r["gt"], "places"] += r["places"] or 0
+    assert whole == pieces and len(whole) > 50
+
+
+def test_heads_apart_from_their_lines(spark, rows):
+    made = _odd_lines()
+    frame = lambda some: spark.createDataFrame(some, "file string, line_no bigint, value string")
+    head = frame([r for r in made if r[2].startswith("#")])
+    found = frame([*made, ("none", 1, "c\t5\tx"), ("f", 1500, "")])
+    columns = ("file", "line_no", "line", "lineages", "head_no")
+    for few_files in (True, False):
+        assert rows(genomics.parse_vcf(found, few_files, head), *columns) == rows(genomics.parse_vcf(found), *columns)
+    for late in (("f", 50, "#late"), ("none", 0, "#CHROM")):
+        with pytest.raises(Exception, match="line with # below the head of " + late[0]):
+            genomics.parse_vcf(frame([*made, late]), True, head).collect()
+
+
+@pytest.mark.parametrize("query, passes", [("vcf_genotypes", 1)])
+def test_variant_lines_are_made_once_for_each_use(spark, tmp_path, query, passes):
+    """Neither for their head, nor cut into arrays of all cells, nor handed to Python by rows whatever their length."""
+    from lineamix.plans.catalog import QUERIES
+
+    for name, made, columns in (
+        ("lineitem", [(p, 3, "R") for p in range(30)], "l_partkey bigint, l_suppkey bigint, l_returnflag string"),
+        ("supplier", [(3,), (4,)], "s_suppkey bigint"), ("part", [(p, 9, "T") for p in range(30)], "p_partkey bigint, p_size int, p_type string"),
+    ):
+        spark.createDataFrame(made, columns).write.parquet(str(tmp_path / f"{name}.parquet"))
+    found = QUERIES[query](spark, str(tmp_path))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow _vcf_body") == passes and found.collect() and "arrays_zip" not in plan and "posexplode(arrays" not in plan
+    assert "split(line" not in plan and spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
