@@ -430,6 +430,13 @@ def test_counted_genotypes_are_those_of_all_cells(spark, rows, monkeypatch):
     assert whole == pieces and len(whole) > 50
 
 
+def test_cells_counted_and_digested(spark, rows):
+    found = spark.createDataFrame(_odd_lines(), "file string, line_no bigint, value string").repartition(3)
+    records = genomics.parse_vcf(found)
+    want = records.select("file", "line_no", "format", F.size("cells").alias("n_cells"), F.md5(F.array_join("cells", ",")).alias("cells"))
+    assert rows(genomics.cell_digests(records), *want.columns) == rows(want)
+
+
 def test_heads_apart_from_their_lines(spark, rows):
     made = _odd_lines()
     frame = lambda some: spark.createDataFrame(some, "file string, line_no bigint, value string")
@@ -443,7 +450,7 @@ def test_heads_apart_from_their_lines(spark, rows):
             genomics.parse_vcf(frame([*made, late]), True, head).collect()
 
 
-@pytest.mark.parametrize("query, passes", [("vcf_genotypes", 1)])
+@pytest.mark.parametrize("query, passes", [("vcf_records", 1), ("vcf_genotypes", 1)])
 def test_variant_lines_are_made_once_for_each_use(spark, tmp_path, query, passes):
     """Neither for their head, nor cut into arrays of all cells, nor handed to Python by rows whatever their length."""
     from lineamix.plans.catalog import QUERIES
