@@ -430,11 +430,21 @@ def test_counted_genotypes_are_those_of_all_cells(spark, rows, monkeypatch):
     assert whole == pieces and len(whole) > 50
 
 
-def test_cells_counted_and_digested(spark, rows):
+def test_cells_counted_digested_and_chosen(spark, rows):
     found = spark.createDataFrame(_odd_lines(), "file string, line_no bigint, value string").repartition(3)
     records = genomics.parse_vcf(found)
     want = records.select("file", "line_no", "format", F.size("cells").alias("n_cells"), F.md5(F.array_join("cells", ",")).alias("cells"))
     assert rows(genomics.cell_digests(records), *want.columns) == rows(want)
+    kept = spark.createDataFrame([("L1",), ("b",), ("L3",)], "lineage string")
+    places = {"f": [0, 2, 3], "g": [1]}
+    expected = {}
+    for file, number, line in _odd_lines():
+        cells = line.split("\t")
+        expected[file, number] = line if line.startswith("##") else "\t".join(cells[:9] + [(cells[9:] + ["."] * 9)[i] for i in places[file]])
+    meta = found.where(F.col("value").startswith("#"))
+    for few_files in (True, False):
+        out = sinks.filtered_vcf_lines(records, meta, kept, few_files).collect()
+        assert {(r.file, r.line_no): r.value for r in out} == expected and len(out) == len(expected)
 
 
 def test_heads_apart_from_their_lines(spark, rows):
@@ -450,9 +460,12 @@ def test_heads_apart_from_their_lines(spark, rows):
             genomics.parse_vcf(frame([*made, late]), True, head).collect()
 
 
-@pytest.mark.parametrize("query, passes", [("vcf_records", 1), ("vcf_genotypes", 1)])
+@pytest.mark.parametrize("query, passes", [("vcf_records", 1), ("vcf_genotypes", 1), ("study_vcf_filter", 3)])
 def test_variant_lines_are_made_once_for_each_use(spark, tmp_path, query, passes):
-    """Neither for their head, nor cut into arrays of all cells, nor handed to Python by rows whatever their length."""
+    """Neither for their head, nor cut into arrays of all cells, nor handed to Python by rows whatever their length.
+
+    The filter has two uses, of which Spark meets the counts twice and runs them once.
+    """
     from lineamix.plans.catalog import QUERIES
 
     for name, made, columns in (
