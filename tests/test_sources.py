@@ -477,3 +477,27 @@ def test_variant_lines_are_made_once_for_each_use(spark, tmp_path, query, passes
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow _vcf_body") == passes and found.collect() and "arrays_zip" not in plan and "posexplode(arrays" not in plan
     assert "split(line" not in plan and spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+
+
+def test_genotype_filter_moves_calls_twice(spark, tmp_path):
+    """Once to make them and once to their variant; both uses make them alike and so share a shuffle."""
+    from lineamix.plans.catalog import QUERIES
+
+    made = [(p, s, "RNA"[(p + s) % 3]) for p in range(30) for s in (3, 5, 99) if (p * s) % 4]
+    spark.createDataFrame(made, "l_partkey bigint, l_suppkey bigint, l_returnflag string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = QUERIES["study_genotype_filter"](spark, str(tmp_path))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    made_by = [line for line in plan.split("\n") if "Aggregate [l_suppkey" in line]
+    assert len(made_by) > 2 and all("max(l_returnflag" in line for line in made_by) and "LeftSemi" not in plan and "_tag" not in plan
+    assert "first(gt" not in plan and found.count() > 10
+
+
+def test_a_line_has_one_call_of_a_lineage(spark):
+    """Repeated calls are one, also where they differ; a lineage without a call, or with NULL only, is missing."""
+    calls = [("B", 1, 7, "1|1"), ("B", 1, 7, "0|1"), ("B", 1, 7, "0|1"), ("A", 2, 7, "0|1"), ("A", 2, 8, None), ("C", 3, 9, ".|."), ("C", 3, 9, ".|.")]
+    made = spark.createDataFrame([("c", p, "G", ["T", "A"], n, o, g) for n, o, p, g in calls],
+                                 "chrom string, pos int, ref string, alts array<string>, lineage string, ord int, gt string")
+    meta = spark.createDataFrame([], "line_no bigint, value string")
+    kept = variants.keep_lineages(made.repartition(5), spark.createDataFrame([("A",), ("B",), ("B",), ("C",), ("D",)], "lineage string"))
+    got = {r.pos: r.value.split("\t")[9:] for r in sinks.vcf_lines(kept, meta).where("kind > 0").collect()}
+    assert got == {0: ["B", "A", "C"], 7: ["0|1", "0|1", "./."], 8: ["./.", ".", "./."], 9: ["./.", "./.", ".|."]}
