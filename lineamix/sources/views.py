@@ -389,8 +389,12 @@ def _vcf_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vcf_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of ``vcf_lines`` down to the one that names the lineages."""
     title = F.concat_ws("\t", F.lit("#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT"), F.transform("names", lambda k: k.cast("string")))
-    named = _vcf_names(spark, sf_dir).select(F.lit(VCF_FILE).alias("file"), "names")
-    return _lined(named, F.array(F.lit("##fileformat=VCFv4.2"), F.lit("##INFO=<ID=TYPE>"), title), F.lit(0), "file")
+    lines = F.array(F.lit("##fileformat=VCFv4.2"), F.lit("##INFO=<ID=TYPE>"), title)
+    # The file comes out of the generator: joins by a constant would not be hash joins.
+    placed = F.transform(lines, lambda line: F.struct(F.lit(VCF_FILE).alias("file"), line.alias("value")))
+    return _vcf_names(spark, sf_dir).select(F.posexplode(placed).alias("line_no", "_line")).select(
+        "_line.file", F.col("line_no").cast("bigint").alias("line_no"), "_line.value"
+    )
 
 
 def vcf_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
